@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import html_text, quality, sentencepieces, tiff
 from .common import table
 from .line_dedup import with_kept
 from .mixing import mix
 from .secret_scan import RULES, scan_history
 
+#: The model of the SentencePiece queries, in a folder of public tokenizers.
+MODEL = os.environ.get("RIVULET_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_history(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -26,6 +32,25 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.summary(table(spark, sf_dir, "documents"), MODEL).withColumnRenamed("id", "doc_id")
+
+
+def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"))
+    return tiff.digests(tiff.encode(docs)).withColumnRenamed("id", "doc_id")
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("bigint").alias("n_chars"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, scores, key = quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select(F.col("id").alias("doc_id"), "score", "key", (F.col("key") >= F.lit(key)).alias("kept"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = with_kept(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
