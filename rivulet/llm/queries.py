@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, quality, sentencepieces, tiff
+from . import embedding_dedup, html_text, quality, sentencepieces, tiff
 from .common import table
 from .line_dedup import with_kept
 from .mixing import mix
@@ -17,6 +17,10 @@ from .secret_scan import RULES, scan_history
 MODEL = os.environ.get("RIVULET_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_dedup(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_history(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -63,6 +67,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL: dict[str, str] = {}
 
+SQL["op1_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.component_id, e.vec_id) AS component_id, coalesce(c.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+"""
+
 SQL["op4_secret_scan"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 r AS (SELECT * FROM (VALUES
