@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, quality, sentencepieces, tiff
+from . import embedding_dedup, html_text, quality, sentencepieces, substring_dedup, tiff
 from .common import table
 from .line_dedup import with_kept
 from .mixing import mix
@@ -21,6 +21,11 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_dedup(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.kept_words(table(spark, sf_dir, "documents"), digest=True)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_history(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -81,6 +86,20 @@ SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.component_id, e.v
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 """
 
+SQL["op3_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM p),
+o AS (SELECT h, min(doc_id) AS low FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+b AS (SELECT g.doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS gone FROM g JOIN o ON o.h = g.h AND o.low < g.doc_id GROUP BY g.doc_id),
+x AS (SELECT d.doc_id, d.w, unnest(range(1, len(d.w) + 1)) AS i FROM d WHERE len(d.w) > 0),
+y AS (SELECT b.doc_id, unnest(gone) AS i FROM b),
+k AS (SELECT x.doc_id, count(*) AS n, count(y.i) AS gone, string_agg(x.w[x.i], ' ' ORDER BY x.i) FILTER (y.i IS NULL) AS kept
+      FROM x LEFT JOIN y ON y.doc_id = x.doc_id AND y.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(k.n, 0) AS n_words, coalesce(k.gone, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
 SQL["op4_secret_scan"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 r AS (SELECT * FROM (VALUES
