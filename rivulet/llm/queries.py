@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_text, quality, sentencepieces, substring_dedup, tiff
+from . import embedding_dedup, html_text, ngram_join, quality, sentencepieces, substring_dedup, tiff
 from .common import table
 from .line_dedup import with_kept
 from .mixing import mix
@@ -21,6 +21,11 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_dedup(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, threshold=(90, 100))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.kept_words(table(spark, sf_dir, "documents"), digest=True)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
@@ -86,6 +91,24 @@ SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.component_id, e.v
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 """
 
+SQL["op2_ngram_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d),
+x AS (SELECT doc_id, len(s) AS n, unnest(list_transform(s, lambda g: hash(g))) AS h FROM s),
+f AS (SELECT h, count(*) AS c FROM x GROUP BY h HAVING count(*) > 1),
+o AS (SELECT x.doc_id, x.n, x.h, row_number() OVER (PARTITION BY x.doc_id ORDER BY coalesce(f.c, 1), x.h) AS pos FROM x LEFT JOIN f ON f.h = x.h),
+p AS (SELECT * FROM o WHERE pos <= n - (n * 9 + 9) // 10 + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.h = b.h AND a.doc_id < b.doc_id AND a.n * 10 >= b.n * 9 AND b.n * 10 >= a.n * 9),
+i AS (SELECT c.a, c.b, count(*) AS joint FROM c JOIN x p ON p.doc_id = c.a JOIN x q ON q.doc_id = c.b AND q.h = p.h GROUP BY c.a, c.b),
+l AS (SELECT i.a, i.b FROM i JOIN s p ON p.doc_id = i.a JOIN s q ON q.doc_id = i.b WHERE 100 * joint >= 90 * (len(p.s) + len(q.s) - joint)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(m.low, s.doc_id)) AS component_id FROM s LEFT JOIN m ON m.a = s.doc_id
+"""
+
 SQL["op3_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
