@@ -243,6 +243,62 @@ def _enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["attribute_enrichment"] = _enrich
 
 
+# --- folders: written to a shared folder and read again -----------------------------------------------------------------
+
+
+def _folder(n: Network):
+    from ..sources import folder, shared
+
+    net = folder.StreamNetwork(folder.with_netgeom(n.edges, False), n.edges.select("netID", "rid", "binaryID"), folder.with_netgeom(n.obs, True), {"preds": folder.with_netgeom(n.preds, True)})
+    return folder, net, shared.folder(n.obs.sparkSession, "network")
+
+
+@query("folder_roundtrip_obs", "SELECT * FROM v_obs")
+def _(n):
+    folder, net, path = _folder(n)
+    return folder.write_network(net, path).obs.drop("netgeom")
+
+
+@query("folder_topology", 'SELECT "netID", rid, "binaryID" FROM v_edges')
+def _(n):
+    folder, net, path = _folder(n)
+    return folder.write_network(net, path).topo.select("netID", "rid", "binaryID")
+
+
+@query("folder_distances", f'SELECT "netID", pid_i, pid_j, fc, {_FEATURES} FROM v_pairs WHERE pid_i <= pid_j', OBS_PAIRS)
+def _(n):
+    folder, net, path = _folder(n)
+    folder.write_distances(net, path)
+    return _rounded(folder.read_distances(n.obs.sparkSession, path))
+
+
+@query("folder_distances_one_network", f'SELECT "netID", pid_i, pid_j, fc, {_FEATURES} FROM v_cross WHERE "netID" = 2', CROSS_PAIRS)
+def _(n):
+    folder, net, path = _folder(n)
+    folder.write_distances(net, path, preds="preds")
+    return _rounded(folder.read_distances(n.obs.sparkSession, path, "preds", "obs", 2))
+
+
+@query("folder_subset_clip", 'SELECT \'edges\' AS part, count(*) AS n FROM v_edges WHERE "upDist" < 3000 UNION ALL SELECT \'obs\', count(*) FROM v_obs WHERE "upDist" < 3000 UNION ALL SELECT \'preds\', count(*) FROM v_preds WHERE "upDist" < 3000')
+def _(n):
+    folder, net, _path = _folder(n)
+    cut = folder.subset(net, "DistanceUpstream < 3000", clip=True)
+    rows = [d.agg(F.lit(k).alias("part"), F.count("*").alias("n")) for k, d in (("edges", cut.edges), ("obs", cut.obs), *cut.preds.items())]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("folder_split_by", "SELECT 'preds-grp-' || grp AS set_name, count(*) AS n FROM v_preds GROUP BY grp")
+def _(n):
+    folder, net, _path = _folder(n)
+    only = folder.StreamNetwork(net.edges, net.topo, None, net.preds)
+    sets = folder.split_preds(only, "preds", by="grp", keep=False).preds
+    rows = [d.agg(F.lit(k).alias("set_name"), F.count("*").alias("n")) for k, d in sets.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 # --- kernels ----------------------------------------------------------------------------------------------------------
 
 R, DE = 700.0, 2.5
