@@ -58,6 +58,10 @@ def address(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
+def _current(rules: tuple[Rule, ...]) -> str:
+    return " or ".join(f"(kind = '{r.kind}' and version = {r.version})" for r in rules)
+
+
 def new_ledger_rows(history: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, kind, version, spans) for the pairs of blob and rule version that the ledger lacks; append them to it.
 
@@ -65,8 +69,7 @@ def new_ledger_rows(history: DataFrame, text_col: str = "text", ledger: DataFram
     """
     blobs = history.select(address(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if ledger is not None:
-        current = F.array(*[F.struct(F.lit(r.kind), F.lit(r.version)) for r in rules])
-        seen = ledger.where(F.array_contains(current, F.struct("kind", "version"))).groupBy("blob").agg(F.map_from_entries(F.collect_set(F.struct("kind", "version"))).alias("seen"))
+        seen = ledger.where(_current(rules)).groupBy("blob").agg(F.map_from_entries(F.collect_set(F.struct("kind", "version"))).alias("seen"))
         blobs = blobs.join(seen, "blob", "left").where(F.coalesce(F.size("seen"), F.lit(0)) < len(rules))
     else:
         blobs = blobs.withColumn("seen", F.lit(None).cast("map<string,int>"))
@@ -84,7 +87,7 @@ def scan_history(history: DataFrame, text_col: str = "text", ledger: DataFrame |
     rows = history.select(F.struct("*").alias("row"), address(F.col(text_col)).alias("blob"))
     known = new_ledger_rows(history, text_col, ledger, rules)
     if ledger is not None:
-        known = known.unionByName(ledger.select("blob", "kind", "version", "spans").where(" or ".join(f"(kind = '{r.kind}' and version = {r.version})" for r in rules)))
+        known = known.unionByName(ledger.where(_current(rules)).select("blob", "kind", "version", "spans"))
     rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     found = (
         known.where(F.size("spans") > 0)

@@ -83,25 +83,33 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: Codes of 9 to 12 bits; a code gets longer one entry before the table needs it, as the format has it.
+LZW_CLEAR, LZW_END, LZW_FIRST, LZW_LAST = 256, 257, 258, 4093
+
+
+def _lzw_bits(entries: int) -> int:
+    """Bits of the next code when the decoder's table has so many entries."""
+    return min(12, max(9, (entries + 1).bit_length()))
+
+
 def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, one code early; 256 clears the table, 257 ends."""
-    bits, n_bits, at, size = 0, 0, 0, 9
-    words: list[bytes] = []
+    """Codes come with the most significant bit first."""
+    stream = left = at = 0
     out: list[bytes] = []
+    words: list[bytes] = []
     last = b""
     while True:
-        while n_bits < size:
+        size = _lzw_bits(len(words)) if words else 9
+        while left < size:
             if at >= len(data):
                 return b"".join(out)
-            bits = (bits << 8 | data[at]) & 0xFFFFFFFF
-            at += 1
-            n_bits += 8
-        code = bits >> (n_bits - size) & ((1 << size) - 1)
-        n_bits -= size
-        if code == 257:
+            stream, left, at = (stream << 8 | data[at]) & 0xFFFFFF, left + 8, at + 1
+        code = stream >> (left - size) & ((1 << size) - 1)
+        left -= size
+        if code == LZW_END:
             return b"".join(out)
-        if code == 256:
-            words, last, size = [bytes((i,)) for i in range(256)] + [b"", b""], b"", 9
+        if code == LZW_CLEAR:
+            words, last = [*(bytes((i,)) for i in range(256)), b"", b""], b""
             continue
         if code < len(words):
             word = words[code]
@@ -113,44 +121,43 @@ def lzw_decode(data: bytes) -> bytes:
         if last:
             words.append(last + word[:1])
         last = word
-        size = 9 if len(words) < 511 else 10 if len(words) < 1023 else 11 if len(words) < 2047 else 12
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, bits, n_bits = bytearray(), 0, 0
-    table, size, word = {bytes((i,)): i for i in range(256)}, 9, b""
-    nxt = 258
-
-    def put(code):
-        nonlocal bits, n_bits
-        bits, n_bits = bits << size | code, n_bits + size
-        while n_bits >= 8:
-            out.append(bits >> (n_bits - 8) & 255)
-            n_bits -= 8
-        bits &= (1 << n_bits) - 1
-
-    put(256)
+    out, stream, left = bytearray(), 0, 0
+    table: dict[bytes, int] = {}
+    entries = 0  # of the decoder's table when it reads the next code: one behind the encoder's
+
+    def put(code, size):
+        nonlocal stream, left
+        stream, left = stream << size | code, left + size
+        while left >= 8:
+            out.append(stream >> (left - 8) & 255)
+            left -= 8
+        stream &= (1 << left) - 1
+
+    put(LZW_CLEAR, 9)
+    table, entries, word, first = {bytes((i,)): i for i in range(256)}, LZW_FIRST, b"", True
     for b in data:
         longer = word + bytes((b,))
         if longer in table:
             word = longer
             continue
-        put(table[word])
-        table[longer] = nxt
-        nxt += 1
-        if nxt == 4094:
-            put(256)
-            table, size, nxt = {bytes((i,)): i for i in range(256)}, 9, 258
-        else:
-            size = 9 if nxt < 511 else 10 if nxt < 1023 else 11 if nxt < 2047 else 12
+        put(table[word], _lzw_bits(entries))
+        entries += not first
+        first = False
+        table[longer] = len(table) + 2
         word = bytes((b,))
+        if entries >= LZW_LAST - 1:
+            put(table[word], _lzw_bits(entries))
+            put(LZW_CLEAR, _lzw_bits(entries + 1))
+            table, entries, word, first = {bytes((i,)): i for i in range(256)}, LZW_FIRST, b"", True
     if word:
-        put(table[word])
-        nxt += 1
-        size = 9 if nxt < 511 else 10 if nxt < 1023 else 11 if nxt < 2047 else 12
-    put(257)
-    if n_bits:
-        out.append(bits << (8 - n_bits) & 255)
+        put(table[word], _lzw_bits(entries))
+        entries += not first
+    put(LZW_END, _lzw_bits(entries))
+    if left:
+        out.append(stream << (8 - left) & 255)
     return bytes(out)
 
 
