@@ -84,7 +84,7 @@ def curvature(family: str, w, y, size, phi):
     if family == "inverse.gaussian":
         return -phi * (e * e + y * y) / (2 * y * e)
     k0 = digamma(phi * e / (1 + e)) - digamma(phi / (1 + e)) + np.log(1 / y - 1)
-    k1 = phi * (trigamma(phi * e / (1 + e)) + trigamma(phi / (1 + e))) - 2 * np.sinh(w) * (k0 + 2 * np.arctanh(1 - 2 * y))
+    k1 = phi * (trigamma(phi * e / (1 + e)) + trigamma(phi / (1 + e))) - 2 * np.sinh(w) * k0
     return -phi * e * e * k1 / (1 + e) ** 4
 
 

@@ -19,20 +19,19 @@ from pyspark.sql import functions as F
 from .special import bessel_j0, norm_cdf
 
 
-@F.pandas_udf("double")
-def _phi(x: pd.Series) -> pd.Series:
-    return pd.Series(norm_cdf(x.to_numpy()))
+def _phi(x: Column) -> Column:
+    return F.pandas_udf(lambda v: pd.Series(norm_cdf(v.to_numpy())), "double", F.PandasUDFType.SCALAR)(x)
 
 
-@F.pandas_udf("double")
-def _j0(x: pd.Series) -> pd.Series:
-    return pd.Series(bessel_j0(x.to_numpy()))
+def _j0(x: Column) -> Column:
+    return F.pandas_udf(lambda v: pd.Series(bessel_j0(v.to_numpy())), "double", F.PandasUDFType.SCALAR)(x)
 
 
 class InColumns:
     """The functions that kernels need, on Columns. Conditions guard divisions, since ANSI mode raises on 0."""
 
-    exp, log, sqrt, sin, asin, phi, j0 = F.exp, F.log, F.sqrt, F.sin, F.asin, _phi, _j0
+    exp, log, sqrt, sin, asin = F.exp, F.log, F.sqrt, F.sin, F.asin
+    phi, j0 = staticmethod(_phi), staticmethod(_j0)
 
     @staticmethod
     def where(cond: Column, yes: Any, no: Any) -> Column:
