@@ -30,8 +30,9 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 _CHAR = U64(0x2545F4914F6CDD1D)
+_FILTER_SHIFT = U64(44)
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -73,6 +74,7 @@ class Model:
     byte_ids: np.ndarray | None = None
     keys: np.ndarray = field(init=False)
     key_ids: np.ndarray = field(init=False)
+    filter: np.ndarray = field(init=False)
     longest: int = field(init=False)
     seen: dict = field(init=False, default_factory=dict)
 
@@ -87,6 +89,8 @@ class Model:
         self.keys, self.key_ids = hashes[order], np.array(usable, np.int64)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
+        self.filter = np.zeros(1 << 20, bool)  # leading bits of the keys: most substrings are no pieces and stop here
+        self.filter[(self.keys >> _FILTER_SHIFT).astype(np.int64)] = True
         by_name = {p: i for i, p in enumerate(self.pieces)}
         if all(f"<0x{b:02X}>" in by_name for b in range(256)):
             self.byte_ids = np.array([by_name[f"<0x{b:02X}>"] for b in range(256)], np.int64)
@@ -95,37 +99,46 @@ class Model:
 
     def probe(self, hashes: np.ndarray) -> np.ndarray:
         """Piece ids by hash, -1 where there is none."""
-        at = np.searchsorted(self.keys, hashes)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == hashes, self.key_ids[at], -1)
+        out = np.full(hashes.shape, -1, np.int64)
+        maybe = self.filter[(hashes >> _FILTER_SHIFT).astype(np.int64)]
+        few = hashes[maybe]
+        at = np.minimum(np.searchsorted(self.keys, few), len(self.keys) - 1)
+        out[maybe] = np.where(self.keys[at] == few, self.key_ids[at], -1)
+        return out
 
-    def encode_words(self, words: list[str], algorithm: int | None = None) -> list[np.ndarray]:
-        """The ids of distinct words; words of equal length are done together."""
-        out: list = [None] * len(words)
+    def encode_words(self, words: list[str], algorithms: tuple[int, ...]) -> list[tuple[bytes, ...]]:
+        """The ids of distinct words by each algorithm, as 32-bit numbers in bytes; words of equal length are done together."""
+        out: list = [(b"",) * len(algorithms)] * len(words)
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
-        step = self._viterbi if (algorithm or self.algorithm) == UNIGRAM else self._merges
         for n, own in by_length.items():
-            if n == 0:
-                for i in own:
-                    out[i] = np.zeros(0, np.int64)
-                continue
-            most = max(1, (1 << 20) // (n * min(n, self.longest)))
-            for k in range(0, len(own), most):
+            most = max(1, (1 << 20) // max(n * min(n, self.longest), 1))
+            for k in range(0, len(own) if n else 0, most):
                 part = own[k : k + most]
-                chars = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le"), np.uint32).reshape(len(part), n)
-                for i, ids in zip(part, step(chars), strict=True):
+                chars = np.frombuffer("".join([words[i] for i in part]).encode("utf-32-le"), np.uint32).reshape(len(part), n)
+                table = self._table(chars)
+                done = [self._viterbi(chars, table) if a == UNIGRAM else self._merges(chars, table) for a in algorithms]
+                for i, ids in zip(part, zip(*done, strict=True), strict=True):
                     out[i] = ids
         return out
 
+    def _table(self, chars: np.ndarray) -> np.ndarray:
+        """The piece at [word, start, length - 1], -1 where the substring is none or ends outside the word."""
+        rows, n = chars.shape
+        sums, down = _prefix(chars), _down(n)
+        out = np.full((rows, n, min(n, self.longest)), -1, np.int32)
+        for size in range(1, out.shape[2] + 1):
+            h = (sums[:, size:] - sums[:, : n + 1 - size]) * down[None, : n + 1 - size]
+            out[:, : n + 1 - size, size - 1] = self.probe(mix(h ^ (U64(size) << U64(40))))
+        return out
+
     def _bytes_of(self, char: int) -> list[int]:
         return [self.unknown] if self.byte_ids is None else self.byte_ids[list(chr(char).encode("utf-8", "surrogatepass"))].tolist()
 
-    def _viterbi(self, chars: np.ndarray) -> list[np.ndarray]:
+    def _viterbi(self, chars: np.ndarray, table: np.ndarray) -> list[bytes]:
         """best[:, e] is the best sum of scores of the first e characters; from_[:, e] is where its last piece starts."""
         rows, n = chars.shape
-        sums = _prefix(chars)
         low = float(self.scores.min()) - 10.0  # of a character that no piece covers
         best = np.full((rows, n + 1), -np.inf)
         best[:, 0] = 0
@@ -133,13 +146,13 @@ class Model:
         piece = np.full((rows, n + 1), -1, np.int64)
         every = np.arange(rows)
         for e in range(1, n + 1):
-            first = max(0, e - self.longest)
-            ids = self.probe(_between(sums, np.arange(first, e), e))
+            starts = np.arange(max(0, e - table.shape[2]), e)
+            ids = table[:, starts, e - starts - 1]
             here = np.where(ids >= 0, self.scores[ids], -np.inf)
             here[:, -1] = np.where(ids[:, -1] >= 0, here[:, -1], low)
-            total = best[:, first:e] + here
+            total = best[:, starts] + here
             top = total.argmax(axis=1)
-            best[:, e], from_[:, e], piece[:, e] = total[every, top], first + top, ids[every, top]
+            best[:, e], from_[:, e], piece[:, e] = total[every, top], starts[top], ids[every, top]
         ids = np.full((rows, n), -2, np.int64)  # filled from the end, -1 where a character goes by bytes
         end = np.full(rows, n)
         for k in range(n - 1, -1, -1):
@@ -156,40 +169,43 @@ class Model:
                 starts[:, k] = end
         return self._flat(chars, ids, lengths > 0, starts)
 
-    def _merges(self, chars: np.ndarray) -> list[np.ndarray]:
-        """bound[:, k] says whether a symbol starts at k; each round merges the best neighbours of each word that has any."""
+    def _merges(self, chars: np.ndarray, table: np.ndarray) -> list[bytes]:
+        """start[:, k] is where symbol k starts; each round merges the best neighbours of each word that has any."""
         rows, n = chars.shape
-        sums = _prefix(chars)
-        start = np.tile(np.arange(n + 1), (rows, 1))  # starts of the symbols of a row, n beyond its last one
-        live = np.arange(rows)
-        while len(live) and start.shape[1] > 2:
-            s = start[live]
-            a, b = s[:, :-2], s[:, 2:]
-            real = s[:, 1:-1] < n
-            ids = np.where(real, self.probe(_span(sums[live], a, b)), -1)
+        longest = table.shape[2]
+
+        def ids_of(row, a, b):
+            size = b - a
+            fits = (a < n) & (size > 0) & (size <= longest)
+            return np.where(fits, table[row, np.minimum(a, n - 1), np.clip(size, 1, longest) - 1], -1)
+
+        start = np.tile(np.arange(n + 1), (rows, 1))  # n beyond the last symbol
+        live, s = np.arange(rows), start
+        while len(live) and s.shape[1] > 2:
+            ids = np.where(s[:, 1:-1] < n, ids_of(live[:, None], s[:, :-2], s[:, 2:]), -1)
             score = np.where(ids >= 0, self.scores[ids], -np.inf)
             top = score.argmax(axis=1)
-            can = score[np.arange(len(live)), top] > -np.inf
+            can = ids[np.arange(len(live)), top] >= 0
+            start[live[~can], : s.shape[1]] = s[~can]
+            start[live[~can], s.shape[1] :] = n
             live, top, s = live[can], top[can], s[can]
-            if not len(live):
-                break
-            width = s.shape[1]
-            cols = np.arange(width - 1)
-            merged = np.take_along_axis(s, cols + (cols[None, :] >= (top + 1)[:, None]), axis=1)
-            start[live, : width - 1] = merged
-            start[live, width - 1] = n
+            cols = np.arange(s.shape[1] - 1)
+            s = np.take_along_axis(s, cols + (cols[None, :] >= (top + 1)[:, None]), axis=1)
+        if len(live):
+            start[live, : s.shape[1]] = s
+            start[live, s.shape[1] :] = n
         ends = np.concatenate([start[:, 1:], np.full((rows, 1), n)], axis=1)
-        return self._flat(chars, self.probe(_span(sums, start, ends)), start < n, start)
+        return self._flat(chars, ids_of(np.arange(rows)[:, None], start, ends), start < n, start)
 
-    def _flat(self, chars: np.ndarray, ids: np.ndarray, real: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    def _flat(self, chars: np.ndarray, ids: np.ndarray, real: np.ndarray, starts: np.ndarray) -> list[bytes]:
         """The real ids of each row, those below 0 as the bytes of the character at their start."""
-        by_bytes = np.flatnonzero((real & (ids < 0)).any(axis=1))
-        out = np.split(ids[real], np.cumsum(real.sum(axis=1))[:-1])
-        for r in by_bytes.tolist():
+        raw, ends = ids[real].astype("<i4").tobytes(), (4 * np.cumsum(real.sum(axis=1))).tolist()
+        out = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for r in np.flatnonzero((real & (ids < 0)).any(axis=1)).tolist():
             flat: list[int] = []
             for i, k in zip(ids[r][real[r]].tolist(), starts[r][real[r]].tolist(), strict=True):
                 flat += [i] if i >= 0 else self._bytes_of(int(chars[r, k]))
-            out[r] = np.array(flat, np.int64)
+            out[r] = np.array(flat, "<i4").tobytes()
         return out
 
     # --- texts --------------------------------------------------------------------------------------------------
@@ -201,15 +217,18 @@ class Model:
         return _WORDS.findall(SPACE + text if self.dummy_prefix else text)
 
     def encode(self, texts: list[str | None], algorithm: int | None = None) -> list[np.ndarray]:
-        return self.encode_cut([self.words(t or "") for t in texts], algorithm or self.algorithm)
+        (out,) = self.encode_cut([self.words(t or "") for t in texts], (algorithm or self.algorithm,))
+        return out
 
-    def encode_cut(self, cut_up: list[list[str]], algorithm: int) -> list[np.ndarray]:
-        seen = self.seen.setdefault(algorithm, {})
+    def encode_cut(self, cut_up: list[list[str]], algorithms: tuple[int, ...]) -> list[list[np.ndarray]]:
+        """The ids of texts that are cut into words, by each of the algorithms."""
+        seen = self.seen.setdefault(algorithms, {})
         if len(seen) > REMEMBERED:
             seen.clear()
         new = list(set().union(*cut_up).difference(seen))
-        seen.update(zip(new, self.encode_words(new, algorithm), strict=True))
-        return [np.concatenate([seen[w] for w in ws]) if ws else np.zeros(0, np.int64) for ws in cut_up]
+        seen.update(zip(new, self.encode_words(new, algorithms), strict=True))
+        found = [[seen[w] for w in ws] for ws in cut_up]
+        return [[np.frombuffer(b"".join([f[k] for f in fs]), "<i4") for fs in found] for k in range(len(algorithms))]
 
     def decode(self, ids: np.ndarray) -> str:
         if self.byte_ids is not None and not hasattr(self, "_byte_of"):
@@ -247,11 +266,6 @@ def _span(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(h ^ ((b - a).astype(U64) << U64(40)))
 
 
-def _between(sums: np.ndarray, a: np.ndarray, e: int) -> np.ndarray:
-    h = (sums[:, e][:, None] - sums[:, a]) * _down(sums.shape[1])[a][None, :]
-    return mix(h ^ ((e - a).astype(U64) << U64(40))[None, :])
-
-
 def _hashes(pieces: list[str]) -> np.ndarray:
     out = np.zeros(len(pieces), U64)
     size = np.array([len(p) for p in pieces])
@@ -351,7 +365,7 @@ def summary(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
                 part = b.slice(k, 500)
                 texts = part.column("text").to_pylist()
                 words = [model.words(t or "") for t in texts]
-                own, best = model.encode_cut(words, model.algorithm), model.encode_cut(words, UNIGRAM)
+                own, best = model.encode_cut(words, (model.algorithm, UNIGRAM))
                 same = [model.decode(x) == (t or "") == model.decode(y) for t, x, y in zip(texts, own, best, strict=True)]
                 cols = [part.column("id"), pa.array([len(x) for x in own], pa.int64()), pa.array([digest(x) for x in own], pa.string()), pa.array([len(x) for x in best], pa.int64()), pa.array([digest(x) for x in best], pa.string()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_ids", "ids_sha256", "n_viterbi", "viterbi_sha256", "same"])
