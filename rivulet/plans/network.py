@@ -16,13 +16,17 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     e = part.select((key % 4 + 1).cast("int").alias("netID"), (F.floor(key / 4) + 1).cast("bigint").alias("rid"), (F.lit(100.0) + 10 * F.col("p_size")).alias("length"), "p_retailprice")
     e = e.withColumn("binaryID", F.bin("rid"))
-    paths = e.select("netID", "rid", "p_retailprice", F.explode(F.sequence(F.lit(0), F.length("binaryID") - 1)).alias("k")).withColumn("up", F.expr("shiftright(rid, k)")).drop("k")
-    lengths = e.select("netID", F.col("rid").alias("up"), "length")
-    up = paths.join(lengths, ["netID", "up"]).groupBy("netID", "rid").agg(F.sum("length").alias("upDist"))
-    area = paths.groupBy("netID", F.col("up").alias("rid")).agg(F.sum(F.round(F.col("p_retailprice") * 100).cast("bigint")).alias("area"))
-    pi = area.withColumn("pi", F.col("area") / F.sum("area").over(Window.partitionBy("netID", F.expr("shiftright(rid, 1)"))))
-    afv = paths.join(pi.select("netID", F.col("rid").alias("up"), "pi"), ["netID", "up"]).groupBy("netID", "rid").agg(F.round(F.exp(F.sum(F.log("pi"))), 12).alias("afv"))
-    return e.join(up, ["netID", "rid"]).join(afv, ["netID", "rid"]).select("netID", "rid", "binaryID", "length", "upDist", "afv")
+    cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
+    up = F.explode(F.transform(F.sequence(F.lit(0), F.length("binaryID") - 1), lambda k: F.call_function("shiftright", F.col("rid"), k))).alias("up")
+    # areas add up over what drains through an edge; an edge's share is that of its area among the edges that join with it
+    area = e.select("netID", up, cents.alias("cents")).groupBy("netID", F.col("up").alias("rid")).agg(F.sum("cents").alias("area"))
+    share = area.withColumn("pi", F.col("area") / F.sum("area").over(Window.partitionBy("netID", F.expr("shiftright(rid, 1)"))))
+    facts = e.select("netID", "rid", "length").join(share.select("netID", "rid", "pi"), ["netID", "rid"]).withColumnRenamed("rid", "up")
+    # one aggregate over the path gives both the distance to the outlet and the product of the shares
+    walked = e.select("netID", "rid", up).join(facts, ["netID", "up"]).groupBy("netID", "rid")
+    own = F.max(F.when(F.col("up") == F.col("rid"), F.col("length"))).alias("length")
+    found = walked.agg(own, F.sum("length").alias("upDist"), F.round(F.exp(F.sum(F.log("pi"))), 12).alias("afv"))
+    return found.select("netID", "rid", F.bin("rid").alias("binaryID"), "length", "upDist", "afv")
 
 
 def sites(spark: SparkSession, sf_dir: str, edges_: DataFrame, table: str = "supplier") -> DataFrame:
