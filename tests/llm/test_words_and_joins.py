@@ -142,3 +142,28 @@ def test_very_common_runs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = sorted((r["id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.kept_words(df, digest=True).collect())
     assert got == plain_windows(rows)
+
+
+def test_sketches_of_sets_that_link_are_alike():
+    rng = np.random.default_rng(11)
+    lim = ngram_join.Limits(9, 10)
+    for n in (9, 40, 300, 1200):
+        for _ in range(50):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.sort(np.concatenate([rng.permutation(a)[n // 20 :], rng.integers(0, 2**63, n // 20).astype(np.uint64)]))
+            x, y = ngram_join.sketches(np.concatenate([a, b]), np.array([len(a), len(b)]))
+            assert sum(int(v).bit_count() for v in x ^ y) <= ngram_join.most_bits(lim)
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = random.Random(9)
+    base = [f"v{k}" for k in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.choice([1, 3, 8])):
+            w[rng.randrange(150)] = f"u{rng.randrange(9999)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["id"], r["n"], r["component"]) for r in ngram_join.jaccard_components(df, shingle=3, threshold=(90, 100)).collect())
+    assert got == plain_join(rows, 3, 90, 100)
