@@ -626,7 +626,7 @@ def varcomp(m: Model) -> DataFrame:
 def tidy(m: Model, effects: str = "fixed", conf_level: float | None = None) -> DataFrame:
     spark = m.obs.sparkSession
     if effects != "fixed":
-        rows = [(k.split("_")[0].split(":")[0], k, float(v), k not in m.free) for k, v in m.theta.items() if effects in ("ssn", "covariance") or k.startswith(effects) or effects == "randcov" and k.startswith("random:")]
+        rows = [(k.split("_")[0].split(":")[0], k, float(v), k not in m.free) for k, v in m.theta.items() if effects == "covariance" or k.startswith(effects) or effects == "randcov" and k.startswith("random:")]
         return spark.createDataFrame(rows, "effect string, term string, estimate double, is_known boolean")
     se = np.sqrt(np.diag(m.vcov))
     ci = m.confint(conf_level or 0.95)
