@@ -3,19 +3,25 @@
 Equal sets are one node, known by its smallest document. Nodes that can link to others (see below) give keys, so that any two
 that link have a key in common:
 
-* light sets, up to a boundary size: all subsets of 4 of the first n - ceil(t n) + 4 shingles in hash order. Two sets that
-  share t of the larger one share at least 4 of these. Sets of a few shingles have one to some dozens of such subsets.
-* heavy sets: inverted lists of the set's parts. The hash range is cut into D + 1 parts and some more, where D is how many
-  shingles two sets of that size class can differ by; so one part at least is equal in both, and a list holds the sets with
-  one and the same content of one part. Such a list has near copies only; a shingle or passage that is common by itself, as a
-  plain inverted list would hold it, makes no list. Sets near the boundary give both kinds of keys, sets near the end of a
-  size class those of two classes, and sets with more empty parts than planned also plain prefix lists among themselves.
+* both kinds: the hash range is cut into parts, so many that two sets of a size class that link have some parts alike, whatever
+  D shingles they differ by.
+* light sets, up to a boundary size: all subsets of a fixed number of parts. With D + LIGHT_PARTS parts at least LIGHT_PARTS are
+  alike, so subsets of that many meet; each covers a large share of the set, and a line or passage that is common by itself is
+  no such subset.
+* heavy sets: inverted lists of single parts, D + 1 of them and some more. A list holds the sets with one and the same content
+  of one part, which are near copies; a common shingle alone makes no list.
+
+Sets near the boundary give both kinds of keys, sets near the end of a size class those of two classes, and sets with more empty
+parts than planned also plain prefix lists among themselves.
 
 The boundary is the size at which the two together give the fewest keys, from the counts of all sizes.
 
 A list is never expanded into its pairs. Its most central member (the one whose other lists are longest) is its pivot; each
 node is compared with the pivot it shares most lists with, which joins near copies into components at once. Then the lists that
-still hold several components are compared with their other pivots, and at last, across components only, with each other.
+still hold several components are compared with their other pivots, and at last, across components only, with each other. Before
+sets are fetched, and inside the join that makes them, pairs must agree in size and in a sketch: the number of slots of the hash
+range whose contents differ, by a few bits of each, may not be over the number of shingles by which the two may differ. Then they
+must have as many lists in common as these leave. Both are certain: no link is lost.
 Comparisons are exact intersections of 64-bit shingle hashes.
 
 Before all this, nodes of SCREENED shingles or more that can't have a partner are put aside: of the shingles in the lowest
@@ -41,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import U64, Words, cut, grams, lists, mix, signed
 from .graph import components
 
-SUBSET, LARGEST_BOUNDARY, CLASS_RATIO = 4, 64, 1.4
+LIGHT_PARTS, LARGEST_BOUNDARY, CLASS_RATIO = 3, 40, 1.4
 SCREENED, SIGMAS = 160, 7.0
 #: Rows up to which a table of ids is broadcast.
 BROADCAST_ROWS = 500_000
@@ -73,10 +79,13 @@ class Limits:
     def class_of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(_CLASS_STARTS, n, side="right") - 1
 
+    def differ(self, cls: np.ndarray) -> np.ndarray:
+        """Shingles by which two sets of a size class can differ and still link."""
+        return 2 * (_CLASS_STARTS[cls + 1] - 1) * (self.den - self.num) // (self.den + self.num)
+
     def parts(self, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Parts of the hash range for a size class, and how many of them may be empty; no parts if no two sets of the class can differ."""
-        top = _CLASS_STARTS[cls + 1] - 1
-        d = 2 * top * (self.den - self.num) // (self.den + self.num)
+        d = self.differ(cls)
         spare = -(-(d + 1) // 20) + 2
         return np.where(d > 0, d + 1 + spare, 0), spare
 
@@ -109,7 +118,8 @@ def boundary(sizes: dict[int, int], lim: Limits) -> int:
     """The size up to which sets are light: the one with the fewest keys in all. sizes: numbers of sets by size, up to LARGEST_BOUNDARY."""
 
     def by_subsets(n):
-        return math.comb(n - lim.share(n) + SUBSET, SUBSET) if lim.share(n) >= SUBSET else math.inf
+        d = int(lim.differ(lim.class_of(np.array([n])))[0])
+        return math.comb(d + LIGHT_PARTS, LIGHT_PARTS)
 
     def by_parts(n):
         return int(lim.parts(lim.class_of(np.array([n])))[0][0])
@@ -126,47 +136,78 @@ def boundary(sizes: dict[int, int], lim: Limits) -> int:
     return min(range(LARGEST_BOUNDARY + 1), key=lambda x: (cost(x), x))
 
 
-def keys(h: np.ndarray, counts: np.ndarray, lim: Limits, x: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each set and how many each has; h is sorted within each set."""
+def keys(h: np.ndarray, counts: np.ndarray, lim: Limits, x: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of each set, the size class of each key (-1 for all but single parts), and how many keys each set has; h is sorted within each set."""
     first = np.concatenate([[0], np.cumsum(counts)])
-    found, owners = [], []
+    found, classes, owners = [], [], []
     mixed = mix(h)
     cls = lim.class_of(np.maximum(counts, 1))
-    partitioned = (counts > x) | (counts * lim.den >= lim.num * (x + 1))
-    partitioned &= counts >= lim.smallest()
+    some = counts >= lim.smallest()
+    heavy = some & ((counts > x) | (counts * lim.den >= lim.num * (x + 1)))
+    owner = np.repeat(np.arange(len(counts)), counts)
     for step in (0, 1):
-        own = partitioned if step == 0 else partitioned & (counts * lim.den >= lim.num * _CLASS_STARTS[cls + 1])
+        near_end = counts * lim.den >= lim.num * _CLASS_STARTS[cls + 1]
         n_parts, spare = lim.parts(cls + step)
-        own = own & (n_parts > 0)
-        rows = np.flatnonzero(np.repeat(own, counts))
-        if not len(rows):
-            continue
-        doc = np.repeat(np.arange(len(counts)), counts)[rows]
-        part = ((h[rows] >> U64(32)) * n_parts[doc].astype(U64)) >> U64(32)
-        new = np.concatenate([[True], (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])])
-        at = np.flatnonzero(new)
-        sums = np.add.reduceat(mixed[rows], at)
-        found.append(mix(sums + (cls[doc[at]] + step).astype(U64) * _TAG_PART + part[at] * _TAG_INDEX))
-        owners.append(doc[at])
-        filled = np.bincount(doc[at], minlength=len(counts))
+        own = heavy & (n_parts > 0) & (near_end | (step == 0))
+        doc, at, sums, part = _contents(h, mixed, owner, np.flatnonzero(own[owner]), n_parts)
+        tag = (cls[doc] + step).astype(U64) * _TAG_PART
+        found.append(mix(sums + tag + part * _TAG_INDEX))
+        classes.append(cls[doc] + step)
+        owners.append(doc)
+        filled = np.bincount(doc, minlength=len(counts))
         for d in np.flatnonzero(own & (n_parts - filled > spare)):
             prefix = h[first[d] : first[d] + counts[d] - lim.share(int(counts[d])) + 1]
-            found.append(mix(prefix + U64(int(cls[d]) + step) * _TAG_PART + _TAG_PREFIX))
+            found.append(mix((prefix ^ _TAG_PREFIX) + np.array([int(cls[d]) + step], U64) * _TAG_PART))
+            classes.append(np.full(len(prefix), -1))
             owners.append(np.full(len(prefix), d))
-    light = (counts <= x) & (counts >= lim.smallest())
-    length = np.where(light, counts - lim.share(counts) + SUBSET, 0)
-    for p in np.unique(length[light]):
-        own = np.flatnonzero(light & (length == p))
-        chosen = np.array(list(combinations(range(int(p)), SUBSET)))
-        grid = mixed[first[own][:, None] + np.arange(p)[None, :]]
-        sums = grid[:, chosen].sum(axis=2, dtype=U64)
-        found.append(mix(sums + _TAG_SUBSET).reshape(-1))
-        owners.append(np.repeat(own, len(chosen)))
-    if not found:
-        return np.zeros(0, U64), np.zeros(len(counts), np.int64)
-    key, owner = np.concatenate(found), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return key[order], np.bincount(owner, minlength=len(counts))
+        d_max = np.where(some & (counts <= x) & (near_end | (step == 0)), lim.differ(cls + step), 0)
+        for d in np.unique(d_max[d_max > 0]):
+            group = np.flatnonzero(d_max == d)
+            p = int(d) + LIGHT_PARTS
+            doc, at, sums, part = _contents(h, mixed, owner, np.flatnonzero((d_max == d)[owner]), np.full(len(counts), p))
+            grid = np.zeros((len(counts), p), U64)  # an empty part counts as a part with content 0
+            grid[doc, part.astype(np.int64)] = mix(sums)
+            chosen = np.array(list(combinations(range(p), LIGHT_PARTS)))
+            picked = grid[group][:, chosen]
+            place = mix(chosen.astype(U64) + U64(1))
+            light = mix((picked * (place | U64(1))[None, :, :]).sum(axis=2, dtype=U64) + np.arange(len(chosen), dtype=U64)[None, :] * _TAG_INDEX + (cls[group] + step).astype(U64)[:, None] * _TAG_PART + _TAG_SUBSET)
+            filled_parts = (picked != 0).sum(axis=2)
+            real = filled_parts > 0
+            found.append(light[real])
+            classes.append(np.full(int(real.sum()), -1))
+            owners.append(np.repeat(group, real.sum(axis=1)))
+    key, kind, who = np.concatenate(found), np.concatenate(classes), np.concatenate(owners).astype(np.int64)
+    order = np.argsort(who, kind="stable")
+    return key[order], kind[order].astype(np.int32), np.bincount(who, minlength=len(counts))
+
+
+def _contents(h, mixed, owner, rows, n_parts):
+    """For the non-empty parts of the sets that own rows: set, first row, sum of the mixed shingles, and number of the part."""
+    if not len(rows):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, U64), np.zeros(0, U64)
+    doc = owner[rows]
+    part = ((h[rows] >> U64(32)) * n_parts[doc].astype(U64)) >> U64(32)
+    at = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])]))
+    return doc[at], at, np.add.reduceat(mixed[rows], at), part[at]
+
+
+#: A sketch has PLANES bits for each of SLOTS slots of the hash range, in words of 64 bits.
+SLOTS, PLANES = 256, 4
+SKETCH_WORDS = SLOTS * PLANES // 64
+
+
+def sketches(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """PLANES bits of the content of each slot of each set. Slots whose bits differ differ in a shingle at least, so two sets
+    differ by as many shingles at least as slots have different bits."""
+    out = np.zeros((len(counts), SKETCH_WORDS), U64)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    doc, _, sums, slot = _contents(h, mix(h ^ _TAG_SUBSET), owner, np.arange(len(h)), np.full(len(counts), SLOTS))
+    bits = mix(sums)
+    for p in range(PLANES):
+        word = (slot >> U64(6)).astype(np.int64) + p * (SLOTS // 64)
+        np.bitwise_or.at(out, (doc, word), ((bits >> U64(p)) & U64(1)) << (slot & U64(63)))
+    return out
 
 
 def _parts(batch: pa.RecordBatch, n: int):
@@ -232,16 +273,19 @@ def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _keys(sets: DataFrame, lim: Limits, x: int) -> DataFrame:
+    """(node, n, sketch words, keys, classes)."""
     kind = dict(sets.dtypes)["node"]
+    words = [f"s{k}" for k in range(SKETCH_WORDS)]
 
     def run(batches):
         for b in batches:
             for part in _parts(b, 200):
-                counts = part.column("n").to_numpy()
-                key, each = keys(part.column("sh").flatten().to_numpy().view(U64), counts, lim, x)
-                yield pa.RecordBatch.from_arrays([part.column("node"), lists(signed(key), each, pa.int64())], ["node", "keys"])
+                counts, h = part.column("n").to_numpy(), part.column("sh").flatten().to_numpy().view(U64)
+                key, cls, each = keys(h, counts, lim, x)
+                bits = signed(sketches(h, counts))
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n"), *[pa.array(bits[:, k].copy()) for k in range(SKETCH_WORDS)], lists(signed(key), each, pa.int64()), lists(cls, each, pa.int32())], ["node", "n", *words, "keys", "classes"])
 
-    return sets.mapInArrow(run, f"node {kind}, keys array<bigint>").select("node", F.explode("keys").alias("key"))
+    return sets.mapInArrow(run, f"node {kind}, n bigint, {', '.join(w + ' bigint' for w in words)}, keys array<bigint>, classes array<int>")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, lim: Limits) -> DataFrame:
@@ -272,35 +316,59 @@ def node_links(texts: DataFrame, nodes: DataFrame, k: int, lim: Limits) -> DataF
     wanted = cut(screen(nodes, lim))
     sizes = {int(r[0]): r[1] for r in wanted.where(F.col("n") <= LARGEST_BOUNDARY).groupBy("n").count().collect()}
     sets = cut(_sets(texts, wanted, k))
-    rows = cut(_keys(sets, lim, boundary(sizes, lim)))
-    shared = rows.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
-    listed = cut(rows.join(shared, "key").select("key", "node", "sets"))
-    weight = listed.groupBy("node").agg(F.sum("sets").alias("weight"))
-    weighted = listed.select("key", "node").join(weight, "node")
-    pivot = weighted.groupBy("key").agg(F.max(F.struct("weight", F.negative("node").alias("minus"))).alias("top")).select("key", F.negative("top.minus").alias("pivot"), F.col("top.weight").alias("weight"))
-    common = cut(listed.select("key", "node").join(pivot, "key").where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"), F.first("weight").alias("weight")))
-    best = common.groupBy("node").agg(F.max(F.struct("n", "weight", "pivot")).alias("top")).select(F.col("node").alias("a"), F.col("top.pivot").alias("b"))
+    made = cut(_keys(sets, lim, boundary(sizes, lim)))
+    rows = made.select("node", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("classes").alias("cls"))).alias("k")).select("node", "k.key", "k.cls")
+    shared = rows.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key")
+    listed = cut(rows.join(shared, "key").select("key", "node", "cls"))
+    weight = listed.groupBy("node").agg(F.count("*").alias("weight"))
+    pivot = listed.select("key", "node").join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", F.negative("node").alias("minus"))).alias("top")).select("key", F.negative("top.minus").alias("pivot"))
+    met = listed.join(pivot, "key").where("node <> pivot")
+    filled = F.map_from_entries(F.transform(F.array_distinct("classes"), lambda c: F.struct(c, F.size(F.filter("classes", lambda d: d == c)))))
+    facts = made.select("node", "n", *[f"s{k}" for k in range(SKETCH_WORDS)], filled.alias("filled"))
+
+    def likely(counted: DataFrame) -> DataFrame:
+        """Those of (a, b, cls, k), k lists in common by class, that sizes, sketches and numbers of lists allow; (a, b, k)."""
+        i, j = (facts.select(F.col("node").alias(c), *[F.col(f).alias(f"{f}_{c}") for f in facts.columns if f != "node"]) for c in "ab")
+        both = counted.join(i, "a").join(j, "b")
+        apart = F.floor((F.col("n_a") + F.col("n_b")) * F.lit(lim.den - lim.num) / F.lit(lim.den + lim.num))
+        enough = (F.col("cls") < 0) | (F.col("k") >= F.greatest(F.element_at("filled_a", F.col("cls")), F.element_at("filled_b", F.col("cls"))) - apart)
+        return both.where(_alike(lim) & enough).groupBy("a", "b").agg(F.sum("k").alias("k"))
+
+    common = cut(likely(met.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b"), "cls").agg(F.count("*").alias("k"))))
+    best = common.groupBy("a").agg(F.max(F.struct("k", F.negative("b").alias("minus"))).alias("top")).select("a", F.negative("top.minus").alias("b"))
     links = cut(_compare(best, sets, lim))
 
-    group = cut(components(links))
-    named = group.withColumnsRenamed({"component": "group"})
+    named = cut(components(links)).withColumnsRenamed({"component": "group"})
 
     def grouped(df, column, out):
         return df.join(named.select(F.col("node").alias(column), F.col("group").alias(out)), column, "left").withColumn(out, F.coalesce(out, F.col(column)))
 
-    others = grouped(grouped(common.select("node", "pivot"), "node", "ga"), "pivot", "gb").where("ga <> gb").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    others = grouped(grouped(common.select("a", "b"), "a", "ga"), "b", "gb").where("ga <> gb").select("a", "b").join(best, ["a", "b"], "left_anti")
     more = cut(_compare(others, sets, lim))
     links = links.unionByName(more)
     if not more.isEmpty():
         named = cut(components(links)).withColumnsRenamed({"component": "group"})
-    held = grouped(listed.select("key", "node"), "node", "group")
+    held = grouped(listed, "node", "group")
     mixed = held.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    left = cut(held.join(mixed, "key"))
-    a, b = left.select("key", F.col("node").alias("a"), F.col("group").alias("ga")), left.select("key", F.col("node").alias("b"), F.col("group").alias("gb"))
-    tried = common.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    tried = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    across = a.join(b, "key").where("ga < gb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(_compare(across, sets, lim))
+    slim = facts.drop("filled")
+    left = cut(held.join(mixed, "key").join(slim, "node"))
+    a, b = (left.select("key", *([F.col("cls")] if c == "a" else []), *[F.col(f).alias(c if f == "node" else f"{f}_{c}") for f in left.columns if f not in ("key", "cls")]) for c in "ab")
+    across = a.join(b, (a["key"] == b["key"]) & (F.col("group_a") < F.col("group_b")) & _alike(lim)).groupBy("a", "b", "cls").agg(F.count("*").alias("k"))
+    tried = common.select("a", "b").unionByName(common.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return links.unionByName(_compare(likely(across).select("a", "b").join(tried, ["a", "b"], "left_anti"), sets, lim))
+
+
+def _alike(lim: Limits):
+    """Whether sizes and sketches of a and b allow a link."""
+    words = SLOTS // 64
+    bits = F.lit(0)
+    for w in range(words):
+        differ = F.lit(0).cast("long")
+        for p in range(PLANES):
+            differ = differ.bitwiseOR(F.col(f"s{p * words + w}_a").bitwiseXOR(F.col(f"s{p * words + w}_b")))
+        bits = bits + F.bit_count(differ)
+    apart = F.floor((F.col("n_a") + F.col("n_b")) * F.lit(lim.den - lim.num) / F.lit(lim.den + lim.num))
+    return (F.col("n_a") * lim.den >= F.col("n_b") * lim.num) & (F.col("n_b") * lim.den >= F.col("n_a") * lim.num) & (bits <= apart)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
