@@ -24,9 +24,11 @@ range whose contents differ, by a few bits of each, may not be over the number o
 must have as many lists in common as these leave. Both are certain: no link is lost.
 Comparisons are exact intersections of 64-bit shingle hashes.
 
-Before all this, nodes of SCREENED shingles or more that can't have a partner are put aside: of the shingles in the lowest
-sixteenth of the hash range, a set that links shares about t with one other set; those of which fewer than that by SIGMAS standard
-deviations stand in any other set at all (chance under 1e-11 for a set that links) have none.
+Before all this, nodes of SCREENED shingles or more that hardly can have a partner are put aside: of the shingles in the lowest
+sixteenth of the hash range, a set that links shares about t with one other set. Every set that can be a partner of a screened one
+shows its shingles there, those under SCREENED too. A set goes where so few of its L stand in any other set at all that Hoeffding's
+bound exp(-L * KL(seen / L, t)), which holds for draws without replacement, is MISSED or less. So the screen is not certain: for
+random hashes a set that links is put aside with a chance of at most MISSED. Sets with too few low shingles for that all stay.
 
 Defined results: documents without words have an empty set and link with nothing; a text of fewer words than a shingle is one
 shingle; a null id links with nothing; rows that repeat an id and text count once, and rows that share only an id are one node
@@ -48,7 +50,7 @@ from .common import U64, Words, cut, grams, lists, mix, signed
 from .graph import components
 
 LIGHT_PARTS, LARGEST_BOUNDARY, CLASS_RATIO = 3, 40, 1.4
-SCREENED, SIGMAS = 160, 7.0
+SCREENED, MISSED = 160, 1e-12
 #: Rows up to which a table of ids is broadcast.
 BROADCAST_ROWS = 500_000
 _TAG_PART, _TAG_INDEX, _TAG_SUBSET, _TAG_PREFIX = U64(0x8CB92BA72F3D8DD7), U64(0xE7037ED1A0B428DB), U64(0x589965CC75374CC3), U64(0x1D8E4E27C47D124F)
@@ -220,8 +222,10 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def sizes_and_digests(texts: DataFrame, k: int) -> DataFrame:
-    """(id, body, n, hi, lo, low): size and 128-bit digest of each row's set, and its shingles in the lowest sixteenth of the range."""
+def sizes_and_digests(texts: DataFrame, k: int, lim: Limits) -> DataFrame:
+    """(id, body, n, hi, lo, low): size and 128-bit digest of each row's set, and its shingles in the lowest sixteenth of the range
+    if it is screened or can be a partner of a screened one."""
+    shown = lim.share(SCREENED)
 
     def run(batches):
         for b in batches:
@@ -231,7 +235,7 @@ def sizes_and_digests(texts: DataFrame, k: int) -> DataFrame:
                 sums = [np.concatenate([[U64(0)], np.cumsum(mix(h ^ t), dtype=U64)]) for t in (_TAG_PART, _TAG_INDEX)]
                 hi, lo = (mix(s[at[1:]] - s[at[:-1]] + counts.astype(U64)) for s in sums)
                 owner = np.repeat(np.arange(part.num_rows), counts)
-                low = (h < U64(1 << 60)) & (counts >= SCREENED)[owner]
+                low = (h < U64(1 << 60)) & (counts >= shown)[owner]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("body"), pa.array(counts), pa.array(signed(hi)), pa.array(signed(lo)), lists(signed(h[low]), np.bincount(owner[low], minlength=part.num_rows), pa.int64())], ["id", "body", "n", "hi", "lo", "low"])
 
     return texts.select("id", "body", "text").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, body bigint, n bigint, hi bigint, lo bigint, low array<bigint>")
@@ -243,10 +247,13 @@ def screen(nodes: DataFrame, lim: Limits) -> DataFrame:
     rows = nodes.where(F.size("low") > 0).select("node", F.explode("low").alias("h"))
     shared = rows.groupBy("h").agg(F.count("*").alias("sets")).where("sets > 1").select("h")
     seen = rows.join(shared, "h").groupBy("node").agg(F.count("*").alias("seen"))
-    size = F.size("low")
-    least = F.lit(t) * size - F.lit(SIGMAS * math.sqrt(t * (1 - t))) * F.sqrt(size) - 1
-    some = nodes.where(F.col("n") >= lim.smallest()).select("node", "body", "n", least.alias("least"))
-    return some.join(seen, "node", "left").where((F.col("n") < SCREENED) | (F.coalesce("seen", F.lit(0)) >= F.col("least"))).select("node", "body", "n")
+    size, joint = F.col("size"), F.coalesce("seen", F.lit(0))
+    x = joint / F.nullif(size, F.lit(0))
+    far = joint * F.log(F.nullif(x, F.lit(0.0)) / t)  # null, taken as 0, where none is seen
+    apart = F.coalesce(far, F.lit(0.0)) + F.coalesce((size - joint) * F.log(F.nullif(1 - x, F.lit(0.0)) / (1 - t)), F.lit(0.0))
+    hopeless = (F.col("n") >= SCREENED) & (joint < t * size) & (apart >= -math.log(MISSED))
+    some = nodes.where(F.col("n") >= lim.smallest()).select("node", "body", "n", F.size("low").alias("size"))
+    return some.join(seen, "node", "left").where(~hopeless).select("node", "body", "n")
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -375,7 +382,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, body, n, component) for each row of docs: size of its shingle set and the smallest id that links reach."""
     lim = Limits(*threshold)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.col(text_col).alias("text"))
-    base = cut(sizes_and_digests(texts, shingle))
+    base = cut(sizes_and_digests(texts, shingle, lim))
     some = base.where("n > 0 and id is not null")
     nodes = cut(some.groupBy("hi", "lo").agg(F.min(F.struct("id", "body", "n", "low")).alias("s")).select("hi", "lo", F.col("s.id").alias("node"), "s.body", "s.n", "s.low"))
     groups = components(node_links(texts.where("id is not null"), nodes, shingle, lim))

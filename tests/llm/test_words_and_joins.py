@@ -168,3 +168,22 @@ def test_a_large_group_of_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["id"], r["n"], r["component"]) for r in ngram_join.jaccard_components(df, shingle=3, threshold=(90, 100)).collect())
     assert got == plain_join(rows, 3, 90, 100)
+
+
+def test_links_across_the_border_of_the_screen_are_kept(spark):
+    rows = []
+    for i in range(12):  # 165 and 155 shingles of three words, 163 and 153 of five
+        w = [f"p{i}x{j}" for j in range(167)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:157]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, t in ((3, (90, 100)), (5, (8, 10))):
+        got = sorted((r["id"], r["n"], r["component"]) for r in ngram_join.jaccard_components(df, shingle=k, threshold=t).collect())
+        assert got == plain_join(rows, k, *t) and len({c for *_, c in got}) == 12
+
+
+def test_screen_puts_aside_only_what_the_bound_allows(spark):
+    lim, size = ngram_join.Limits(9, 10), 40
+    rows = [(0, 0, 600, list(range(size))), (1, 0, 600, list(range(20)) + list(range(100, 120))), (2, 0, 150, list(range(20, 38))), (3, 0, 600, list(range(200, 240))), (4, 0, 165, list(range(300, 311)))]
+    nodes = spark.createDataFrame(rows, "node long, body long, n long, low array<bigint>")
+    # 38 of 40 seen, 20 of 40 seen, not screened, none of 40 seen, none of 11 seen: the bound is 1e-11
+    assert sorted(r["node"] for r in ngram_join.screen(nodes, lim).collect()) == [0, 1, 2, 4]
