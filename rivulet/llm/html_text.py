@@ -4,6 +4,10 @@ Each page is parsed as a stream of tags and text into blocks, and parts that are
 go: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Where a page marks its
 article (an <article>, <main> or role=main), only that counts, and this decides alone.
 
+A class or id names such a part only as a whole token: a word of MARKS, or those with nothing but BEFORE and AFTER them
+(site-header, sidebar-left; not has-sidebar or social-history). A <main> in a part that is named so counts all the same; an
+<article> there counts where the page marks no other, unless its own class or id names it or it stands within an article.
+
 What a page without such a mark leaves is ambiguous, and there the host's suffix array decides: the blocks of the host's
 unmarked pages are concatenated as token streams, long substrings that repeat across distinct pages are found through a suffix
 array with longest common prefixes, and the blocks that they cover go; runs that are unique to a page stay. Host streams are
@@ -41,32 +45,47 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments disqus cookie cookies consent notice notices gdpr popup modal newsletter subscribe subscription social share sharing related recommended widget login signup".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Words that a name of such a part can have before and after it, as in site-header or sidebar-left. Any other word makes it another name.
+BEFORE = frozenset("site page global main primary secondary top bottom left right mobile the".split())
+AFTER = frozenset("area bar block body box bottom button buttons container form inner item items left link links list right section slot top unit widgets wrap wrapper".split())
 _CLASS_WORD = re.compile(r"[a-z]+")
+#: How a part is no main text: not at all, by its class or id alone, or by anything else.
+KEPT, NAMED, CERTAIN = 0, 1, 2
+
 
+def _named(token: str) -> bool:
+    """Whether a token of a class or id names a part that is no main text: a mark, or marks with nothing but BEFORE and AFTER them."""
+    words = _CLASS_WORD.findall(token)
+    at = 0
+    while at < len(words) and words[at] in BEFORE and words[at] not in MARKS:
+        at += 1
+    return at < len(words) and words[at] in MARKS and all(w in MARKS or w in AFTER for w in words[at:])
 
-def _unwanted(name: str, attrs: str) -> bool:
+
+def _unwanted(name: str, attrs: str) -> int:
     if name in DROPPED:
-        return True
+        return CERTAIN
     if not attrs.strip() or name in ("html", "body", "article", "main"):
-        return False
+        return KEPT
+    found = KEPT
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True
+            return CERTAIN
         if key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if key in ("class", "id") and any(w in MARKS for w in _CLASS_WORD.findall(value)):
-            return True
-    return False
+            return CERTAIN
+        if key in ("class", "id") and any(map(_named, value.split())):
+            found = NAMED
+    return found
 
 
 def blocks(page: str) -> tuple[bool, list[str]]:
     """Whether the page marks its article, and the blocks of its main text in page order."""
-    out: list[tuple[bool, str]] = []
+    out: list[tuple[int, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, unwanted from here, inside a marked article
-    drop = main = False
-    marked = False
+    stack: list[tuple[str, int, int]] = []  # name, unwanted from here, inside a marked article: 2, or 1 if that stands in a NAMED part
+    drop, main = KEPT, 0
+    marked = 0
     at = 0
 
     def flush():
@@ -101,7 +120,7 @@ def blocks(page: str) -> tuple[bool, list[str]]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if depth >= 0 and not (name not in BLOCKS and name not in DROPPED and any(stack[i][0] in BLOCKS for i in range(depth + 1, len(stack)))):
                 del stack[depth:]
-                drop, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                drop, main = (stack[-1][1], stack[-1][2]) if stack else (KEPT, 0)
             continue
         if name in VOID or m["attrs"].rstrip().endswith("/") and name not in BLOCKS:
             continue
@@ -109,13 +128,19 @@ def blocks(page: str) -> tuple[bool, list[str]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name or name in ("dt", "dd") and stack[i][0] in ("dt", "dd"):
                     del stack[i:]
-                    drop, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    drop, main = (stack[-1][1], stack[-1][2]) if stack else (KEPT, 0)
                     break
                 if stack[i][0] in BLOCKS - {"p"} or stack[i][0] in DROPPED:
                     break
-        drop = drop or _unwanted(name, m["attrs"])
-        if not drop and (name in ("article", "main") or re.search(r"role\s*=\s*[\"']?main\b", m["attrs"], re.I)):
-            main = marked = True
+        own, whole = _unwanted(name, m["attrs"]), name == "main" or bool(re.search(r"role\s*=\s*[\"']?main\b", m["attrs"], re.I))
+        own = KEPT if whole and own == NAMED else own
+        if own == KEPT and (whole or name == "article"):
+            if not drop:
+                main = 2 if whole else main or 2
+            elif drop == NAMED and not main and (whole or not _unwanted("div", m["attrs"])):
+                drop, main = KEPT, 2 if whole else 1
+            marked = max(marked, main)
+        drop = max(drop, own)
         stack.append((name, drop, main))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -124,7 +149,7 @@ def blocks(page: str) -> tuple[bool, list[str]]:
             else:
                 at = end.start()
     flush()
-    return marked, [t for inside, t in out if inside or not marked]
+    return marked > 0, [t for inside, t in out if inside == marked]
 
 
 # --- the host's suffix array ------------------------------------------------------------------------------------

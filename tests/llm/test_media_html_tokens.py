@@ -123,3 +123,19 @@ def test_token_columns(spark):
     out = sentencepieces.decode(sentencepieces.encode(df, MODEL), MODEL).collect()
     assert {r["doc_id"]: r["decoded"] for r in out} == {i: t or "" for i, t in enumerate([*TEXTS, None])}
     assert all(r["same"] for r in sentencepieces.summary(df, MODEL).collect())
+
+
+def test_classes_name_parts_by_whole_tokens_only():
+    for c in ("has-sidebar", "layout-with-sidebar", "no-comments", "page-header-fixed", "social-history", "content-sidebar-wrap"):
+        assert html_text.blocks(f'<div class="x {c}"><p>kept</p></div>') == (False, ["kept"]), c
+        assert html_text.blocks(f'<div id="{c}"><article><p>kept</p></article></div>') == (True, ["kept"]), c
+    for c in ("ad", "site-header", "sidebar_left", "main-nav", "comments-list", "cookie-banner", "ad-1"):
+        assert html_text.blocks(f'<div class="x {c}"><p>gone</p></div><p>kept</p>') == (False, ["kept"]), c
+
+
+def test_named_wrappers_never_drop_the_article():
+    assert html_text.blocks('<div class="sidebar"><p>a</p><main><p>b</p><div class="ad">c</div></main></div>') == (True, ["b"])
+    assert html_text.blocks('<div class="header"><p>a</p><article>b</article></div><p>c</p>') == (True, ["b"])
+    assert html_text.blocks('<article>b<div class="comments"><article>rude</article></div></article><div class="related"><article>c</article></div>') == (True, ["b"])
+    assert html_text.blocks('<p>b</p><div class="comments"><article class="comment-body">rude</article></div>') == (False, ["b"])
+    assert html_text.blocks('<aside class="x"><article>c</article></aside><p>b</p>') == (False, ["b"])
