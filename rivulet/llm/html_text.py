@@ -11,7 +11,9 @@ A class or id names such a part only as a whole token: a word of MARKS, or those
 What a page without such a mark leaves is ambiguous, and there the host's suffix array decides: the blocks of the host's
 unmarked pages are concatenated as token streams, long substrings that repeat across distinct pages are found through a suffix
 array with longest common prefixes, and the blocks that they cover go; runs that are unique to a page stay. Host streams are
-read in shards of bounded size, so a host that holds most pages is no single task.
+read in shards of bounded size, so a host that holds most pages is no single task. What repeats across shards is found too: the
+shards of a host exchange 128-bit digests of their windows of MIN_TOKENS tokens, each once, and those that two shards have are
+given back to both. So the result is that of one array over the whole host, however it is dealt.
 
 A suffix array alone can't give the main text: an article that two pages share would go as boilerplate, and a menu that is
 unique to its page would stay. So marked articles are never judged by repetition.
@@ -22,6 +24,7 @@ repeated rows give repeated results (the same page in a shard counts once); othe
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -209,8 +212,14 @@ def repeated(tokens: np.ndarray, page: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def unique_runs(streams: list[list[str]], length: int) -> list[list[str]]:
-    """The blocks of each page that no repeat across distinct pages covers."""
+def windows(parts: list[str], length: int) -> list[bytes]:
+    """Digests of all windows of `length` tokens of a page."""
+    words = " ".join(parts).split(" ")
+    return [hashlib.blake2b(" ".join(words[i : i + length]).encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in range(len(words) - length + 1)]
+
+
+def unique_runs(streams: list[list[str]], length: int, elsewhere: frozenset[bytes] | set[bytes] = frozenset()) -> list[list[str]]:
+    """The blocks of each page that no repeat across distinct pages covers; elsewhere: digests of windows that other shards have."""
     ids: dict[str, int] = {}
     tokens, page, owner = [], [], []
     for p, parts in enumerate(streams):
@@ -223,6 +232,13 @@ def unique_runs(streams: list[list[str]], length: int) -> list[list[str]]:
         page.append(p)
         owner.append(None)
     gone = repeated(np.array(tokens, np.int64), np.array(page, np.int64), length)
+    at = 0
+    for parts in streams:
+        if elsewhere and parts:
+            for i, w in enumerate(windows(parts, length), at):
+                if w in elsewhere:
+                    gone[i : i + length] = True
+        at += sum(b.count(" ") + 1 for b in parts) + 1
     left = {o for o, g in zip(owner, gone, strict=True) if o is not None and not g}
     return [[b for k, b in enumerate(parts) if (p, k) in left] for p, parts in enumerate(streams)]
 
@@ -255,15 +271,31 @@ def _joined(df: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _unmarked(parsed: DataFrame, host, kind: str, min_tokens: int, shard_pages: int) -> DataFrame:
-    """Shards are dealt by a hash of the content; their number follows the host's number of pages, so shards keep their size."""
+    """Shards are dealt by a hash of the content; their number follows the host's number of pages, so shards keep their size.
+
+    Equal pages share a shard, so a window that two shards have stands on distinct pages. A shard gives each of its windows once:
+    a window that all pages of a host have comes as often as the host has shards.
+    """
     rows = parsed.withColumn("host", host)
     sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
-    dealt = rows.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("blocks"), F.greatest(F.lit(1), F.floor(F.col("n") / shard_pages).cast("bigint"))))
+    shards = F.greatest(F.lit(1), F.floor(F.col("n") / shard_pages).cast("bigint"))
+    dealt = rows.join(sizes, "host").withColumn("shards", shards).withColumn("shard", F.pmod(F.xxhash64("blocks"), F.col("shards")))
+
+    def given(batches):
+        for b in batches:
+            for host_, shard, page in zip(b.column("host").to_pylist(), b.column("shard").to_pylist(), b.column("blocks").to_pylist(), strict=True):
+                found = list(set(windows(page, min_tokens))) if page else []
+                yield pa.RecordBatch.from_arrays([pa.array([host_] * len(found), pa.string()), pa.array([shard] * len(found), pa.int64()), pa.array(found, pa.binary())], ["host", "shard", "digest"])
+
+    own = cut(dealt.where("shards > 1").select("host", "shard", "blocks").mapInArrow(given, "host string, shard bigint, digest binary").distinct())
+    several = own.groupBy("host", "digest").agg(F.count("*").alias("k")).where("k > 1").select("host", "digest")
+    elsewhere = own.join(several, ["host", "digest"]).select("host", "shard", "digest")
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def judge(pdf: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         streams = [list(b) for b in pdf["blocks"]]
         distinct = {tuple(s): i for i, s in enumerate(streams)}
-        kept = dict(zip(distinct, unique_runs([list(s) for s in distinct], min_tokens), strict=True))
+        kept = dict(zip(distinct, unique_runs([list(s) for s in distinct], min_tokens, set(others["digest"])), strict=True))
         return pd.DataFrame({"row": pdf["row"], "blocks": [kept[tuple(s)] for s in streams]})
 
-    return dealt.select("host", "shard", "row", "blocks").groupBy("host", "shard").applyInPandas(judge, f"row {kind}, blocks array<string>")
+    pages = dealt.select("host", "shard", "row", "blocks").groupBy("host", "shard")
+    return pages.cogroup(elsewhere.groupBy("host", "shard")).applyInPandas(judge, f"row {kind}, blocks array<string>")

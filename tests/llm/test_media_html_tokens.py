@@ -139,3 +139,19 @@ def test_named_wrappers_never_drop_the_article():
     assert html_text.blocks('<article>b<div class="comments"><article>rude</article></div></article><div class="related"><article>c</article></div>') == (True, ["b"])
     assert html_text.blocks('<p>b</p><div class="comments"><article class="comment-body">rude</article></div>') == (False, ["b"])
     assert html_text.blocks('<aside class="x"><article>c</article></aside><p>b</p>') == (False, ["b"])
+
+
+def test_repeats_are_found_across_the_shards_of_a_host(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):  # two shards of the default size
+        page = [f"own{i} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(9))]
+        page += ["menu one two three four five six"] if i % 3 == 0 else []
+        page += [f"rare{i // 2} notice on two pages only, of a host"] if i < 60 else []
+        rows.append((i, "http://big.com/x", "".join(f"<p>{b}</p>" for b in page)))
+    rows += [(600, "http://big.com/x", rows[0][2]), (601, "http://other.com/x", "<p>menu one two three four five six</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["main_text"] for r in html_text.extract(df).collect()}
+    want = {i: h[3 : h.index("</p>")] for i, _, h in rows}
+    assert got == want
+    assert {r["page_id"]: r["main_text"] for r in html_text.extract(df, shard_pages=40).collect()} == want
