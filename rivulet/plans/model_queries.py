@@ -39,7 +39,7 @@ def _(n):
 @add("fit_lm")
 def _(n):
     spec = models.Spec("y_resp ~ elev", {"tailup": "exponential", "taildown": "none", "euclid": "none", "nugget": "nugget"})
-    return models.tidy(models.fit(spec, n.obs.where("pid < 60"), n.edges), "covariance")
+    return models.tidy(models.fit(spec, n.obs, n.edges), "covariance")
 
 
 @add("fit_lm_ml_random_partition")
@@ -118,7 +118,7 @@ def _(n):
 
 @add("predict_block")
 def _(n):
-    return predict.predict_block(known(n), n.preds.where("pid < 1000"))
+    return predict.predict_block(known(n), n.preds)
 
 
 @add("loocv")
@@ -128,7 +128,7 @@ def _(n):
 
 @add("covmatrix_pred_obs")
 def _(n):
-    return predict.covmatrix(known(n), n.preds.where("pid < 200"), "pred.obs")
+    return predict.covmatrix(known(n), n.preds, "pred.obs")
 
 
 RESPONSES = {"poisson": "cast(pid % 7 as double)", "nbinomial": "cast(pid % 7 as double)", "binomial": "cast(pid % 2 as double)", "Gamma": "1 + pid % 9", "inverse.gaussian": "1 + pid % 9", "beta": "(1 + pid % 9) / 10.0"}
@@ -142,7 +142,7 @@ def glm(n: Network, family: str) -> models.Model:
 def _glm(family: str):
     tag = family.replace(".", "_").lower()
     add(f"fit_glm_{tag}")(lambda n: models.tidy(glm(n, family)))
-    add(f"predict_glm_{tag}")(lambda n: predict.predict(glm(n, family), n.preds.where("pid < 300").withColumn("elev", F.col("elev") / 1000), interval="prediction", type="response"))
+    add(f"predict_glm_{tag}")(lambda n: predict.predict(glm(n, family), n.preds.withColumn("elev", F.col("elev") / 1000), interval="prediction", type="response"))
     spec = models.Spec("y ~ 1", TYPES, family=family)
     add(f"simulate_{tag}")(lambda n: simulate(spec, LINK_THETA | {"dispersion": 2.0}, n.obs, n.edges, samples=2))
 

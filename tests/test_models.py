@@ -123,3 +123,21 @@ def test_optimisers():
     assert search.golden(lambda t: (t - 3.3) ** 2)[0] == pytest.approx(3.3, abs=1e-4)
     for name in ("rotate", "scale", "tailup_de"):
         assert search.from_free(name, search.to_free(name, 0.37)) == pytest.approx(0.37)
+
+
+def test_queries_take_all_rows(spark, monkeypatch):
+    from rivulet.plans import model_queries as q
+
+    sf = SF.replace("0.001", "0.01")
+    n = network(spark, sf)
+    obs, preds = n.obs.count(), n.preds.count()
+    assert (obs, preds) == (100, 1500)
+    for name in ("known", "glm"):
+        monkeypatch.setattr(q, name, lambda *a, **b: None)
+    for name in ("predict", "predict_block", "covmatrix"):  # each gives the rows it is asked about
+        monkeypatch.setattr(q.predict, name, lambda m, new, *a, **b: new)
+    for name in ["predict_block", "covmatrix_pred_obs", *(f"predict_glm_{f.replace('.', '_').lower()}" for f in q.RESPONSES)]:
+        assert q.QUERIES[name](spark, sf).count() == preds, name
+    monkeypatch.setattr(q.models, "fit", lambda spec, rows, edges, **b: rows)
+    monkeypatch.setattr(q.models, "tidy", lambda rows, *a: rows)
+    assert q.QUERIES["fit_lm"](spark, sf).count() == obs
