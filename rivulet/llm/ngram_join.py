@@ -12,7 +12,7 @@ that link have a key in common:
   of one part, which are near copies; a common shingle alone makes no list.
 
 Sets near the boundary give both kinds of keys, sets near the end of a size class those of two classes, and sets with more empty
-parts than planned also plain prefix lists among themselves.
+parts than planned also plain prefix lists among themselves; so do light sets whose shingles lie in D parts or fewer.
 
 The boundary is the size at which the two together give the fewest keys, from the counts of all sizes.
 
@@ -178,6 +178,11 @@ def keys(h: np.ndarray, counts: np.ndarray, lim: Limits, x: int) -> tuple[np.nda
             found.append(light[real])
             classes.append(np.full(int(real.sum()), -1))
             owners.append(np.repeat(group, real.sum(axis=1)))
+            for s in group[(grid[group] != 0).sum(axis=1) <= d]:  # all of its shingles may be in parts that differ
+                prefix = h[first[s] : first[s] + counts[s] - lim.share(int(counts[s])) + 1]
+                found.append(mix((prefix ^ _TAG_PREFIX ^ _TAG_SUBSET) + np.array([int(cls[s]) + step], U64) * _TAG_PART))
+                classes.append(np.full(len(prefix), -1))
+                owners.append(np.full(len(prefix), s))
     key, kind, who = np.concatenate(found), np.concatenate(classes), np.concatenate(owners).astype(np.int64)
     order = np.argsort(who, kind="stable")
     return key[order], kind[order].astype(np.int32), np.bincount(who, minlength=len(counts))

@@ -187,3 +187,13 @@ def test_screen_puts_aside_only_what_the_bound_allows(spark):
     nodes = spark.createDataFrame(rows, "node long, body long, n long, low array<bigint>")
     # 38 of 40 seen, 20 of 40 seen, not screened, none of 40 seen, none of 11 seen: the bound is 1e-11
     assert sorted(r["node"] for r in ngram_join.screen(nodes, lim).collect()) == [0, 1, 2, 4]
+
+
+def test_light_sets_with_all_shingles_in_one_part_meet():
+    lim = ngram_join.Limits(4, 5)
+    for n in (4, 5, 6):
+        a = np.arange(1, n + 1, dtype=np.uint64) << np.uint64(33)  # in the lowest part of any few
+        b = a[:-1] if n > 4 else np.append(a, np.uint64(99) << np.uint64(33))
+        assert lim.den * min(len(a), len(b)) >= lim.num * max(len(a), len(b))
+        key, _, each = ngram_join.keys(np.concatenate([a, b]), np.array([len(a), len(b)]), lim, 20)
+        assert set(key[: each[0]].tolist()) & set(key[each[0] :].tolist()), n
