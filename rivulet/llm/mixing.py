@@ -93,7 +93,8 @@ def edges(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", weight: Column | None = None, keep_rows: bool = False) -> DataFrame:
-    """(id, size, source_size, target, taken) for each row of docs; with keep_rows also `row`, the whole row as a struct.
+    """(id, size, source_size, target, taken) for each row of docs; with keep_rows also `epochs`, the complete epochs of its
+    source, and `row`, the whole row as a struct.
 
     taken counts the words of the document that the mix takes, repeats included. weight: the quality weight of a document,
     above 0; the share of letters by default.
@@ -106,12 +107,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(F.struct("*").alias("row"), *slim) if keep_rows else sized
     joined = rows.join(F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source, "s")
     part = F.when(F.col("edge").isNull() | (F.col("key") > F.col("edge")), F.lit(0)).when(F.col("key") < F.col("edge"), F.col("size")).otherwise(F.least("fits", "size"))
-    return joined.select("id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("bigint").alias("taken"), *(["row"] if keep_rows else []))
+    return joined.select("id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("bigint").alias("taken"), *(["epochs", "row"] if keep_rows else []))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs as the mix takes them: each as often as it is taken whole, and once more if at least half of the rest is taken."""
+    """The rows of docs as the mix takes them: each as often as it is taken whole, and once more if at least half of the rest is taken.
+
+    A document without words comes with each complete epoch of its source; a source of such documents only has no epoch and goes.
+    """
     taken = mix(docs, keep_rows=True, **how)
-    times = F.round(F.col("taken") / F.nullif(F.col("size"), F.lit(0))).cast("int")
+    times = F.coalesce(F.round(F.col("taken") / F.nullif(F.col("size"), F.lit(0))), F.col("epochs")).cast("int")
     copies = taken.where(times >= 1).select("row", F.explode(F.sequence(F.lit(1), times)).alias("copy"))
     return copies.select("row.*")

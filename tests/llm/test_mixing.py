@@ -34,3 +34,11 @@ def test_rows_and_no_rows(spark):
     df = spark.createDataFrame([(i, "a b c", "x", 1) for i in range(8)], "doc_id long, text string, source string, taken int")
     assert mixed_rows(df).count() == 12
     assert mixed_rows(df.limit(0)).count() == 0
+
+
+def test_documents_without_words_come_with_each_epoch(spark):
+    rows = [(i, "a b c", "x") for i in range(8)] + [(8, None, "x"), (9, "", "x"), (10, " \n", "x"), (11, "", "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share, epochs in ((1.0, 1), (2.0, 2), (0.5, 0)):
+        got = [r["doc_id"] for r in mixed_rows(df, share=share).collect()]
+        assert [got.count(i) for i in range(8, 12)] == [epochs] * 3 + [0], share
