@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,12 @@ _SEGMENT = 1 << 21
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in spark.checkpoint.dir; a local folder only where that is unset."""
+    """Cuts the lineage with a reliable checkpoint in spark.checkpoint.dir. Where that is unset, a local folder serves a local master;
+    on a cluster executors can't see one another's folders, so there it is an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="rivulet-checkpoint-"))
     return df.checkpoint()
 
@@ -154,6 +159,42 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def slices(batch: pa.RecordBatch, column: int | str, most_bytes: int = 1 << 20, most_rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, in order, of at most most_rows rows and about most_bytes bytes of one column; a longer value is a part by itself."""
+    values = batch.column(column)
+    length = pc.list_value_length(values) if pa.types.is_list(values.type) or pa.types.is_large_list(values.type) else pc.binary_length(values)
+    size = pc.fill_null(length, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    k = 0
+    while k < batch.num_rows:
+        stop = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + most_bytes, side="right"))
+        stop = min(max(stop, k + 1), k + most_rows, batch.num_rows)
+        yield batch.slice(k, stop - k)
+        k = stop
+
+
+def with_made(df: DataFrame, uses: str, make: Callable[[pa.Array], list[pa.Array]], fields: list[tuple[str, str]], *, keep_used: bool = True) -> DataFrame:
+    """df without the columns of the names in fields (and `uses`, if it isn't kept), and with those that `make` gives for slices of
+    the column `uses`.
+
+    Rows go through Python once and flat, so no text moves twice; any names may be taken in df, dots and repeats included.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    at = names[df.columns.index(uses)]
+    through = [n for n in names if keep_used or n != at]
+    made = [f"m{i}" for i in range(len(fields))]
+
+    def run(batches):
+        for b in batches:
+            for part in slices(b, at):
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in through], *make(part.column(at))], [*through, *made])
+
+    kinds = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema.fields, strict=True) if n in through]
+    out = df.toDF(*names).mapInArrow(run, ", ".join([*kinds, *[f"{m} {kind}" for m, (_, kind) in zip(made, fields, strict=True)]]))
+    taken = {name for name, _ in fields}
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True) if n in through and c not in taken], *[F.col(m).alias(name) for m, (name, _) in zip(made, fields, strict=True)])
+
+
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])

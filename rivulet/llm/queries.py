@@ -52,7 +52,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"))
-    return tiff.digests(tiff.encode(docs)).withColumnRenamed("id", "doc_id")
+    return tiff.digests(tiff.encode(docs, keep_text=False)).withColumnRenamed("id", "doc_id")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

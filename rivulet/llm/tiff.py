@@ -2,10 +2,12 @@
 
 The reader walks the chain of image directories in either byte order, takes strips or tiles, undoes PackBits, LZW or deflate
 and then the horizontal predictor, and yields 8-bit samples page by page. The writer stores a payload losslessly as grey
-8-bit samples, one page for each PAGE_ROWS rows.
+8-bit samples, one page for each PAGE_ROWS rows; the column writer deals payloads by their checksum over all FORMS of storage.
 
-Defined results: a null or empty file has no pages; a file that can't be read gives one row with page -1 and the reason; equal
-payloads give equal files; repeated rows give repeated pages; other columns pass through whatever their names.
+Defined results: a null or empty file has no pages; a file that can't be read gives the pages before the fault and one row with page
+-1 and the reason, and so does a page that declares more than MOST_SAMPLES samples or more values than the file has bytes; a strip
+is never inflated beyond the samples it stands for; equal payloads give equal files; repeated rows give repeated pages; an empty
+table gives an empty result; a column that has the name of the result is replaced, other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, with_made
+
 #: Samples in a row, rows in a strip and rows on a page, as the writer sets them.
 WIDTH, STRIP_ROWS, PAGE_ROWS = 64, 1024, 16384
 #: Fixed numbers of the format: tags, and sizes of the field types.
@@ -29,6 +33,8 @@ TAG_STRIP_OFFSETS, TAG_SAMPLES, TAG_ROWS_PER_STRIP, TAG_STRIP_COUNTS, TAG_PLANAR
 TAG_TILE_WIDTH, TAG_TILE_LENGTH, TAG_TILE_OFFSETS, TAG_TILE_COUNTS = 322, 323, 324, 325
 FIELD_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: Samples that a page may have at most.
+MOST_SAMPLES = 1 << 28
 
 
 @dataclass
@@ -44,10 +50,11 @@ class Page:
 # --- codecs -----------------------------------------------------------------------------------------------------
 
 
-def packbits_decode(data: bytes) -> bytes:
-    out, i = [], 0
-    while i < len(data):
+def packbits_decode(data: bytes, most: int = MOST_SAMPLES) -> bytes:
+    out, i, size = [], 0, 0
+    while i < len(data) and size < most:
         n = data[i]
+        size += n + 1 if n < 128 else 257 - n if n > 128 else 0
         if n < 128:
             out.append(data[i + 1 : i + 2 + n])
             i += n + 2
@@ -92,9 +99,9 @@ def _lzw_bits(entries: int) -> int:
     return min(12, max(9, (entries + 1).bit_length()))
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = MOST_SAMPLES) -> bytes:
     """Codes come with the most significant bit first."""
-    stream = left = at = 0
+    stream = left = at = total = 0
     out: list[bytes] = []
     words: list[bytes] = []
     last = b""
@@ -118,6 +125,9 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise ValueError("bad LZW code")
         out.append(word)
+        total += len(word)
+        if total >= most:
+            return b"".join(out)
         if last:
             words.append(last + word[:1])
         last = word
@@ -161,7 +171,12 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-DECODERS = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: packbits_decode}
+def inflate(data: bytes, most: int = MOST_SAMPLES) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
+
+
+#: Each takes the stored bytes and the most bytes that are wanted of them.
+DECODERS = {NONE: lambda data, most: data[:most], LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: packbits_decode}
 ENCODERS = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: packbits_encode}
 
 
@@ -232,6 +247,8 @@ def _fields(data: bytes, order: str, at: int) -> tuple[dict[int, list[int]], int
         where = at + 2 + 12 * i + 8
         if FIELD_SIZES[kind] * count > 4:
             where = struct.unpack_from(order + "I", data, where)[0]
+        if where + FIELD_SIZES[kind] * count > len(data):
+            raise ValueError(f"field {tag} ends outside the file")
         found[tag] = list(struct.unpack_from(order + code * count, data, where))
     return found, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
@@ -254,6 +271,8 @@ def pages(data: bytes) -> Iterator[Page]:
         if compression not in DECODERS:
             raise ValueError(f"unknown compression {compression}")
         predictor = f.get(TAG_PREDICTOR, [1])[0] == 2
+        if h * w * s > MOST_SAMPLES or any(v[0] * u[0] * s > MOST_SAMPLES for u, v in [(f.get(TAG_TILE_WIDTH, [1]), f.get(TAG_TILE_LENGTH, [1]))]):
+            raise ValueError("too many samples on a page")
         if TAG_TILE_OFFSETS in f:
             tw, th = f[TAG_TILE_WIDTH][0], f[TAG_TILE_LENGTH][0]
             spots = [(y, x, th, tw) for y in range(0, h, th) for x in range(0, w, tw)]
@@ -264,7 +283,7 @@ def pages(data: bytes) -> Iterator[Page]:
             stored = zip(f[TAG_STRIP_OFFSETS], f[TAG_STRIP_COUNTS], spots, strict=True)
         samples = np.empty((h, w, s), np.uint8)
         for start, count, (y, x, ph, pw) in stored:
-            raw = DECODERS[compression](data[start : start + count])
+            raw = DECODERS[compression](data[start : start + count], ph * pw * s)
             part = np.frombuffer(raw, np.uint8, ph * pw * s).reshape(ph, pw, s)
             if predictor:
                 part = np.cumsum(part, axis=1, dtype=np.uint8)
@@ -279,6 +298,16 @@ def payload_pages(payload: bytes) -> list[np.ndarray]:
     return [grid[y : y + PAGE_ROWS] for y in range(0, len(grid), PAGE_ROWS)]
 
 
+#: Ways to store a payload: compression, and the size of the tiles or none.
+FORMS = [(c, t) for c in (DEFLATE, LZW, PACKBITS, NONE) for t in (None, (32, 64))]
+
+
+def stored(payload: bytes) -> bytes:
+    """The file of a payload; its form follows from the payload's checksum."""
+    compression, tile = FORMS[zlib.crc32(payload) % len(FORMS)]
+    return write(payload_pages(payload), compression=compression, tile=tile)
+
+
 def pad(raw: bytes) -> bytes:
     return raw + b"\0" * (max(1, -(-len(raw) // WIDTH)) * WIDTH - len(raw))
 
@@ -288,17 +317,13 @@ def pad(raw: bytes) -> bytes:
 PAGE_SCHEMA = "page int, width int, height int, samples_per_pixel int, compression int, samples binary, error string"
 
 
-def encode(df: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", media_col: str = "media", *, keep_text: bool = True) -> DataFrame:
     """df with a column of TIFF files that hold the texts as UTF-8, padded with zeros (null: the empty text)."""
 
-    def run(batches):
-        for b in batches:
-            files = [write(payload_pages(pad((t or "").encode()))) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(files, pa.binary())], ["row", "media"])
+    def make(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([stored(pad((t or "").encode())) for t in texts.to_pylist()], pa.binary())]
 
-    kind = df.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    packed = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"row {kind}, media binary")
-    return packed.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns if c != media_col], F.col("media").alias(media_col))
+    return with_made(df, text_col, make, [(media_col, "binary")], keep_used=keep_text)
 
 
 def read_pages(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -306,10 +331,9 @@ def read_pages(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                data = b.column("media")[i].as_py()
-                for row in _rows(data):
-                    yield pa.RecordBatch.from_pylist([{"id": b.column("id")[i].as_py()} | row], schema=schema)
+            for part in slices(b, "media", most_rows=1):
+                for row in _rows(part.column("media")[0].as_py()):
+                    yield pa.RecordBatch.from_pylist([{"id": part.column("id")[0].as_py()} | row], schema=schema)
 
     kind = dict(df.dtypes)[id_col]
     schema = pa.schema([("id", b_type(df, id_col)), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples_per_pixel", pa.int32()), ("compression", pa.int32()), ("samples", pa.binary()), ("error", pa.string())])
@@ -322,45 +346,54 @@ def b_type(df: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
 
+FAULTS = (ValueError, KeyError, IndexError, OverflowError, ZeroDivisionError, struct.error, zlib.error)
+
+
 def _rows(data: bytes | None) -> Iterator[dict]:
     if not data:
         return
     try:
         for p in pages(data):
             yield {"page": p.number, "width": p.width, "height": p.height, "samples_per_pixel": p.samples_per_pixel, "compression": p.compression, "samples": p.samples.tobytes(), "error": None}
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+    except FAULTS as e:
         yield {"page": -1, "width": None, "height": None, "samples_per_pixel": None, "compression": None, "samples": None, "error": f"{type(e).__name__}: {e}"}
 
 
-DIGEST_SCHEMA = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+DIGESTS = [("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string")]
+
+
+def _digest(data: bytes | None) -> tuple:
+    if data is None:
+        return (None,) * len(DIGESTS)
+    whole, total, tail, n = hashlib.sha256(), 0, b"", 0
+    counts = np.zeros(256, np.int64)
+    own = len(data), hashlib.sha256(data).hexdigest()
+    try:
+        for p in pages(data):
+            raw = p.samples.tobytes()
+            whole.update(raw)
+            total, tail, n = total + len(raw), (tail + raw)[-WIDTH:], n + 1
+            counts += np.bincount(p.samples.reshape(-1), minlength=256)
+    except FAULTS as e:
+        return None, None, None, *own, f"error: {type(e).__name__}: {e}"
+    level = np.arange(256)
+    mean = int((counts * level).sum() * 1000 // max(total, 1))
+    square = int((counts * level * level).sum() * 1000 // max(total, 1))
+    bins = ".".join(map(str, counts.reshape(16, 16).sum(axis=1)))
+    return total, whole.hexdigest(), zlib.crc32(tail), *own, f"{n};{mean};{square};{bins}"
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", size_col: str = "n_bytes") -> DataFrame:
     """A row for each file: what its pages hold when they are read back, page by page, and a feature of the samples.
 
-    feature: pages, mean and variance of the samples, and a 16-bin histogram, all in whole numbers.
+    feature: pages, mean and mean square of the samples, and a 16-bin histogram, all in whole numbers. A null file has nulls; of a
+    file that can't be read only its own size and digest are there, and the feature says why.
     """
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for data in b.column("media").to_pylist():
-                whole, total, tail, n = hashlib.sha256(), 0, b"", 0
-                counts = np.zeros(256, np.int64)
-                for p in pages(data):
-                    raw = p.samples.tobytes()
-                    whole.update(raw)
-                    total, tail, n = total + len(raw), raw[-WIDTH:], n + 1
-                    counts += np.bincount(p.samples.reshape(-1), minlength=256)
-                level = np.arange(256)
-                mean = int((counts * level).sum() * 1000 // max(total, 1))
-                square = int((counts * level * level).sum() * 1000 // max(total, 1))
-                bins = ".".join(map(str, counts.reshape(16, 16).sum(axis=1)))
-                out.append((total, whole.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), f"{n};{mean};{square};{bins}"))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    def make(files: pa.Array) -> list[pa.Array]:
+        out = [_digest(files[i].as_py()) for i in range(len(files))]
+        kinds = {"bigint": pa.int64(), "string": pa.string()}
+        return [pa.array([row[k] for row in out], kinds[kind]) for k, (_, kind) in enumerate(DIGESTS)]
 
-    kind = dict(df.dtypes)[id_col]
     slim = df.select(F.col(id_col).alias("id"), F.col(size_col).cast("bigint").alias("n_bytes"), F.col(media_col).alias("media"))
-    return slim.mapInArrow(run, f"id {kind}, {DIGEST_SCHEMA}")
+    return with_made(slim, "media", make, DIGESTS, keep_used=False)
