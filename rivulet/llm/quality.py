@@ -1,39 +1,46 @@
-"""Quality classifier by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
-
-Each document is a set of hashed features: its words, character n-grams at their starts and ends, and shares of odd words. Two
-generative models give the share of documents that have a feature: one of the target (labelled documents of good quality that
-aren't toxic), one of the raw text (all documents). The log weight of a document is the sum of ln(target / raw) over its features,
-of those for which the labels are clear: at least EVIDENCE labelled documents have it, nearly all of them bad ones. So clean
-documents of any length stay near 0. Documents are drawn without replacement in proportion to their weights: Gumbel noise, a
-fixed hash of the document, is added to the log weights, and the k largest are kept. k is the number of documents above the
-threshold that separates the labelled ones best.
-
-The target model, the choice of features and the threshold come from at most SAMPLE labelled documents, the first by hash.
-Counts of the raw text, weights, k and the selection cover all documents. What reaches the driver is bounded: SAMPLE labels and
-scores, the counts of at most FEATURES features, and histograms.
-
-Defined results: a null or empty text has weight 0 or so and is kept; without labels of both kinds, or without documents, all
-are kept; repeated rows have equal keys and are kept or rejected together; rows of labels that repeat a document count as one,
-bad if any says so; a null in a row of labels makes it no label; other columns pass through whatever their names.
+"""Quality classifier by importance resampling: the ratio of hashed n-gram models of target and raw text, sampled by Gumbel top-k.
+
+The features of a text are its words, its pairs of neighbouring words, and character n-grams at the starts and ends of its words,
+each counted as often as it stands there and hashed into 2^BITS buckets. Two smoothed multinomial models give each bucket a rate:
+one of the target, which is the labelled documents of good quality that aren't toxic, one of the raw text, which is all documents.
+
+The log weight of a text is the sum over its features of the log ratio of the two rates, over the root of their number, so that
+long texts don't outweigh short ones by length alone. A log ratio counts only as far as it exceeds CERTAIN of its standard errors and
+FLAT: the plain ratio of rare n-grams is noise that drowns the rest in long texts (README gives figures). Evidence counts both ways.
+
+Texts are drawn without replacement in proportion to their weights: Gumbel noise, a fixed hash of the row, is added to the log
+weight over TEMPERATURE, and the k largest keys are kept. k is the number of documents whose log weight reaches the threshold that
+separates best a part of the labelled documents that the models haven't seen.
+
+The target model, the choice of buckets and the threshold come from at most SAMPLE labelled documents, the first by hash, FIT_PARTS
+of each FOLDS of them for the model. Raw counts, weights, k and the selection cover all documents. What reaches the driver is
+bounded: SAMPLE labels and scores, counts of at most 2^BITS buckets, and histograms.
+
+Defined results: a null, empty or blank text has no features and the log weight 0; without labels of both kinds in both parts of the
+sample, or without documents, all are kept; rows with equal id and text have equal keys and are kept or rejected together; rows of
+labels that repeat a document count as one, bad if any says so; a null in a row of labels makes it no label; ids may be of any type
+and are compared as strings; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, cut, mix, uniform
+from .common import U64, Words, cut, join_pairs, mix, slices, uniform, with_made
 
-BITS = 30
-SAMPLE = 20_000
-#: A feature counts if at least so many labelled documents have it and at least this share of them is bad; at most so many do.
-EVIDENCE, PURITY, FEATURES = 12, 0.93, 100_000
-TEMPERATURE = 0.25
+BITS = 22
+SAMPLE, FOLDS, FIT_PARTS = 20_000, 4, 3
+#: A bucket is judged if the sample holds it so often; how much of a log ratio is taken as chance, in standard errors and flat.
+SEEN, CERTAIN, FLAT, SMOOTHING = 4, 1.0, 0.5, 1.0
+TEMPERATURE = 0.03
+#: Character n-grams of longer words: number for the hash, characters (bytes), and whether from the end.
+GRAMS = ((1, 4, False), (2, 6, False), (3, 3, True))
 
 
 def _coded(raw: np.ndarray, at: np.ndarray, n: int, kind: int) -> np.ndarray:
@@ -48,151 +55,148 @@ _LOWER = np.arange(256, dtype=U64)
 _LOWER[65:91] += U64(32)
 
 
-def _shapes(w: Words, n_docs: int) -> list[np.ndarray]:
-    """For each text, hashes of some shares in sixteenths: words that repeat the one before, words in capitals, words that end in two signs, words without letters."""
-    raw, n = w.raw, np.maximum(w.counts(), 1)
-    doc = np.repeat(np.arange(n_docs), w.counts())
-    last, before = raw[w.end - 1], raw[np.maximum(w.end - 2, w.start)]
-    sign = _SIGN[last] & _SIGN[before]
-    capital = _CAPITAL[raw[w.start]] & ~_SMALL[before] & ~_SMALL[raw[np.minimum(w.start + 1, w.end - 1)]] & (w.end - w.start > 1)
-    again = np.zeros(len(w.hash), bool)
-    if len(again):
-        again[1:] = (w.hash[1:] == w.hash[:-1]) & (doc[1:] == doc[:-1])
-    none = _SIGN[raw[w.start]] & (w.end - w.start == 1)
-    out = []
-    for kind, flag in enumerate((again, capital, sign, none)):
-        sixteenths = np.bincount(doc, flag, minlength=n_docs) * 16 // n
-        out.append(mix((sixteenths + 1 + 100 * (kind + 1)).astype(U64)))
-    return out
-
-
-_CAPITAL, _SMALL, _SIGN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
-_CAPITAL[65:91] = _SMALL[97:123] = True
-_SIGN[33:48] = _SIGN[58:65] = _SIGN[91:97] = _SIGN[123:127] = True
-
-
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, bucket) of a batch, by text: starts of the texts' ranges, and buckets."""
+    """The text and the bucket of each feature of a batch, with repeats."""
     w = Words(column, lower=True)
-    h, n_docs = w.hash, len(w.at) - 1
-    doc = np.repeat(np.arange(n_docs, dtype=U64), w.counts())
-    found, owner = [h], [doc]
+    doc = np.repeat(np.arange(len(w.at) - 1, dtype=np.int32), w.counts())
+    found, owner = [w.hash], [doc]
+    if len(doc) > 1:
+        same = doc[1:] == doc[:-1]
+        found.append(join_pairs(w.hash[:-1][same], w.hash[1:][same]))
+        owner.append(doc[1:][same])
     size = w.end - w.start
-    for kind, n, from_end in ((1, 4, False), (2, 6, False), (3, 3, True)):
+    for kind, n, from_end in GRAMS:
         long = np.flatnonzero(size > n)
         found.append(_coded(w.raw, (w.end[long] - n) if from_end else w.start[long], n, kind))
         owner.append(doc[long])
-    for shape in _shapes(w, n_docs):
-        found.append(shape)
-        owner.append(np.arange(n_docs, dtype=U64))
-    every = np.unique(np.concatenate(owner) << U64(BITS) | np.concatenate(found) >> U64(64 - BITS))
-    return np.searchsorted(every >> U64(BITS), np.arange(n_docs + 1, dtype=U64)), (every & U64((1 << BITS) - 1)).astype(np.int64)
+    return np.concatenate(owner), (np.concatenate(found) >> U64(64 - BITS)).astype(np.int32)
 
 
 @dataclass
 class Model:
-    buckets: np.ndarray  # sorted
-    weights: np.ndarray
+    """The log ratios of those buckets that tell target from raw text; all others have 0."""
+
+    buckets: np.ndarray
+    ratios: np.ndarray
+    _dense: np.ndarray | None = field(default=None, repr=False)
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        first, bucket = features(column)
-        at = np.minimum(np.searchsorted(self.buckets, bucket), max(len(self.buckets) - 1, 0))
-        own = np.where(self.buckets[at] == bucket, self.weights[at], 0.0) if len(self.buckets) else np.zeros(len(bucket))
-        sums = np.concatenate([[0.0], np.cumsum(own)])
-        return sums[first[1:]] - sums[first[:-1]]
+        if self._dense is None:
+            self._dense = np.zeros(1 << BITS, np.float32)
+            self._dense[self.buckets] = self.ratios
+        owner, bucket = features(column)
+        n = np.bincount(owner, minlength=len(column))
+        return np.bincount(owner, self._dense[bucket], minlength=len(column)) / np.sqrt(np.maximum(n, 1))
+
+    def __getstate__(self):
+        return {"buckets": self.buckets, "ratios": self.ratios, "_dense": None}
+
+
+def log_ratios(target: np.ndarray, raw: np.ndarray, n_target: float, n_raw: float) -> np.ndarray:
+    """Smoothed log ratios of the rates, each as far as it is no chance. Raw counts are scaled to the size of the target."""
+    scale = n_target / max(n_raw, 1)
+    t, r = target + SMOOTHING, raw * scale + SMOOTHING
+    ratio = np.log(t / r)
+    error = np.sqrt(1 / t + scale / r)
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - CERTAIN * error - FLAT, 0.0)
 
 
 def labelled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc, good) of at most `sample` labelled documents."""
+    """(doc, good, fit) of at most `sample` labelled documents; fit: whether the models see it."""
     full = labels.where("doc_id is not null and quality is not null and toxic is not null")
-    one = full.groupBy(F.col("doc_id").cast("bigint").alias("doc")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    rows = one.orderBy(F.xxhash64("doc"), "doc").limit(sample).collect()
-    return labels.sparkSession.createDataFrame([(r[0], r[1]) for r in rows], "doc bigint, good boolean")
+    one = full.groupBy(F.col("doc_id").cast("string").alias("doc")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    rows = one.orderBy(F.xxhash64("doc"), "doc").limit(sample).select("doc", "good", (F.pmod(F.xxhash64(F.lit("fold"), "doc"), F.lit(FOLDS)) < FIT_PARTS).alias("fit")).collect()
+    return labels.sparkSession.createDataFrame([tuple(r) for r in rows], "doc string, good boolean, fit boolean")
 
 
-def _parts(batch: pa.RecordBatch, n: int = 1000):
-    for k in range(0, batch.num_rows, n):
-        yield batch.slice(k, n)
+class _Counts:
+    """Counts of buckets, gathered in steps of bounded size."""
 
+    def __init__(self):
+        self.sums, self.held, self.n = np.zeros(1 << BITS, np.int64), [], 0
 
-def evidence(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> pd.DataFrame:
-    """The features that the labels are clear about: bucket, and the numbers of good and bad documents that have it."""
+    def add(self, bucket: np.ndarray) -> None:
+        self.held.append(bucket)
+        self.n += len(bucket)
+        if self.n > 1 << 22:
+            self.flush()
+
+    def flush(self) -> np.ndarray:
+        if self.held:
+            self.sums += np.bincount(np.concatenate(self.held), minlength=1 << BITS)
+        self.held, self.n = [], 0
+        return self.sums
 
-    def count(batches):
-        held: list[np.ndarray] = []
-        n = 0
 
-        def counted():
-            bucket, times = np.unique(np.concatenate(held), return_counts=True)
-            bad = (bucket & 1).astype(bool)
-            return pa.RecordBatch.from_arrays([pa.array(bucket >> 1), pa.array(np.where(bad, 0, times)), pa.array(np.where(bad, times, 0))], ["bucket", "good", "bad"])
+def _blocks(names: list[str], columns: list[np.ndarray], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(columns[0]), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + rows]) for c in columns], names)
 
+
+def target_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """The buckets that the sample holds SEEN times or more, their counts in the target, and the number of the target's features."""
+
+    def count(batches):
+        good, every = _Counts(), _Counts()
         for b in batches:
-            for part in _parts(b):
-                first, bucket = features(part.column("text"))
-                good = part.column("good").to_numpy(zero_copy_only=False).astype(bool)
-                held.append(bucket << 1 | np.repeat(~good, np.diff(first)).astype(np.int64))
-                n += len(bucket)
-                if n > 1 << 21:
-                    yield counted()
-                    held, n = [], 0
-        if held:
-            yield counted()
-
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc").select("text", "good")
-    sums = own.mapInArrow(count, "bucket bigint, good bigint, bad bigint").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    clear = sums.where((F.col("bad") >= EVIDENCE) & (F.col("bad") >= PURITY * (F.col("good") + F.col("bad"))))
-    return clear.orderBy(F.desc("bad"), "bucket").limit(FEATURES).toPandas().sort_values("bucket")
+            for part in slices(b, "text"):
+                owner, bucket = features(part.column("text"))
+                every.add(bucket)
+                good.add(bucket[part.column("good").to_numpy(zero_copy_only=False).astype(bool)[owner]])
+        sums = every.flush()
+        at = np.flatnonzero(sums)
+        yield from _blocks(["bucket", "good", "n"], [at, good.flush()[at], sums[at]])
+
+    own = docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(sample.where("fit")), "doc").select("text", "good")
+    sums = cut(own.mapInArrow(count, "bucket bigint, good bigint, n bigint").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("n").alias("n")))
+    total = sums.agg(F.sum("good")).first()[0] or 0
+    seen = sums.where(F.col("n") >= SEEN).select("bucket", "good").toPandas().sort_values("bucket")
+    return seen["bucket"].to_numpy(np.int64), seen["good"].to_numpy(np.int64), int(total)
 
 
 def raw_counts(docs: DataFrame, buckets: np.ndarray, text_col: str) -> tuple[np.ndarray, int]:
-    """How many of all documents have each feature, and how many documents there are."""
+    """How often all documents hold each bucket, and the number of all their features."""
 
     def count(batches):
-        sums = np.zeros(len(buckets) + 1, np.int64)
+        sums, total = _Counts(), 0
         for b in batches:
-            for part in _parts(b):
+            for part in slices(b, "text"):
                 _, bucket = features(part.column("text"))
-                at = np.minimum(np.searchsorted(buckets, bucket), len(buckets) - 1)
-                sums[:-1] += np.bincount(at[buckets[at] == bucket], minlength=len(buckets))
-                sums[-1] += part.num_rows
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], ["at", "n"])
+                sums.add(bucket)
+                total += len(bucket)
+        found = sums.flush()[buckets]
+        at = np.flatnonzero(found)
+        yield from _blocks(["at", "n"], [np.append(at, len(buckets)), np.append(found[at], total)])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(buckets) + 1, np.int64)
-    for r in rows:
-        out[r[0]] = r[1]
+    out[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out[:-1], int(out[-1])
 
 
 def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    found = evidence(docs, sample, id_col, text_col)
-    buckets = found["bucket"].to_numpy(np.int64)
-    if not len(buckets):
-        return Model(buckets, np.zeros(0))
+    buckets, target, n_target = target_counts(docs, sample, id_col, text_col)
+    if not n_target:
+        return Model(buckets[:0], np.zeros(0, np.float32))
     raw, n_raw = raw_counts(docs, buckets, text_col)
-    n_good = sample.where("good").count()
-    ratio = np.log((found["good"].to_numpy() + 0.5) / (n_good + 1)) - np.log((raw + 0.5) / (n_raw + 1))
-    return Model(buckets, np.minimum(ratio, 0.0))
+    ratio = log_ratios(target, raw, n_target, n_raw)
+    told = ratio != 0
+    return Model(buckets[told].astype(np.int32), ratio[told].astype(np.float32))
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, seed: str = "quality", rows: bool = False) -> DataFrame:
-    """(id, body, score, key) for each row of docs: log weight, and the log weight with its Gumbel noise; with rows also `row`."""
+def _body(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _key(score, ident, body, seed: str):
+    return score / TEMPERATURE - F.log(-F.log(uniform(seed, ident, body)))
 
-    def run(batches):
-        for b in batches:
-            for part in _parts(b):
-                score = pa.array(model.scores(part.column("text")))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ids], score], [*ids, "score"])
 
-    ids = ["id", "body", *(["row"] if rows else [])]
-    text = F.col(text_col)
-    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("body"), *([F.struct("*").alias("row")] if rows else []), text.alias("text"))
-    kinds = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in ids)
-    out = slim.mapInArrow(run, f"{kinds}, score double")
-    gumbel = -F.log(-F.log(uniform(seed, F.col("id"), F.col("body"))))
-    return out.withColumn("key", F.col("score") / TEMPERATURE + gumbel)
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, seed: str = "quality") -> DataFrame:
+    """(id, score, key) for each row of docs: log weight, and the key with its Gumbel noise."""
+    slim = docs.select(F.col(id_col).alias("id"), _body(F.col(text_col)).alias("body"), F.col(text_col).alias("text"))
+    out = with_made(slim, "text", lambda texts: [pa.array(model.scores(texts), pa.float64())], [("score", "double")])
+    return out.select("id", "score", _key(F.col("score"), F.col("id"), F.col("body"), seed).alias("key"))
 
 
 def threshold(scores: np.ndarray, good: np.ndarray) -> float:
@@ -227,18 +231,23 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096, few: int = 10_000) ->
 
 
 def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample: int = SAMPLE) -> tuple[Model, DataFrame, float]:
-    """The model, (id, body, score, key) of all documents, and the key from which documents are kept."""
+    """The model, (id, score, key) of all documents, and the key from which documents are kept."""
     chosen = labelled(labels, sample)
     model = fit(docs, chosen, id_col, text_col)
     table = cut(scored(docs, model, id_col, text_col))
-    known = table.join(F.broadcast(chosen), F.col("id").cast("bigint") == F.col("doc")).select("score", "good").toPandas()
+    held_out = table.join(F.broadcast(chosen.where("not fit")), F.col("id").cast("string") == F.col("doc"))
+    known = held_out.groupBy("doc", "good").agg(F.min("score").alias("score")).toPandas()
     least = threshold(known["score"].to_numpy(float), known["good"].to_numpy(bool))
     if least == -np.inf:
         return model, table, -np.inf
     return model, table, kth_largest(table, max(1, table.where(F.col("score") >= least).count()))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, seed: str = "quality", **how) -> DataFrame:
     """The rows of docs that the sample keeps. Rows are scored where they are once more, so no text is shuffled."""
-    model, _, key = select(docs, labels, id_col, text_col, **how)
-    return scored(docs, model, id_col, text_col, rows=True).where(F.col("key") >= F.lit(key)).select("row.*")
+    model, _, least = select(docs, labels, id_col, text_col, **how)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    ident, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    out = with_made(docs.toDF(*names), text, lambda texts: [pa.array(model.scores(texts), pa.float64())], [("score", "double")])
+    kept = out.where(_key(F.col("score"), F.col(ident), _body(F.col(text)), seed) >= F.lit(least))
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
