@@ -7,25 +7,41 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: A key is hot from so many rows on, or from this share of all rows if that is more; so there are at most 1 / HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 2_000, 1e-5
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """rows left join table (one row for each key). What table has for hot keys is broadcast, at most 1 / HOT_SHARE rows, so no task
+    gets all rows of a hot key; keys are counted with a sum in each task first."""
+    counts = cut(rows.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_ROWS))
+    if counts.isEmpty():
+        return rows.join(table, key, "left")
+    hot = F.broadcast(counts.where(F.col("rows") > HOT_SHARE * rows.count()).select(key, F.lit(True).alias("hot")))
+    marked = rows.join(hot, key, "left")
+    own = F.broadcast(table.join(hot, key).drop("hot"))
+    return marked.where("hot").drop("hot").join(own, key, "left").unionByName(marked.where("hot is null").drop("hot").join(table, key, "left"))
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b): component is the smallest node that links reach.
 
     Each round hooks every node's label to the smallest label among its neighbours and then takes the label of the label, so
-    the number of rounds grows with the logarithm of the longest path. Minima are taken per task before each shuffle, so a node
-    with very many links is no hot key; a round's result is checkpointed.
+    the number of rounds grows with the logarithm of the longest path. Minima are taken per task before each shuffle, and labels of
+    hubs and of large components are looked up by a bounded broadcast, so neither is a hot key; a round's result is checkpointed.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = cut(both)
     label = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        near = lookup(both, "b", label.select(F.col("node").alias("b"), "label")).groupBy("a").agg(F.min("label").alias("near"))
         lowered = label.join(near.select(F.col("a").alias("node"), "near"), "node").select("node", "label", F.least("label", "near").alias("new"))
         # what a node learns is told to the node that its label names as well
         told = lowered.where("new < label").groupBy(F.col("label").alias("node")).agg(F.min("new").alias("told"))
         hooked = lowered.join(told, "node", "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("told", "new")).alias("label"))
+        hooked = cut(hooked)
         jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        new = cut(hooked.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("root", "label")).alias("label")))
+        new = cut(lookup(hooked, "label", jump).select("node", "old", F.least("label", F.coalesce("root", "label")).alias("label")))
         label = new.select("node", "label")
         if new.where("label <> old").isEmpty():
             return label.select("node", F.col("label").alias("component"))

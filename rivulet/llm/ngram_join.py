@@ -19,7 +19,7 @@ The boundary is the size at which the two together give the fewest keys, from th
 A list is never expanded into its pairs. Its most central member (the one whose other lists are longest) is its pivot; each
 node is compared with the pivot it shares most lists with, which joins near copies into components at once. Then the lists that
 still hold several components are compared with their other pivots, and at last, across components only, with each other. Before
-sets are fetched, and inside the join that makes them, pairs must agree in size and in a sketch: the number of slots of the hash
+sets are fetched, and inside the join that makes them (long lists meet there in pairs of blocks, so none is one task), pairs must agree in size and in a sketch: the number of slots of the hash
 range whose contents differ, by a few bits of each, may not be over the number of shingles by which the two may differ. Then they
 must have as many lists in common as these leave. Both are certain: no link is lost.
 Comparisons are exact intersections of 64-bit shingle hashes.
@@ -32,7 +32,7 @@ random hashes a set that links is put aside with a chance of at most MISSED. Set
 
 Defined results: documents without words have an empty set and link with nothing; a text of fewer words than a shingle is one
 shingle; a null id links with nothing; rows that repeat an id and text count once, and rows that share only an id are one node
-only where their sets are equal; an empty table gives an empty result; other columns pass through whatever their names.
+only where their sets are equal; ids may be of any type that has an order; an empty table gives an empty result; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, cut, grams, lists, mix, signed
+from .common import U64, Words, cut, grams, lists, mix, signed, slices
 from .graph import components
 
 LIGHT_PARTS, LARGEST_BOUNDARY, CLASS_RATIO = 3, 40, 1.4
@@ -234,7 +234,7 @@ def sizes_and_digests(texts: DataFrame, k: int, lim: Limits) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part in _parts(b, 500):
+            for part in slices(b, "text"):
                 h, counts = shingle_sets(part.column("text"), k)
                 at = np.concatenate([[0], np.cumsum(counts)])
                 sums = [np.concatenate([[U64(0)], np.cumsum(mix(h ^ t), dtype=U64)]) for t in (_TAG_PART, _TAG_INDEX)]
@@ -274,7 +274,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def run(batches):
         loose = zstandard.ZstdDecompressor()
         for b in batches:
-            for part in _parts(b, 100):
+            for part in slices(b, "z", 1 << 19):
                 texts_ = pa.array([loose.decompress(z).decode() for z in part.column("z").to_pylist()], pa.large_string())
                 h, counts = shingle_sets(texts_, k)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts), lists(signed(h), counts, pa.int64())], ["node", "n", "sh"])
@@ -333,7 +333,7 @@ def node_links(texts: DataFrame, nodes: DataFrame, k: int, lim: Limits) -> DataF
     shared = rows.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key")
     listed = cut(rows.join(shared, "key").select("key", "node", "cls"))
     weight = listed.groupBy("node").agg(F.count("*").alias("weight"))
-    pivot = listed.select("key", "node").join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", F.negative("node").alias("minus"))).alias("top")).select("key", F.negative("top.minus").alias("pivot"))
+    pivot = listed.select("key", "node").join(weight, "node").groupBy("key").agg(F.min(F.struct(F.negative("weight").alias("weight"), "node")).alias("top")).select("key", F.col("top.node").alias("pivot"))
     met = listed.join(pivot, "key").where("node <> pivot")
     filled = F.map_from_entries(F.transform(F.array_distinct("classes"), lambda c: F.struct(c, F.size(F.filter("classes", lambda d: d == c)))))
     facts = made.select("node", "n", *[f"s{k}" for k in range(SKETCH_WORDS)], filled.alias("filled"))
@@ -347,7 +347,7 @@ def node_links(texts: DataFrame, nodes: DataFrame, k: int, lim: Limits) -> DataF
         return both.where(_alike(lim) & enough).groupBy("a", "b").agg(F.sum("k").alias("k"))
 
     common = cut(likely(met.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b"), "cls").agg(F.count("*").alias("k"))))
-    best = common.groupBy("a").agg(F.max(F.struct("k", F.negative("b").alias("minus"))).alias("top")).select("a", F.negative("top.minus").alias("b"))
+    best = common.groupBy("a").agg(F.min(F.struct(F.negative("k").alias("k"), "b")).alias("top")).select("a", F.col("top.b").alias("b"))
     links = cut(_compare(best, sets, lim))
 
     named = cut(components(links)).withColumnsRenamed({"component": "group"})
@@ -363,13 +363,28 @@ def node_links(texts: DataFrame, nodes: DataFrame, k: int, lim: Limits) -> DataF
     held = grouped(listed, "node", "group")
     mixed = held.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
     slim = facts.drop("filled")
-    left = cut(held.join(mixed, "key").join(slim, "node"))
-    a, b = (left.select("key", *([F.col("cls")] if c == "a" else []), *[F.col(f).alias(c if f == "node" else f"{f}_{c}") for f in left.columns if f not in ("key", "cls")]) for c in "ab")
-    across = a.join(b, (a["key"] == b["key"]) & (F.col("group_a") < F.col("group_b")) & _alike(lim)).groupBy("a", "b", "cls").agg(F.count("*").alias("k"))
+    left = cut(_dealt(held.join(mixed, "key")).join(slim, "node"))
+    meet = ("key", "i", "j")
+    a, b = (left.select(*[F.col(f).alias(f"{f}_{c}") for f in meet], *([F.col("cls")] if c == "a" else []), *[F.col(f).alias(c if f == "node" else f"{f}_{c}") for f in left.columns if f not in (*meet, "cls")]) for c in "ab")
+    once = (F.col("i_a") == F.col("j_a")) | (F.col("own_a") != F.col("own_b"))
+    same = [F.col(f"{f}_a") == F.col(f"{f}_b") for f in meet]
+    across = a.join(b, same[0] & same[1] & same[2] & once & (F.col("group_a") < F.col("group_b")) & _alike(lim)).groupBy("a", "b", "cls").agg(F.count("*").alias("k"))
     tried = common.select("a", "b").unionByName(common.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return links.unionByName(_compare(likely(across).select("a", "b").join(tried, ["a", "b"], "left_anti"), sets, lim))
 
 
+#: Members of a list that meet in one task.
+BLOCK = 512
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """The members of lists (key, node, ...) dealt into blocks of about BLOCK, once for each pair (i, j) of blocks that theirs, `own`, is in."""
+    blocks = members.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    return own.withColumn("pair", F.explode(pairs)).select(*members.columns, "own", "pair.i", "pair.j")
+
+
 def _alike(lim: Limits):
     """Whether sizes and sketches of a and b allow a link."""
     words = SLOTS // 64
@@ -400,6 +415,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that are the first of their component."""
     found = jaccard_components(docs, id_col, text_col, **how)
-    gone = cut(found.where("id <> component").select(F.col("id").alias("__id"), F.col("body").alias("__body")).distinct())
-    body = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(_small(gone), (docs[id_col] == F.col("__id")) & (body == F.col("__body")), "left_anti")
+    gone = cut(found.where("id <> component").select("id", "body").distinct())
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no name of docs can clash
+    ident, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    kept = docs.toDF(*names).join(_small(gone), (F.col(ident) == F.col("id")) & (body == F.col("body")), "left_anti")
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

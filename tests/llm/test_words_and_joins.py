@@ -197,3 +197,39 @@ def test_light_sets_with_all_shingles_in_one_part_meet():
         assert lim.den * min(len(a), len(b)) >= lim.num * max(len(a), len(b))
         key, _, each = ngram_join.keys(np.concatenate([a, b]), np.array([len(a), len(b)]), lim, 20)
         assert set(key[: each[0]].tolist()) & set(key[each[0] :].tolist()), n
+
+
+def test_ids_of_any_type_and_clashing_names(spark):
+    rows = [r for r in corpus(8, 25) if r[0] is not None]
+    plain = {i: c for i, _, c in plain_join([(f"{i:04d}", t) for i, t in rows], 5, 8, 10)}
+    df = spark.createDataFrame([(f"{i:04d}", t, 1, 2, 3) for i, t in rows], "doc_id string, text string, __id int, id int, body int")
+    got = {str(r["id"]): str(r["component"]) for r in ngram_join.jaccard_components(df).collect()}
+    assert got == plain
+    first = ngram_join.keep_first(df)
+    assert first.columns == df.columns
+    assert sorted(str(r["doc_id"]) for r in first.distinct().collect()) == sorted(k for k, v in got.items() if k == v)
+
+
+def test_long_lists_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    members = spark.createDataFrame([(k, n) for k in (1, 2) for n in range(15 if k == 1 else 3)], "key long, node long")
+    met = ngram_join._dealt(members).collect()
+    pairs = {}
+    for x in met:
+        for y in met:
+            if (x["key"], x["i"], x["j"]) == (y["key"], y["i"], y["j"]) and x["node"] < y["node"] and (x["i"] == x["j"] or x["own"] != y["own"]):
+                pairs[x["key"], x["node"], y["node"]] = pairs.get((x["key"], x["node"], y["node"]), 0) + 1
+    assert len(pairs) == 15 * 14 // 2 + 3 and set(pairs.values()) == {1}
+    rows = corpus(2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["id"] if r["id"] is not None else -1, r["n"], r["component"] if r["component"] is not None else -1) for r in ngram_join.jaccard_components(df, shingle=3, threshold=(90, 100)).collect())
+    assert got == plain_join(rows, 3, 90, 100)
+
+
+def test_hot_keys_are_looked_up_by_broadcast(spark, monkeypatch):
+    from rivulet.llm import graph
+
+    monkeypatch.setattr(graph, "HOT_ROWS", 5)
+    links = [(1, 100 + k) for k in range(40)] + [(50, 100 + k) for k in range(30, 60)] + [(2000 + k, 2001 + k) for k in range(9)]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {n: (1 if n < 2000 else 2000) for p in links for n in p}
