@@ -1,25 +1,27 @@
-"""HTML extraction: the main text of web pages.
+"""HTML extraction: the main text of web pages, judged by a suffix array over each host's pages.
 
-Each page is parsed as a stream of tags and text into blocks, and parts that are no main text by their element, role or class
-go: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. Where a page marks its
-article (an <article>, <main> or role=main), only that counts, and this decides alone.
+Each page is parsed as a stream of tags and text into blocks. Structure says of a block that it is protected (in the <article>, <main>
+or role=main that the page marks), that it is no main text (its element, role or class makes it a menu, header, footer, sidebar,
+notice, advert, form or reader comment), or nothing. Scripts, styles and other things that are never shown are no blocks.
 
-A class or id names such a part only as a whole token: a word of MARKS, or those with nothing but BEFORE and AFTER them
-(site-header, sidebar-left; not has-sidebar or social-history). A <main> in a part that is named so counts all the same; an
-<article> there counts where the page marks no other, unless its own class or id names it or it stands within an article.
+The blocks of a host's pages that aren't protected are concatenated as token streams. Substrings of MIN_TOKENS tokens that stand on
+distinct pages are found through the suffix array of the stream and its longest common prefixes, and what they cover wholly is
+boilerplate and goes; runs that are unique to a page stay. Only where repeats say nothing does structure decide: blocks that it calls
+no main text go, and so does what stands outside the marked article of a page that has one. Protected blocks are never judged by
+repetition: articles that two pages share would go as boilerplate.
 
-What a page without such a mark leaves is ambiguous, and there the host's suffix array decides: the blocks of the host's
-unmarked pages are concatenated as token streams, long substrings that repeat across distinct pages are found through a suffix
-array with longest common prefixes, and the blocks that they cover go; runs that are unique to a page stay. Host streams are
-read in shards of bounded size, so a host that holds most pages is no single task. What repeats across shards is found too: the
-shards of a host exchange 128-bit digests of their windows of MIN_TOKENS tokens, each once, and those that two shards have are
-given back to both. So the result is that of one array over the whole host, however it is dealt.
+A class or id names a part that is no main text only as a whole token: a word of MARKS, or those with nothing but BEFORE and AFTER
+them (site-header, sidebar-left; not has-sidebar or social-history). A <main> in a part that is named so counts all the same; an
+<article> there counts where the page marks no other, unless its own class or id names it or it stands within an article.
 
-A suffix array alone can't give the main text: an article that two pages share would go as boilerplate, and a menu that is
-unique to its page would stay. So marked articles are never judged by repetition.
+Host streams are read in shards of about SHARD_BYTES of html, so a host that holds most pages is no single task. What repeats across
+shards is found too: the shards of a large host exchange 128-bit digests of their windows of MIN_TOKENS tokens, each once and with
+the least and the greatest digest of a page that holds it, and those of distinct pages are given back to all shards that have them.
+So the result is that of one array over the whole host, however it is dealt. Pages are distinct if any of their blocks differ.
 
-Defined results: null, empty or blank html gives an empty text; unclosed and stray tags are read as browsers do for blocks;
-repeated rows give repeated results (the same page in a shard counts once); other columns pass through whatever their names.
+Defined results: null, empty or blank html gives an empty text; a null url is a host of its own; unclosed and stray tags are read as
+browsers do for blocks; repeated rows give repeated results and are no repeats of each other; columns main_text and n_repeated are
+replaced, other columns pass through whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,15 +31,16 @@ import html as entities
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import slices
 
 #: Elements whose text is never shown or never main text.
 DROPPED = frozenset("script style noscript template head title nav header footer aside form button select textarea option iframe svg canvas object dialog menu math audio video map".split())
+#: Those of them that are never shown as text, or are no prose; they give no blocks.
+SILENT = frozenset("script style noscript template head title select textarea option iframe svg canvas object math audio video map".split())
 #: Elements whose content is raw text up to their own end tag.
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,8 +55,10 @@ _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 BEFORE = frozenset("site page global main primary secondary top bottom left right mobile the".split())
 AFTER = frozenset("area bar block body box bottom button buttons container form inner item items left link links list right section slot top unit widgets wrap wrapper".split())
 _CLASS_WORD = re.compile(r"[a-z]+")
-#: How a part is no main text: not at all, by its class or id alone, or by anything else.
-KEPT, NAMED, CERTAIN = 0, 1, 2
+#: How a part is no main text: not at all, by its class or id alone, by anything else, or because it isn't text at all.
+KEPT, NAMED, CERTAIN, UNSEEN = 0, 1, 2, 3
+#: What structure says of a block: no main text, nothing, or that it is in the marked article.
+REFUSED, OPEN, PROTECTED = 0, 1, 2
 
 
 def _named(token: str) -> bool:
@@ -67,7 +72,7 @@ def _named(token: str) -> bool:
 
 def _unwanted(name: str, attrs: str) -> int:
     if name in DROPPED:
-        return CERTAIN
+        return UNSEEN if name in SILENT else CERTAIN
     if not attrs.strip() or name in ("html", "body", "article", "main"):
         return KEPT
     found = KEPT
@@ -83,39 +88,51 @@ def _unwanted(name: str, attrs: str) -> int:
 
 
 def blocks(page: str) -> tuple[bool, list[str]]:
-    """Whether the page marks its article, and the blocks of its main text in page order."""
-    out: list[tuple[int, str]] = []
-    parts: list[str] = []
+    """Whether the page marks its article, and the blocks in page order that structure alone takes for its main text."""
+    found = parse(page)
+    best = max((flag for flag, _ in found), default=REFUSED)
+    return best == PROTECTED, [t for flag, t in found if flag == best != REFUSED]
+
+
+def parse(page: str) -> list[tuple[int, str]]:
+    """What structure says of each block, and its text, in page order."""
+    out: list[tuple[int, bool, str]] = []
+    parts: list[str] = []  # of main text, and of text that structure calls none
+    refused: list[str] = []
     stack: list[tuple[str, int, int]] = []  # name, unwanted from here, inside a marked article: 2, or 1 if that stands in a NAMED part
     drop, main = KEPT, 0
     marked = 0
     at = 0
 
     def flush():
-        text = " ".join("".join(parts).split())
-        parts.clear()
-        if text:
-            out.append((main, text))
+        for held, kept in ((parts, True), (refused, False)):
+            text = " ".join("".join(held).split())
+            held.clear()
+            if text:
+                out.append((main, kept, text))
+
+    def add(text):
+        if drop < UNSEEN:
+            (refused if drop else parts).append(text)
 
     while at < len(page):
         lt = page.find("<", at)
         m = _TAG.match(page, lt) if lt >= 0 else None
         if lt < 0 or m is None:
             stop = len(page) if lt < 0 else lt + 1
-            if not drop:
-                parts.append(entities.unescape(page[at:stop]))
+            add(entities.unescape(page[at:stop]))
             at = stop
             continue
-        if lt > at and not drop:
-            parts.append(entities.unescape(page[at:lt]))
+        if lt > at:
+            add(entities.unescape(page[at:lt]))
         at = m.end()
-        if m["cdata"] is not None and not drop:
-            parts.append(m["cdata"])
+        if m["cdata"] is not None:
+            add(m["cdata"])
         if m["name"] is None:
             continue
         name = m["name"].lower()
         if name == "br":
-            parts.append(" ")
+            add(" ")
             continue
         if name in BLOCKS or name in DROPPED or name in RAW:
             flush()
@@ -152,59 +169,56 @@ def blocks(page: str) -> tuple[bool, list[str]]:
             else:
                 at = end.start()
     flush()
-    return marked > 0, [t for inside, t in out if inside == marked]
+    return [((PROTECTED if marked and inside == marked else OPEN) if kept else REFUSED, t) for inside, kept, t in out]
 
 
 # --- the host's suffix array ------------------------------------------------------------------------------------
 
 
-def suffix_array(tokens: np.ndarray) -> np.ndarray:
-    """Start positions in the order of the suffixes, by prefix doubling."""
+def _ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Start positions in the order of the first `depth` tokens of the suffixes at least, and the ranks by 1, 2, 4, ... tokens."""
     n = len(tokens)
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+    levels = [np.unique(tokens, return_inverse=True)[1].astype(np.int64)]
     k = 1
-    while True:
-        second = np.full(n, -1, np.int64)
-        second[: n - k] = rank[k:]
-        order = np.lexsort((second, rank))
-        a, b = rank[order], second[order]
-        new = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
+    order = np.argsort(levels[0], kind="stable")
+    while k < min(depth, n) and levels[-1][order[-1]] < n - 1:
+        key = levels[-1] * (n + 1)
+        key[: n - k] += levels[-1][k:] + 1
+        order = np.argsort(key, kind="stable")
+        sorted_ = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1 or k >= n:
-            return order
+        rank[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
+        levels.append(rank)
         k *= 2
+    return order, levels
+
+
+def suffix_array(tokens: np.ndarray) -> np.ndarray:
+    """Start positions in the order of the suffixes, by prefix doubling."""
+    return _ranks(tokens, len(tokens))[0]
 
 
 def repeated(tokens: np.ndarray, page: np.ndarray, length: int) -> np.ndarray:
     """For each token, whether a substring of `length` tokens that also stands on another page covers it.
 
-    Neighbours in the suffix array that share `length` tokens form a group; a group with two pages is a repeat.
+    The array is sorted as deep as `length` needs. Neighbours in it that share `length` tokens form a group; a group with two pages
+    is a repeat. Common prefixes of neighbours are put together from the ranks, largest power of two first.
     """
     n = len(tokens)
     covered = np.zeros(n, bool)
     if n < 2 * length:
         return covered
-    order = suffix_array(tokens)
-    inverse = np.empty(n, np.int64)
-    inverse[order] = np.arange(n)
+    order, levels = _ranks(tokens, length)
     lcp = np.zeros(n, np.int64)  # with the neighbour before
-    h = 0
-    for i in range(n):
-        if inverse[i] == 0:
-            h = 0
-            continue
-        j = order[inverse[i] - 1]
-        while i + h < n and j + h < n and tokens[i + h] == tokens[j + h] and h < length:
-            h += 1
-        lcp[inverse[i]] = h
-        h = max(h - 1, 0)
-    group = np.cumsum(lcp < length)
+    for level in range(len(levels) - 1, -1, -1):
+        a, b = order[:-1] + lcp[1:], order[1:] + lcp[1:]
+        inside = (a < n) & (b < n)
+        same = inside & (levels[level][np.minimum(a, n - 1)] == levels[level][np.minimum(b, n - 1)])
+        lcp[1:] += same << level
+    group = np.cumsum(lcp < length) - 1
     pages_here = page[order]
-    low = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-    high = np.full(group[-1] + 1, -1, np.int64)
-    np.minimum.at(low, group, pages_here)
-    np.maximum.at(high, group, pages_here)
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    low, high = np.minimum.reduceat(pages_here, first), np.maximum.reduceat(pages_here, first)
     starts = order[(low != high)[group]]
     change = np.zeros(n + length + 1, np.int64)
     np.add.at(change, starts, 1)
@@ -218,84 +232,155 @@ def windows(parts: list[str], length: int) -> list[bytes]:
     return [hashlib.blake2b(" ".join(words[i : i + length]).encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in range(len(words) - length + 1)]
 
 
-def unique_runs(streams: list[list[str]], length: int, elsewhere: frozenset[bytes] | set[bytes] = frozenset()) -> list[list[str]]:
-    """The blocks of each page that no repeat across distinct pages covers; elsewhere: digests of windows that other shards have."""
+def covered_blocks(streams: list[list[str]], length: int, elsewhere: frozenset[bytes] | set[bytes] = frozenset()) -> list[list[bool]]:
+    """For each block of each page whether repeats across distinct pages cover it; elsewhere: digests of windows that other shards have."""
     ids: dict[str, int] = {}
-    tokens, page, owner = [], [], []
+    tokens, page = [], []
     for p, parts in enumerate(streams):
-        for k, b in enumerate(parts):
+        for b in parts:
             for w in b.split(" "):
                 tokens.append(ids.setdefault(w, len(ids)))
-                page.append(p)
-                owner.append((p, k))
         tokens.append(-1 - p)  # no substring crosses pages
-        page.append(p)
-        owner.append(None)
+        page += [p] * (len(tokens) - len(page))
     gone = repeated(np.array(tokens, np.int64), np.array(page, np.int64), length)
-    at = 0
+    out, at = [], 0
     for parts in streams:
         if elsewhere and parts:
             for i, w in enumerate(windows(parts, length), at):
                 if w in elsewhere:
                     gone[i : i + length] = True
-        at += sum(b.count(" ") + 1 for b in parts) + 1
-    left = {o for o, g in zip(owner, gone, strict=True) if o is not None and not g}
-    return [[b for k, b in enumerate(parts) if (p, k) in left] for p, parts in enumerate(streams)]
+        own = []
+        for b in parts:
+            size = b.count(" ") + 1
+            own.append(bool(gone[at : at + size].all()))
+            at += size
+        out.append(own)
+        at += 1
+    return out
 
 
 # --- columns ----------------------------------------------------------------------------------------------------
 
-#: Pages in a shard of a host's stream, and tokens that a boilerplate substring has at least.
-SHARD_PAGES, MIN_TOKENS = 256, 6
-
-
-def extract(df: DataFrame, html_col: str = "html", url_col: str = "url", *, min_tokens: int = MIN_TOKENS, shard_pages: int = SHARD_PAGES) -> DataFrame:
-    """The columns of df but for the html, with `main_text`: the main text of each page, blocks joined by line ends."""
-    df = df.withColumnsRenamed({"main_text": "main_text_before"})
-    kept = df.drop(html_col) if len(df.columns) > 1 else df
-    kind = kept.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-
-    def parse(batches):
+#: Bytes of html in a shard of a host's stream, tokens that a boilerplate substring has at least, and hosts that are broadcast at most.
+SHARD_BYTES, MIN_TOKENS, BROADCAST_HOSTS = 16 << 20, 6, 100_000
+
+
+def _page_digest(found: list[tuple[int, str]]) -> int:
+    text = "\0".join(f"{flag}{t}" for flag, t in found)
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def extract(df: DataFrame, html_col: str = "html", url_col: str = "url", *, min_tokens: int = MIN_TOKENS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The columns of df but for the html, with `main_text`, the main text of each page (blocks joined by line ends), and
+    `n_repeated`, the number of its blocks that repeats on other pages of the host cover."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    html, url = names[df.columns.index(html_col)], names[df.columns.index(url_col)]
+    through = [n for n in names if n != html]
+    host = F.xxhash64(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z]+://([^/?#:]*)", 1)), F.col(url).isNull())
+    pages = df.toDF(*names).withColumn("host", host).withColumn("hash", F.xxhash64(*names))
+    large = pages.groupBy("host").agg(F.sum(F.octet_length(html)).alias("size")).where(F.col("size") > shard_bytes)
+    large = large.select("host", F.ceil(F.col("size") / shard_bytes).alias("shards"))
+    n_large = large.limit(BROADCAST_HOSTS + 1).count()
+    if n_large:
+        dealt = pages.join(F.broadcast(large) if n_large <= BROADCAST_HOSTS else large, "host", "left")
+        dealt = dealt.withColumn("shard", F.coalesce(F.pmod("hash", "shards"), F.lit(0)).cast("int")).drop("shards")
+    else:
+        dealt = pages.withColumn("shard", F.lit(0))
+    kinds = {n: f.dataType.simpleString() for n, f in zip(names, df.schema.fields, strict=True)}
+    own = ["host", "shard", "hash", *through]
+    schema = ", ".join(["host bigint", "shard int", "hash bigint", *[f"{n} {kinds[n]}" for n in through], "page bigint, flags binary, blocks array<string>"])
+
+    def read(batches):
         for b in batches:
-            found = [blocks(h or "") for h in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("url"), pa.array([m for m, _ in found], pa.bool_()), pa.array([t for _, t in found], pa.list_(pa.string()))], ["row", "url", "marked", "blocks"])
-
-    parsed = df.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(parse, f"row {kind}, url string, marked boolean, blocks array<string>")
-    parsed = cut(parsed)  # two branches read it
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z]+://([^/?#:]*)", 1))
-    return _joined(kept, parsed.where("marked").select("row", "blocks")).unionByName(_joined(kept, _unmarked(parsed.where("not marked"), host, kind, min_tokens, shard_pages)))
-
-
-def _joined(df: DataFrame, found: DataFrame) -> DataFrame:
-    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], F.array_join("blocks", "\n").alias("main_text"))
-
-
-def _unmarked(parsed: DataFrame, host, kind: str, min_tokens: int, shard_pages: int) -> DataFrame:
-    """Shards are dealt by a hash of the content; their number follows the host's number of pages, so shards keep their size.
-
-    Equal pages share a shard, so a window that two shards have stands on distinct pages. A shard gives each of its windows once:
-    a window that all pages of a host have comes as often as the host has shards.
-    """
-    rows = parsed.withColumn("host", host)
-    sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
-    shards = F.greatest(F.lit(1), F.floor(F.col("n") / shard_pages).cast("bigint"))
-    dealt = rows.join(sizes, "host").withColumn("shards", shards).withColumn("shard", F.pmod(F.xxhash64("blocks"), F.col("shards")))
+            for part in slices(b, html):
+                found = [parse(h or "") for h in part.column(html).to_pylist()]
+                made = [pa.array([_page_digest(f) for f in found], pa.int64()), pa.array([bytes(flag for flag, _ in f) for f in found], pa.binary()), pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], *made], [*own, "page", "flags", "blocks"])
+
+    def judge(batches):
+        for digests, rows, times in _groups(batches):
+            flags, texts = rows.column("flags").to_pylist(), rows.column("blocks").to_pylist()
+            distinct = {p: i for i, p in enumerate(rows.column("page").to_pylist())}
+            streams = [[t for flag, t in zip(flags[i], texts[i], strict=True) if flag != PROTECTED] for i in distinct.values()]
+            covered = dict(zip(distinct, covered_blocks(streams, min_tokens, digests), strict=True))
+            out, n = [], []
+            for p, own_flags, own_texts in zip(rows.column("page").to_pylist(), flags, texts, strict=True):
+                gone = iter(covered[p])
+                left = [(flag, t) for flag, t in zip(own_flags, own_texts, strict=True) if flag == PROTECTED or not next(gone)]
+                wanted = PROTECTED if PROTECTED in own_flags else OPEN
+                out.append("\n".join(t for flag, t in left if flag == wanted))
+                n.append(len(own_texts) - len(left))
+            done = pa.RecordBatch.from_arrays([*[rows.column(c) for c in through], pa.array(out, pa.string()), pa.array(n, pa.int32())], [*through, "main_text", "n_repeated"])
+            for k in range(0, len(times), 256):
+                part, often = done.slice(k, 256), times[k : k + 256]
+                for again in range(int(often.max())):
+                    yield part.filter(pa.array(often > again))
+
+    parsed = dealt.select(*own, html).mapInArrow(read, schema).withColumn("digest", F.lit(None).cast("binary"))
+    if n_large:
+        parsed = parsed.unionByName(_elsewhere(dealt, html, large, n_large, min_tokens), allowMissingColumns=True)
+    met = parsed.withColumn("kind", F.col("digest").isNull()).repartition("host", "shard").sortWithinPartitions("host", "shard", "kind", "hash")
+    done = met.mapInArrow(judge, ", ".join([*[f"{n} {kinds[n]}" for n in through], "main_text string, n_repeated int"]))
+    out = [F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True) if n != html and c not in ("main_text", "n_repeated")]
+    return done.select(*out, "main_text", "n_repeated")
+
+
+def _elsewhere(dealt: DataFrame, html: str, large: DataFrame, n_large: int, length: int) -> DataFrame:
+    """(host, shard, digest): for each shard of the large hosts, the windows that it shares with a distinct page of another shard."""
 
     def given(batches):
         for b in batches:
-            for host_, shard, page in zip(b.column("host").to_pylist(), b.column("shard").to_pylist(), b.column("blocks").to_pylist(), strict=True):
-                found = list(set(windows(page, min_tokens))) if page else []
-                yield pa.RecordBatch.from_arrays([pa.array([host_] * len(found), pa.string()), pa.array([shard] * len(found), pa.int64()), pa.array(found, pa.binary())], ["host", "shard", "digest"])
-
-    own = cut(dealt.where("shards > 1").select("host", "shard", "blocks").mapInArrow(given, "host string, shard bigint, digest binary").distinct())
-    several = own.groupBy("host", "digest").agg(F.count("*").alias("k")).where("k > 1").select("host", "digest")
-    elsewhere = own.join(several, ["host", "digest"]).select("host", "shard", "digest")
-
-    def judge(pdf: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        streams = [list(b) for b in pdf["blocks"]]
-        distinct = {tuple(s): i for i, s in enumerate(streams)}
-        kept = dict(zip(distinct, unique_runs([list(s) for s in distinct], min_tokens, set(others["digest"])), strict=True))
-        return pd.DataFrame({"row": pdf["row"], "blocks": [kept[tuple(s)] for s in streams]})
-
-    pages = dealt.select("host", "shard", "row", "blocks").groupBy("host", "shard")
-    return pages.cogroup(elsewhere.groupBy("host", "shard")).applyInPandas(judge, f"row {kind}, blocks array<string>")
+            for part in slices(b, html):
+                pages = [parse(h or "") for h in part.column(html).to_pylist()]
+                sets = [list(set(windows([t for flag, t in f if flag != PROTECTED], length))) if any(flag != PROTECTED for flag, _ in f) else [] for f in pages]
+                at = np.repeat(np.arange(part.num_rows), [len(w) for w in sets])
+                page = np.array([_page_digest(f) for f in pages], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("host").take(pa.array(at)), part.column("shard").take(pa.array(at)), pa.array(page[at]), pa.array([w for ws in sets for w in ws], pa.binary())], ["host", "shard", "page", "digest"])
+
+    hosts = large.select("host")
+    rows = dealt.select("host", "shard", html).join(F.broadcast(hosts) if n_large <= BROADCAST_HOSTS else hosts, "host", "left_semi")
+    held = rows.mapInArrow(given, "host bigint, shard int, page bigint, digest binary").groupBy("host", "digest", "shard").agg(F.min("page").alias("low"), F.max("page").alias("high"))
+    shards = held.groupBy("host", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("shard").alias("shards"))
+    return shards.where((F.col("low") < F.col("high")) & (F.size("shards") > 1)).select("host", F.explode("shards").alias("shard"), "digest")
+
+
+def _groups(batches):
+    """(digests, rows, times) for each shard of rows sorted by host, shard and hash, digests first; rows that are equal in all columns
+    stand once, with their number."""
+    key, digests, held, times, last = None, set(), [], [], None
+
+    def group():
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+        return digests, rows[0], np.concatenate(times)
+
+    for b in batches:
+        host, shard = b.column("host").to_numpy(), b.column("shard").to_numpy()
+        edges = np.flatnonzero((host[1:] != host[:-1]) | (shard[1:] != shard[:-1])) + 1
+        for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
+            if start == stop:
+                continue
+            own = (host[start], shard[start])
+            if own != key:
+                if held:
+                    yield group()
+                key, digests, held, times, last = own, set(), [], [], None
+            part = b.slice(start, stop - start)
+            page = part.column("kind").to_numpy(zero_copy_only=False).astype(bool)
+            n_digests = int((~page).sum())
+            digests.update(part.column("digest").slice(0, n_digests).to_pylist())
+            part = part.slice(n_digests)
+            if not part.num_rows:
+                continue
+            hash_ = part.column("hash").to_numpy()
+            new = np.concatenate([[last is None or hash_[0] != last], hash_[1:] != hash_[:-1]])
+            at = np.flatnonzero(new)
+            count = np.diff(np.append(at, len(hash_)))
+            ahead = int(at[0]) if len(at) else len(hash_)
+            if ahead:
+                times[-1][-1] += ahead
+            last = hash_[-1]
+            if len(at):
+                held.append(part.take(pa.array(at)))
+                times.append(count)
+    if held:
+        yield group()

@@ -57,7 +57,7 @@ def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_text.extract(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("bigint").alias("n_chars"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("bigint").alias("n_chars"), "n_repeated")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
