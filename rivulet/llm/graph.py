@@ -11,16 +11,17 @@ from .common import cut
 HOT_ROWS, HOT_SHARE = 2_000, 1e-5
 
 
-def lookup(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+def lookup(rows: DataFrame, key: str | list[str], table: DataFrame) -> DataFrame:
     """rows left join table (one row for each key). What table has for hot keys is broadcast, at most 1 / HOT_SHARE rows, so no task
     gets all rows of a hot key; keys are counted with a sum in each task first."""
-    counts = cut(rows.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_ROWS))
+    keys = [key] if isinstance(key, str) else key
+    counts = cut(rows.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_ROWS))
     if counts.isEmpty():
-        return rows.join(table, key, "left")
-    hot = F.broadcast(counts.where(F.col("rows") > HOT_SHARE * rows.count()).select(key, F.lit(True).alias("hot")))
-    marked = rows.join(hot, key, "left")
-    own = F.broadcast(table.join(hot, key).drop("hot"))
-    return marked.where("hot").drop("hot").join(own, key, "left").unionByName(marked.where("hot is null").drop("hot").join(table, key, "left"))
+        return rows.join(table, keys, "left")
+    hot = F.broadcast(counts.where(F.col("rows") > HOT_SHARE * rows.count()).select(*keys, F.lit(True).alias("hot")))
+    marked = rows.join(hot, keys, "left")
+    own = F.broadcast(table.join(hot, keys).drop("hot"))
+    return marked.where("hot").drop("hot").join(own, keys, "left").unionByName(marked.where("hot is null").drop("hot").join(table, keys, "left"))
 
 
 def components(links: DataFrame) -> DataFrame:

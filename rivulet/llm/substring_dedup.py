@@ -3,18 +3,24 @@
 A window is `window` consecutive words of a document; each word goes that a window covers whose words also start in a document
 with a smaller id. Windows are judged on the input.
 
-Level 1 takes short runs of words, and only one in five of them: of the runs inside each window the one with the smallest hash,
-which is the same run wherever the window stands. Runs that one document alone holds can't be part of a repeated window. Level 2
-extends those that several hold to whole windows, whose hashes are built by doubling: a window of 2n words from two of n. It takes
-the windows whose run has survived and finds the smallest document of each. Where the next level is the window itself, the doubling ends.
+The levels double: runs of RUN words, of twice as many, and so on, at last the windows themselves (4, 8, 13). At each level the run
+of a window is that of the level's length with the smallest hash inside the window, which is the same wherever the window stands;
+so a level has few distinct runs. A window goes on to the next level only if another document holds its run as well, until none
+survives or the windows themselves are judged; a repeat longer than a window is a union of windows, so no level beyond is needed.
 
-Copies of a whole text are settled by the text's hash: all their words go but for the smallest id, and only that one goes
-through the levels. Very common runs (in one document of HOT_SHARE in a task) are found first, within bounded memory, and skip
-the shuffle: they are repeated anyway.
+Level 1 is sent out as runs of documents without windows. What survives it is extended in the documents: each window that is left
+sends its runs of all further levels at once, dealt by the first of them. The levels then are nested groups of the same rows: rows
+are grouped by the first run, survivors by the first and the second, and so on, so these levels need one shuffle together, and
+two windows are taken as equal only if all their runs are.
+
+Copies of a whole text are settled by 128 bits of the text's hash: all their words go but for the smallest id, and only that one
+goes through the levels. Very common runs (in one document of HOT_SHARE in a task) are found first, within bounded memory. They
+skip level 1, being repeated anyway; their windows are judged by least and greatest ids that are taken in each task first, and
+those of the commonest are looked up by a bounded broadcast, so a passage that most documents hold is no hot key.
 
 Defined results: a null or empty text has no words; rows with one id are one document, so their windows don't remove each other;
 rows without an id take no part and lose nothing; documents shorter than a window lose nothing; an empty table gives an empty
-result; other columns pass through whatever their names. Runs and windows are compared by 64-bit hashes.
+result; ids may be of any type that has an order; other columns aren't returned. Runs are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,9 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, Words, cut, grams, lists, signed
+from .common import U64, Words, cut, grams, lists, signed, slices
+from .graph import lookup
 
 WINDOW, RUN = 13, 4
+
+
+def lengths(window: int, run: int) -> list[int]:
+    """The levels' lengths after the first, the window at last."""
+    out = []
+    while run * 2 < window:
+        run *= 2
+        out.append(run)
+    return [*out, window]
+
+
 #: A run is very common if so many of a task's documents, and this share of them, hold it, and if half this share of all does.
 HOT_LEAST, HOT_SHARE = 48, 0.002
 
@@ -62,11 +80,6 @@ def _distinct(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray,
     return h[keep], np.bincount(doc[keep], minlength=n_docs)
 
 
-def _parts(batch: pa.RecordBatch, n: int = 500):
-    for k in range(0, batch.num_rows, n):
-        yield batch.slice(k, n)
-
-
 def _runs(part: pa.RecordBatch, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
     w = Words(part.column("text"))
     starts, low = run_hashes(w, window, run)
@@ -81,7 +94,7 @@ def hot_runs(texts: DataFrame, window: int, run: int) -> np.ndarray:
         seen: list[np.ndarray] = []
         n = held = 0
         for b in batches:
-            for part in _parts(b):
+            for part in slices(b, "text"):
                 h, _ = _runs(part, window, run)
                 seen.append(h)
                 n += part.num_rows
@@ -103,13 +116,12 @@ def hot_runs(texts: DataFrame, window: int, run: int) -> np.ndarray:
     return np.sort(rows.view(U64))
 
 
-def survivors(texts: DataFrame, window: int, run: int) -> DataFrame:
-    """(body, runs): for each distinct text the hashes of its runs that other texts hold as well."""
-    hot = hot_runs(texts, window, run)
+def survivors(texts: DataFrame, window: int, run: int, hot: np.ndarray) -> DataFrame:
+    """(body, runs): for each distinct text the hashes of its runs that other texts hold as well; hot: runs that are known to be."""
 
     def spread(batches):
         for b in batches:
-            for part in _parts(b):
+            for part in slices(b, "text"):
                 h, counts = _runs(part, window, run)
                 common = np.isin(h, hot)
                 owner = np.repeat(np.arange(part.num_rows), counts)
@@ -142,18 +154,20 @@ def _unpacked(column: pa.Array) -> pa.Array:
     return pa.array([loose.decompress(z).decode() for z in column.to_pylist()], pa.large_string())
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """(id, body, copy, windows): for texts that lose words, whether the whole text goes, or the hashes of the windows that go."""
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("body"), F.xxhash64(F.lit("second"), text).alias("body2"), F.col(text_col).alias("text"))
+
+
+def live_windows(texts: DataFrame, wanted: DataFrame, window: int, run: int, hot: np.ndarray) -> DataFrame:
+    """(id, l1, l2, ..., hot): for each distinct window that survives level 1 its runs of the further levels, the window's hash last."""
     kind = dict(texts.dtypes)["id"]
-    ids = cut(texts.select("id", "body"))
-    first = ids.groupBy("body").agg(F.min("id").alias("id"))
-    copies = ids.join(first.withColumnRenamed("id", "first"), "body").where("id > first").select("id", "body").distinct()
-    wanted = survivors(texts, window, run).join(first, "body").select("id", "body", "runs")
+    sizes = lengths(window, run)
+    names = [f"l{k + 1}" for k in range(len(sizes))]
 
     def extend(batches):
         for b in batches:
-            for part in _parts(b, 100):
+            for part in slices(b, "z", 1 << 19):
                 w = Words(_unpacked(part.column("z")))
                 starts, low = run_hashes(w, window, run)
                 doc = np.repeat(np.arange(part.num_rows), w.counts())[starts]
@@ -164,25 +178,61 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
                 for d in range(part.num_rows):
                     own = slice(edge[d], edge[d + 1])
                     live[own] = np.isin(signed(low[own].copy()), values[ends[d - 1] if d else 0 : ends[d]])
-                full = grams(w.hash, window)[starts[live]] if live.any() else np.zeros(0, U64)
-                h, counts = _distinct(doc[live], full, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("body"), lists(signed(h), counts, pa.int64())], ["id", "body", "windows"])
+                if not live.any():
+                    continue
+                doc, common = doc[live], np.isin(low[live], hot)
+                levels = [run_hashes(w, window, n)[1][live] for n in sizes]
+                order = np.lexsort((levels[-1], doc))
+                h, d = levels[-1][order], doc[order]
+                order = order[np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])]
+                for k in range(0, len(order), 100_000):
+                    at = order[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc[at])), *[pa.array(signed(x[at])) for x in levels], pa.array(common[at])], ["id", *names, "hot"])
+
+    rows = _packed(texts).join(wanted, ["id", "body"]).dropDuplicates(["id", "body"])
+    return rows.mapInArrow(extend, f"id {kind}, {', '.join(n + ' bigint' for n in names)}, hot boolean")
+
+
+def repeated_windows(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(id, h): of the windows (id, *names), those that a smaller id holds as well, level by level."""
+    for k in range(1, len(names) + 1):
+        w = Window.partitionBy(*names[:k]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        last = k == len(names)
+        rows = rows.select("id", *names, F.min("id").over(w).alias("low"), *([] if last else [F.max("id").over(w).alias("high")]))
+        rows = rows.where("id > low" if last else "low < high").select("id", *names)
+    return rows.select("id", F.col(names[-1]).alias("h"))
 
-    level2 = cut(_packed(texts).join(wanted, ["id", "body"]).dropDuplicates(["id", "body"]).mapInArrow(extend, f"id {kind}, body bigint, windows array<bigint>"))
-    rows = level2.select("id", "body", F.explode("windows").alias("h"))
-    owner = rows.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "low")
-    gone = rows.join(owner, "h").where("id > low").groupBy("id", "body").agg(F.collect_list("h").alias("windows"))
-    return copies.select("id", "body", F.lit(True).alias("copy"), F.array().cast("array<bigint>").alias("windows")).unionByName(gone.select("id", "body", F.lit(False).alias("copy"), "windows"))
+
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, run: int = RUN) -> DataFrame:
+    """(id, copies, windows): for documents that lose words, the hashes of their texts that go as a whole, and of the windows that go."""
+    texts = _bodies(docs, id_col, text_col).where("id is not null and text is not null")
+    ids = cut(texts.select("id", "body", "body2"))
+    first = ids.groupBy("body", "body2").agg(F.min("id").alias("first"))
+    copies = lookup(ids, ["body", "body2"], first).where("id > first").groupBy("id").agg(F.collect_set("body").alias("copies"))
+    hot = hot_runs(texts, window, run)
+    wanted = survivors(texts, window, run, hot).join(first.select("body", F.col("first").alias("id")), "body").select("id", "body", "runs")
+    rows = live_windows(texts, wanted, window, run, hot)
+    names = [c for c in rows.columns if c not in ("id", "hot")]
+    if len(hot):
+        rows = cut(rows)
+        common = rows.where("hot").select("id", *names)
+        owner = cut(common.groupBy(*names).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(*names, "low"))
+        of_common = lookup(common, names, owner).where("id > low").select("id", F.col(names[-1]).alias("h"))
+        gone = repeated_windows(rows.where("not hot"), names).unionByName(of_common)
+    else:
+        gone = repeated_windows(rows, names)
+    gone = gone.groupBy("id").agg(F.collect_list("h").alias("windows"))
+    return copies.join(gone, "id", "full")
 
 
 def kept_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest: bool = False, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """(id, n_words, n_removed, kept): each row's kept words joined by blanks; with digest their SHA-256 instead."""
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.col(text_col).alias("text"))
+    texts = _bodies(docs, id_col, text_col).drop("body2")
     kind = dict(texts.dtypes)["id"]
 
     def strip(batches):
         for b in batches:
-            for part in _parts(b, 100):
+            for part in slices(b, "z", 1 << 19):
                 w = Words(_unpacked(part.column("z")))
                 n = len(w.hash)
                 starts = np.flatnonzero(w.room() >= window)
@@ -190,17 +240,16 @@ def kept_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 edge = np.searchsorted(doc[starts], np.arange(part.num_rows + 1))
                 bad = np.zeros(len(starts), bool)
                 full = signed(grams(w.hash, window)[starts]) if len(starts) else np.zeros(0, np.int64)
-                copy = part.column("copy").to_pylist()
-                gone = part.column("windows")
+                body, copies, gone = part.column("body"), part.column("copies"), part.column("windows")
                 for d in range(part.num_rows):
                     own = slice(edge[d], edge[d + 1])
-                    if copy[d]:
+                    if copies[d].is_valid and body[d].as_py() in copies[d].values.to_numpy():
                         bad[own] = True
                     elif gone[d].is_valid:
                         bad[own] = np.isin(full[own], gone[d].values.to_numpy())
                 change = np.zeros(n + window + 1, np.int64)
-                np.add.at(change, starts[bad], 1)
-                np.add.at(change, starts[bad] + window, -1)
+                change[starts[bad]] += 1
+                change[starts[bad] + window] -= 1
                 keep = np.cumsum(change)[:n] == 0
                 out = []
                 raw = w.raw.tobytes()
@@ -214,5 +263,7 @@ def kept_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(words), pa.array(words - left), pa.array(out, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
     what = decisions(docs, id_col, text_col, window=window, run=run)
-    joined = _packed(texts).join(what, ["id", "body"], "left")
-    return joined.mapInArrow(strip, f"id {kind}, n_words bigint, n_removed bigint, kept string")
+    packed = _packed(texts)
+    named = packed.where("id is not null").join(what, "id", "left")  # rows without an id stay where they are
+    nameless = packed.where("id is null").withColumns({"copies": F.lit(None).cast("array<bigint>"), "windows": F.lit(None).cast("array<bigint>")})
+    return named.unionByName(nameless).mapInArrow(strip, f"id {kind}, n_words bigint, n_removed bigint, kept string")

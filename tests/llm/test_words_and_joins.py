@@ -136,6 +136,21 @@ def test_substring_dedup_matches_all_windows(spark):
     assert ngram_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_levels_of_other_windows(spark):
+    assert substring_dedup.lengths(13, 4) == [8, 13] and substring_dedup.lengths(40, 4) == [8, 16, 32, 40] and substring_dedup.lengths(8, 4) == [8]
+    rows = [(f"{i:04d}" if i is not None else None, t) for i, t in corpus(6, 40)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 as id", "2 as body", "3 as z")
+    for n in (6, 24):
+        got = sorted((str(r["id"]), r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.kept_words(df, digest=True, window=n).collect())
+        assert got == sorted((str(i) if i != -1 else "None", *rest) for i, *rest in plain_windows_of_names(rows, n))
+
+
+def plain_windows_of_names(rows, n):
+    number = {i: k for k, i in enumerate(sorted({i for i, _ in rows if i is not None}))}
+    name = {k: i for i, k in number.items()} | {-1: -1}
+    return [(name[i], *rest) for i, *rest in plain_windows([(number.get(i), t) for i, t in rows], n)]
+
+
 def test_very_common_runs(spark):
     common_line = " ".join(f"c{k}" for k in range(30))
     rows = [(i, f"a{i} b{i} {common_line} x{i}") for i in range(150)]
