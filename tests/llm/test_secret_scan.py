@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from rivulet.llm.secret_scan import RULES, Rule, new_ledger_rows, scan_history
+from rivulet.llm.secret_scan import RULES, Rule, new_ledger_rows, scan_history, scan_increments
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -43,3 +43,19 @@ def test_ledger_scans_only_new_pairs(spark):
     assert found == {("a", 1): 1, ("b", 1): 1, ("a", 2): 0, ("c", 1): 1, ("c", 2): 1}
     assert scan_history(df.limit(0)).count() == 0
     assert hashlib and F
+
+
+def test_increments_give_what_one_scan_gives(spark):
+    rows = [(i, t, 1, 2) for i, t in enumerate(texts())] + [(None, "token=abcdefg", 1, 2)]
+    rows += [(100 + i, t, 1, 2) for i, t, *_ in rows[:20]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, blob int, kind int")
+    found, ledger = scan_increments([df.where("doc_id % 2 = 0"), df.where("doc_id % 2 = 1 or doc_id is null"), df.limit(0)], carry=["doc_id", "blob", "kind"])
+    got = sorted((str(r["row"]["doc_id"]), r["row"]["blob"], [tuple(s) for s in r["found"]]) for r in found.collect())
+    assert got == sorted((str(i), 1, plain(t)) for i, t, *_ in rows)
+    assert ledger.count() == ledger.select("blob", "kind", "version").distinct().count() == len(RULES) * len({t or "" for _, t, *_ in rows})
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "".join(f"é token=abcdef{k} AKIA{'A1' * 8}\n" for k in range(3000))
+    df = spark.createDataFrame([(1, text), (2, text[: len(text) // 2])], "doc_id long, text string")
+    assert {r["row"]["doc_id"]: [tuple(s) for s in r["found"]] for r in scan_history(df).collect()} == {1: plain(text), 2: plain(text[: len(text) // 2])}
