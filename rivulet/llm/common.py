@@ -18,7 +18,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 19
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -268,8 +268,9 @@ def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def pack(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            z = [squeeze.compress((t or "").encode()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("body"), pa.array(z, pa.binary())], ["id", "body", "z"])
+            for part in slices(b, "text"):
+                z = [squeeze.compress((t or "").encode()) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("body"), pa.array(z, pa.binary())], ["id", "body", "z"])
 
     def run(batches):
         loose = zstandard.ZstdDecompressor()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, cut, join_pairs, mix, slices, uniform, with_made
 
-BITS = 22
+BITS = 21
 SAMPLE, FOLDS, FIT_PARTS = 20_000, 4, 3
 #: A bucket is judged if the sample holds it so often; how much of a log ratio is taken as chance, in standard errors and flat.
 SEEN, CERTAIN, FLAT, SMOOTHING = 4, 1.0, 0.5, 1.0
@@ -118,7 +118,7 @@ class _Counts:
     def add(self, bucket: np.ndarray) -> None:
         self.held.append(bucket)
         self.n += len(bucket)
-        if self.n > 1 << 22:
+        if self.n > 1 << 20:
             self.flush()
 
     def flush(self) -> np.ndarray:
@@ -150,8 +150,8 @@ def target_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str
     own = docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(sample.where("fit")), "doc").select("text", "good")
     sums = cut(own.mapInArrow(count, "bucket bigint, good bigint, n bigint").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("n").alias("n")))
     total = sums.agg(F.sum("good")).first()[0] or 0
-    seen = sums.where(F.col("n") >= SEEN).select("bucket", "good").toPandas().sort_values("bucket")
-    return seen["bucket"].to_numpy(np.int64), seen["good"].to_numpy(np.int64), int(total)
+    seen = sums.where(F.col("n") >= SEEN).select("bucket", "good").toArrow().sort_by("bucket")
+    return seen["bucket"].to_numpy(), seen["good"].to_numpy(), int(total)
 
 
 def raw_counts(docs: DataFrame, buckets: np.ndarray, text_col: str) -> tuple[np.ndarray, int]:
@@ -168,9 +168,9 @@ def raw_counts(docs: DataFrame, buckets: np.ndarray, text_col: str) -> tuple[np.
         at = np.flatnonzero(found)
         yield from _blocks(["at", "n"], [np.append(at, len(buckets)), np.append(found[at], total)])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(buckets) + 1, np.int64)
-    out[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    out[rows["at"].to_numpy()] = rows["n"].to_numpy()
     return out[:-1], int(out[-1])
 
 
@@ -236,8 +236,8 @@ def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = fit(docs, chosen, id_col, text_col)
     table = cut(scored(docs, model, id_col, text_col))
     held_out = table.join(F.broadcast(chosen.where("not fit")), F.col("id").cast("string") == F.col("doc"))
-    known = held_out.groupBy("doc", "good").agg(F.min("score").alias("score")).toPandas()
-    least = threshold(known["score"].to_numpy(float), known["good"].to_numpy(bool))
+    known = held_out.groupBy("doc", "good").agg(F.min("score").alias("score")).toArrow()
+    least = threshold(known["score"].to_numpy(), known["good"].to_numpy().astype(bool))
     if least == -np.inf:
         return model, table, -np.inf
     return model, table, kth_largest(table, max(1, table.where(F.col("score") >= least).count()))

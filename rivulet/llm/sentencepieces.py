@@ -2,18 +2,24 @@
 
 A text is cut into words (a run of the space mark and what follows it up to the next mark; no piece crosses such a cut, which
 is checked when a model is read). Distinct words of equal length advance together: hashes of all their substrings probe the
-sorted hashes of the pieces, and vectorised maxima over the start positions store backpointers (Viterbi). That is the encoding
-of unigram models. The score of a piece in a BPE model is its rank in a list of merges, and the best sum of ranks is not what
-such a model encodes; for it the same probes score all neighbours of all words at once, and the best pair of each word is
-merged, leftmost first, until none is left. What no piece covers falls back to bytes.
+sorted hashes of the pieces, and vectorised maxima over the start positions store backpointers (Viterbi). The best sum of scores is
+what unigram models encode, and it is the default for all. The score of a piece in a BPE model is its rank in a list of merges, and
+its own encoding merges the best pair of neighbours, leftmost first, until none is left; that is there beside it (algorithm=BPE),
+on the same probes, for short words all at once and for long ones by a heap. What no piece covers falls back to bytes.
+
+Texts are taken in slices of about a megabyte, whatever the sizes of their batches; the ids of words up to REMEMBERED_CHARS
+characters are remembered, for at most REMEMBERED words.
 
 Defined results: a null or empty text has no ids; repeated rows give repeated results; decode(encode(text)) is the text, byte by
-byte, for models with byte fallback and an identity normaliser, but for the space mark U+2581 itself, which becomes a blank; other columns pass through whatever their names.
+byte, for models with byte fallback and an identity normaliser, but for the space mark U+2581 itself, which becomes a blank; a model
+without byte pieces gives its unknown piece, which decodes to a blank and U+2047 as the reference library has it; a column that has
+the name of the result is replaced, all others pass through whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import struct
 from dataclasses import dataclass, field
@@ -23,14 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix
+from .common import U64, mix, slices, with_made
 
 SPACE = "▁"
+#: What the unknown piece decodes to, fixed by the model format.
+UNKNOWN_TEXT = " \u2047 "
 #: Fixed numbers of the model format: piece kinds and model kinds.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Distinct words whose ids a worker remembers, and how long they are at most; beyond it the memory starts anew.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+#: Words up to which merges are found round by round for all words at once; longer ones go by a heap.
+ROUNDS_CHARS = 48
 _CHAR = U64(0x2545F4914F6CDD1D)
 _FILTER_SHIFT = U64(44)
 
@@ -77,6 +87,7 @@ class Model:
     filter: np.ndarray = field(init=False)
     longest: int = field(init=False)
     seen: dict = field(init=False, default_factory=dict)
+    _raw: list | None = field(init=False, default=None, repr=False)
 
     def __post_init__(self):
         usable = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER) and self.pieces[i]]
@@ -118,7 +129,7 @@ class Model:
                 part = own[k : k + most]
                 chars = np.frombuffer("".join([words[i] for i in part]).encode("utf-32-le"), np.uint32).reshape(len(part), n)
                 table = self._table(chars)
-                done = [self._viterbi(chars, table) if a == UNIGRAM else self._merges(chars, table) for a in algorithms]
+                done = [self._viterbi(chars, table) if a == UNIGRAM else self._merges(chars, table) if n <= ROUNDS_CHARS else self._heap_merges(chars, table) for a in algorithms]
                 for i, ids in zip(part, zip(*done, strict=True), strict=True):
                     out[i] = ids
         return out
@@ -197,6 +208,41 @@ class Model:
         ends = np.concatenate([start[:, 1:], np.full((rows, 1), n)], axis=1)
         return self._flat(chars, ids_of(np.arange(rows)[:, None], start, ends), start < n, start)
 
+    def _heap_merges(self, chars: np.ndarray, table: np.ndarray) -> list[bytes]:
+        """The same merges, word by word: a heap of neighbours by score and place, n log n in the length."""
+        rows, n = chars.shape
+        longest, out = table.shape[2], np.full((rows, n + 1), n)
+        for r in range(rows):
+            own = table[r]
+            after, before = list(range(1, n + 2)), list(range(-1, n))  # starts of the symbols next to each
+            end = list(range(1, n + 1))
+            heap: list[tuple[float, int, int, int]] = []
+
+            def offer(a, b):  # noqa: B023
+                size = end[b] - a
+                if size <= longest and own[a, size - 1] >= 0:
+                    heapq.heappush(heap, (-self.scores[own[a, size - 1]], a, b, end[b]))
+
+            for a in range(n - 1):
+                offer(a, a + 1)
+            gone = bytearray(n)
+            while heap:
+                _, a, b, stop = heapq.heappop(heap)
+                if gone[a] or gone[b] or end[a] != b or end[b] != stop:
+                    continue
+                gone[b], end[a], after[a] = 1, stop, after[b]
+                if after[a] < n:
+                    before[after[a]] = a
+                    offer(a, after[a])
+                if before[a] >= 0:
+                    offer(before[a], a)
+            kept = [a for a in range(n) if not gone[a]]
+            out[r, : len(kept)] = kept
+        ends = np.minimum(np.concatenate([out[:, 1:], np.full((rows, 1), n)], axis=1), n)
+        size = ends - out
+        ids = np.where((out < n) & (size > 0) & (size <= longest), table[np.arange(rows)[:, None], np.minimum(out, n - 1), np.clip(size, 1, longest) - 1], -1)
+        return self._flat(chars, ids, out < n, out)
+
     def _flat(self, chars: np.ndarray, ids: np.ndarray, real: np.ndarray, starts: np.ndarray) -> list[bytes]:
         """The real ids of each row, those below 0 as the bytes of the character at their start."""
         raw, ends = ids[real].astype("<i4").tobytes(), (4 * np.cumsum(real.sum(axis=1))).tolist()
@@ -216,8 +262,8 @@ class Model:
         text = text.replace(" ", SPACE)
         return _WORDS.findall(SPACE + text if self.dummy_prefix else text)
 
-    def encode(self, texts: list[str | None], algorithm: int | None = None) -> list[np.ndarray]:
-        (out,) = self.encode_cut([self.words(t or "") for t in texts], (algorithm or self.algorithm,))
+    def encode(self, texts: list[str | None], algorithm: int = UNIGRAM) -> list[np.ndarray]:
+        (out,) = self.encode_cut([self.words(t or "") for t in texts], (algorithm,))
         return out
 
     def encode_cut(self, cut_up: list[list[str]], algorithms: tuple[int, ...]) -> list[list[np.ndarray]]:
@@ -226,16 +272,19 @@ class Model:
         if len(seen) > REMEMBERED:
             seen.clear()
         new = list(set().union(*cut_up).difference(seen))
-        seen.update(zip(new, self.encode_words(new, algorithms), strict=True))
-        found = [[seen[w] for w in ws] for ws in cut_up]
+        ids = dict(zip(new, self.encode_words(new, algorithms), strict=True))
+        long = {w: x for w, x in ids.items() if len(w) > REMEMBERED_CHARS}
+        seen.update((w, x) for w, x in ids.items() if w not in long)
+        found = [[long[w] if w in long else seen[w] for w in ws] for ws in cut_up] if long else [[seen[w] for w in ws] for ws in cut_up]
         return [[np.frombuffer(b"".join([f[k] for f in fs]), "<i4") for fs in found] for k in range(len(algorithms))]
 
     def decode(self, ids: np.ndarray) -> str:
-        if self.byte_ids is not None and not hasattr(self, "_byte_of"):
-            self._byte_of = {int(i): b for b, i in enumerate(self.byte_ids)}
+        if self._raw is None:
             self._raw = [p.replace(SPACE, " ").encode("utf-8") if k in (NORMAL, USER) else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
-            for i, b in self._byte_of.items():
-                self._raw[i] = bytes((b,))
+            if self._raw:
+                self._raw[self.unknown] = UNKNOWN_TEXT.encode("utf-8")
+            for b, i in enumerate(self.byte_ids if self.byte_ids is not None else ()):
+                self._raw[int(i)] = bytes((b,))
         raw = self._raw
         text = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
@@ -313,46 +362,36 @@ def _load(path: str) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", *, algorithm: int = UNIGRAM) -> DataFrame:
     """df with the ids of its texts (array<int>). The model file is read once, on the driver; its bytes go along with the task."""
     raw = _load(model_path)
 
-    def run(batches):
-        model = _model_of(raw)
-        for b in batches:
-            ids = model.encode(b.column("text").to_pylist())
-            flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-            at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["row", "ids"])
+    def make(texts: pa.Array) -> list[pa.Array]:
+        ids = _model_of(raw).encode(texts.to_pylist(), algorithm)
+        flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+        at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
 
-    df = df.drop(ids_col)
-    kind = df.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    done = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).mapInArrow(run, f"row {kind}, ids array<int>")
-    return done.select("row.*", F.col("ids").alias(ids_col))
+    return with_made(df, text_col, make, [(ids_col, "array<int>")])
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """df with the texts of its ids."""
+    """df with the texts of its ids; null ids give an empty text."""
     raw = _load(model_path)
 
-    def run(batches):
+    def make(ids: pa.Array) -> list[pa.Array]:
         model = _model_of(raw)
-        for b in batches:
-            texts = [model.decode(np.array(x or [], np.int64)) for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+        return [pa.array([model.decode(np.array(x or [], np.int64)) for x in ids.to_pylist()], pa.string())]
 
-    df = df.drop(text_col)
-    kind = df.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    done = df.select(F.struct("*").alias("row"), F.col(ids_col).alias("ids")).mapInArrow(run, f"row {kind}, text string")
-    return done.select("row.*", F.col("text").alias(text_col))
+    return with_made(df, ids_col, make, [(text_col, "string")])
 
 
-SUMMARY = "id {kind}, n_ids bigint, ids_sha256 string, n_viterbi bigint, viterbi_sha256 string, same boolean"
+SUMMARY = "id {kind}, n_ids bigint, ids_sha256 string, n_merged bigint, merged_sha256 string, same boolean"
 
 
 def summary(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_ids, ids_sha256, n_viterbi, viterbi_sha256, same) for each row: its ids as the model encodes, the best sum of scores by
-    Viterbi over the same pieces, and whether both decode to the text. Ids are hashed as 32-bit numbers, low byte first."""
+    """(id, n_ids, ids_sha256, n_merged, merged_sha256, same) for each row: the ids with the best sum of scores by Viterbi, those by
+    merges over the same pieces, and whether both decode to the text. Ids are hashed as 32-bit numbers, low byte first."""
     raw = _load(model_path)
 
     def digest(ids):
@@ -361,13 +400,12 @@ def summary(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     def run(batches):
         model = _model_of(raw)
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
+            for part in slices(b, "text", most_rows=500):
                 texts = part.column("text").to_pylist()
                 words = [model.words(t or "") for t in texts]
-                own, best = model.encode_cut(words, (model.algorithm, UNIGRAM))
-                same = [model.decode(x) == (t or "") == model.decode(y) for t, x, y in zip(texts, own, best, strict=True)]
-                cols = [part.column("id"), pa.array([len(x) for x in own], pa.int64()), pa.array([digest(x) for x in own], pa.string()), pa.array([len(x) for x in best], pa.int64()), pa.array([digest(x) for x in best], pa.string()), pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "n_ids", "ids_sha256", "n_viterbi", "viterbi_sha256", "same"])
+                best, merged = model.encode_cut(words, (UNIGRAM, BPE))
+                same = [model.decode(x) == (t or "") == model.decode(y) for t, x, y in zip(texts, best, merged, strict=True)]
+                cols = [part.column("id"), pa.array([len(x) for x in best], pa.int64()), pa.array([digest(x) for x in best], pa.string()), pa.array([len(x) for x in merged], pa.int64()), pa.array([digest(x) for x in merged], pa.string()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "n_ids", "ids_sha256", "n_merged", "merged_sha256", "same"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SUMMARY.format(kind=dict(df.dtypes)[id_col]))

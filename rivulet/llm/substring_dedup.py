@@ -99,7 +99,7 @@ def hot_runs(texts: DataFrame, window: int, run: int) -> np.ndarray:
                 seen.append(h)
                 n += part.num_rows
                 held += len(h)
-                if held > 1 << 22:
+                if held > 1 << 20:
                     yield frequent(seen, n)
                     seen, n, held = [], 0, 0
         if seen:
@@ -143,8 +143,9 @@ def _packed(texts: DataFrame) -> DataFrame:
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            z = [squeeze.compress((t or "").encode()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("body"), pa.array(z, pa.binary())], ["id", "body", "z"])
+            for part in slices(b, "text"):
+                z = [squeeze.compress((t or "").encode()) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("body"), pa.array(z, pa.binary())], ["id", "body", "z"])
 
     return texts.select("id", "body", "text").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, body bigint, z binary")
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -42,8 +43,30 @@ def test_media_columns(spark):
     assert out[2]["media_sha256"] == out[7]["media_sha256"] and out[2]["feature"] == out[7]["feature"]
     pages = tiff.read_pages(media.where("doc_id = 6"), "doc_id").collect()
     assert [p["page"] for p in sorted(pages, key=lambda p: p["page"])] == list(range(len(pages))) and len(pages) == 2
-    bad = spark.createDataFrame([(1, b"nothing"), (2, None)], "doc_id long, media binary")
-    assert [(r["id"], r["page"]) for r in tiff.read_pages(bad).collect()] == [(1, -1)]
+    huge = tiff._directory("<", [(tiff.TAG_WIDTH, 4, [1 << 20]), (tiff.TAG_LENGTH, 4, [1 << 20]), (tiff.TAG_BITS, 3, [8]), (tiff.TAG_STRIP_OFFSETS, 4, [8]), (tiff.TAG_STRIP_COUNTS, 4, [8])], 8, False)
+    huge = b"II*\0\x08\0\0\0" + huge
+    cut_off = tiff.stored(tiff.pad(b"x" * 5000))[:100]
+    bad = spark.createDataFrame([(1, b"nothing"), (2, None), (3, huge), (4, cut_off), (5, b"")], "doc_id long, media binary")
+    assert [(r["id"], r["page"]) for r in tiff.read_pages(bad).collect()] == [(1, -1), (3, -1), (4, -1)]
+    rows = {r["id"]: r for r in tiff.digests(bad.selectExpr("*", "1 as n_bytes")).collect()}
+    assert rows[2]["media_bytes"] is None and all(rows[i]["payload_bytes"] is None and rows[i]["feature"].startswith("error") for i in (1, 3, 4, 5))
+    clash = df.selectExpr("doc_id", "text", "n_bytes", "1 as media", "2 as c1")
+    assert tiff.encode(clash).columns == ["doc_id", "text", "n_bytes", "c1", "media"]
+    assert tiff.digests(tiff.encode(df.limit(0))).count() == tiff.read_pages(media.limit(0)).count() == 0
+
+
+def test_all_forms_of_storage_are_dealt_and_strips_stay_bounded():
+    forms = set()
+    for k in range(200):
+        payload = tiff.pad(f"text {k}".encode() * (k + 1))
+        data = tiff.stored(payload)
+        (page,) = tiff.pages(data)
+        assert page.samples.tobytes() == payload
+        forms.add((page.compression, tiff.TAG_TILE_OFFSETS in tiff._fields(data, "<", 8)[0]))
+    assert len(forms) == len(tiff.FORMS)
+    bomb = zlib.compress(bytes(50_000_000))
+    assert len(tiff.inflate(bomb, 1000)) == 1000 and len(tiff.packbits_decode(bytes((129, 7)) * 10**6, 1000)) < 1200
+    assert len(tiff.lzw_decode(tiff.lzw_encode(bytes(10**6)), 1000)) < 6000
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body><nav><ul><li>menu</li></ul></nav>
@@ -96,9 +119,10 @@ def test_ids_are_those_of_the_library(model):
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rng = random.Random(1)
     texts = TEXTS + ["".join(rng.choice("ab éz\n▁.T😀") for _ in range(rng.randint(0, 60))) for _ in range(300)]
-    assert [x.tolist() for x in model.encode(texts)] == lib.encode(texts)
+    texts += ["".join(rng.choice("theanior") for _ in range(n)) for n in (47, 48, 49, 700)]  # rounds, and the heap
+    assert [x.tolist() for x in model.encode(texts, sentencepieces.BPE)] == lib.encode(texts)
     for t in TEXTS:
-        assert model.decode(model.encode([t])[0]) == t and model.decode(model.encode([t], sentencepieces.UNIGRAM)[0]) == t
+        assert model.decode(model.encode([t])[0]) == t and model.decode(model.encode([t], sentencepieces.BPE)[0]) == t
 
 
 def test_viterbi_is_the_best_sum(model):
@@ -123,6 +147,27 @@ def test_token_columns(spark):
     out = sentencepieces.decode(sentencepieces.encode(df, MODEL), MODEL).collect()
     assert {r["doc_id"]: r["decoded"] for r in out} == {i: t or "" for i, t in enumerate([*TEXTS, None])}
     assert all(r["same"] for r in sentencepieces.summary(df, MODEL).collect())
+    clash = df.selectExpr("doc_id", "text", "1 as ids", "2 as decoded", "3 as c0", "4 as m0", "5 as `a.b`")
+    both = sentencepieces.decode(sentencepieces.encode(clash, MODEL), MODEL)
+    assert both.columns == ["doc_id", "text", "c0", "m0", "a.b", "ids", "decoded"]
+    assert {r["doc_id"]: r["decoded"] for r in both.collect()} == {i: t or "" for i, t in enumerate([*TEXTS, None])}
+    for f in (sentencepieces.encode, sentencepieces.summary):
+        assert f(df.limit(0), MODEL).count() == 0
+
+
+def test_very_long_words(model):
+    rng = random.Random(4)
+    for n in (5_000, 40_000):
+        word = "".join(rng.choice("abcd01é😀") for _ in range(n))
+        for algorithm in (sentencepieces.UNIGRAM, sentencepieces.BPE):
+            assert model.decode(model.encode([word], algorithm)[0]) == word
+
+
+def test_a_model_without_byte_pieces(model):
+    pieces = ["<unk>", "a", "b", "ab", "▁"]
+    few = sentencepieces.Model(pieces, np.array([0.0, -2.0, -2.0, -1.0, -1.0]), np.array([2, 1, 1, 1, 1]), sentencepieces.UNIGRAM)
+    assert few.encode(["abba x", None])[0].tolist() == [4, 3, 2, 1, 4, 0] and few.encode([None])[0].tolist() == []
+    assert few.decode(np.array([4, 3, 2, 1, 4, 0])) == "abba  ⁇ "
 
 
 def test_classes_name_parts_by_whole_tokens_only():
@@ -154,4 +199,69 @@ def test_repeats_are_found_across_the_shards_of_a_host(spark):
     got = {r["page_id"]: r["main_text"] for r in html_text.extract(df).collect()}
     want = {i: h[3 : h.index("</p>")] for i, _, h in rows}
     assert got == want
-    assert {r["page_id"]: r["main_text"] for r in html_text.extract(df, shard_pages=40).collect()} == want
+    assert {r["page_id"]: r["main_text"] for r in html_text.extract(df, shard_bytes=4000).collect()} == want
+
+
+def plain_extract(rows, length=6):
+    """main_text and n_repeated by page id, from all windows of all pages of a host."""
+    parsed, holders = {}, {}
+    for i, url, page in rows:
+        host = re.match(r"[A-Za-z]+://([^/?#:]*)", url or "")
+        found = html_text.parse(page or "")
+        parsed[i] = (host[1].lower() if host else url is None, found)
+        words = [w for flag, t in found if flag != html_text.PROTECTED for w in t.split(" ")]
+        for k in range(len(words) - length + 1):
+            holders.setdefault((parsed[i][0], *words[k : k + length]), set()).add(tuple(found))
+    out = {}
+    for i, (host, found) in parsed.items():
+        words = [w for flag, t in found if flag != html_text.PROTECTED for w in t.split(" ")]
+        gone = [False] * len(words)
+        for k in range(len(words) - length + 1):
+            if len(holders[(host, *words[k : k + length])]) > 1:
+                gone[k : k + length] = [True] * length
+        at, kept, n = 0, [], 0
+        for flag, t in found:
+            if flag == html_text.PROTECTED:
+                kept.append((flag, t))
+                continue
+            size = len(t.split(" "))
+            if all(gone[at : at + size]):
+                n += 1
+            else:
+                kept.append((flag, t))
+            at += size
+        wanted = html_text.PROTECTED if any(flag == html_text.PROTECTED for flag, _ in found) else html_text.OPEN
+        out[i] = ("\n".join(t for flag, t in kept if flag == wanted), n)
+    return out
+
+
+def test_the_whole_query_matches_all_windows(spark):
+    rng = random.Random(8)
+    rows = []
+    menus = [" ".join(f"m{rng.randrange(40)}" for _ in range(rng.randint(3, 12))) for _ in range(12)]
+    for i in range(250):
+        body = [f"<p>{' '.join(f'w{rng.randrange(300)}' for _ in range(rng.randint(1, 30)))}</p>" for _ in range(rng.randint(0, 4))]
+        body.insert(0, f"<{rng.choice(['div', 'nav', 'div class=ad', 'footer'])}>{rng.choice(menus)}</div></nav></footer>")
+        body.append(f"<p>{rng.choice(menus)} {rng.choice(menus)}</p>")
+        page = "".join(body)
+        if rng.random() < 0.4:
+            page = f"<div>{rng.choice(menus)}</div><article>{page}</article><footer>{rng.choice(menus)}</footer>"
+        rows.append((i, rng.choice(["http://A.com/x", "https://a.com", "http://b.org?q", "nothing", None]), rng.choice([page] * 9 + [None, "", "  <p> "])))
+    rows += [(250 + k, rows[k][1], rows[k][2]) for k in range(40)]  # copies under other ids
+    want = plain_extract(rows)
+    assert sum(n for _, n in want.values()) > 100
+    df = spark.createDataFrame([*rows, *rows[:30], *rows[:30]], "page_id long, url string, html string")
+    for how in ({}, {"shard_bytes": 3000}, {"shard_bytes": 700}):
+        out = html_text.extract(df, **how).collect()
+        assert len(out) == len(rows) + 60
+        assert all((r["main_text"], r["n_repeated"]) == want[r["page_id"]] for r in out), how
+
+
+def test_given_pages_match_all_windows(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = plain_extract([(r["page_id"], r["url"], r["html"]) for r in pages.collect()])
+    out = html_text.extract(pages.selectExpr("*", "1 as main_text", "2 as c0", "3 as host", "4 as hash"))
+    assert out.columns == ["page_id", "url", "c0", "host", "hash", "main_text", "n_repeated"]
+    assert {r["page_id"]: (r["main_text"], r["n_repeated"]) for r in out.collect()} == want
+    long = spark.createDataFrame([(1, "http://a.b/", "<p>" + "w " * 400_000 + "</p>"), (2, "http://a.b/", "<div>" * 3000 + "x")], "page_id long, url string, html string")
+    assert {r["page_id"]: len(r["main_text"]) for r in html_text.extract(long).collect()} == {1: 799_999, 2: 1}

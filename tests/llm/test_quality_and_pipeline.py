@@ -64,7 +64,7 @@ def plain_features(text):
                 for byte in w[-n:] if from_end else w[:n]:
                     code = (code * 257 + byte) % 2**64
                 out.append(plain_mix(code))
-    return [h >> 42 for h in out]
+    return [h >> 64 - quality.BITS for h in out]
 
 
 def plain_selection(docs, labels, fit):
