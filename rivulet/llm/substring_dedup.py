@@ -15,8 +15,8 @@ two windows are taken as equal only if all their runs are.
 
 Copies of a whole text are settled by 128 bits of the text's hash: all their words go but for the smallest id, and only that one
 goes through the levels. Very common runs (in one document of HOT_SHARE in a task) are found first, within bounded memory. They
-skip level 1, being repeated anyway; their windows are judged by least and greatest ids that are taken in each task first, and
-those of the commonest are looked up by a bounded broadcast, so a passage that most documents hold is no hot key.
+skip level 1, being repeated anyway. At the later levels the rows of a passage that very many documents hold meet in one sorted
+group; it is streamed and spills, but it isn't split.
 
 Defined results: a null or empty text has no words; rows with one id are one document, so their windows don't remove each other;
 rows without an id take no part and lose nothing; documents shorter than a window lose nothing; an empty table gives an empty
@@ -160,8 +160,8 @@ def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("body"), F.xxhash64(F.lit("second"), text).alias("body2"), F.col(text_col).alias("text"))
 
 
-def live_windows(texts: DataFrame, wanted: DataFrame, window: int, run: int, hot: np.ndarray) -> DataFrame:
-    """(id, l1, l2, ..., hot): for each distinct window that survives level 1 its runs of the further levels, the window's hash last."""
+def live_windows(texts: DataFrame, wanted: DataFrame, window: int, run: int) -> DataFrame:
+    """(id, l1, l2, ...): for each distinct window that survives level 1 its runs of the further levels, the window's hash last."""
     kind = dict(texts.dtypes)["id"]
     sizes = lengths(window, run)
     names = [f"l{k + 1}" for k in range(len(sizes))]
@@ -181,17 +181,17 @@ def live_windows(texts: DataFrame, wanted: DataFrame, window: int, run: int, hot
                     live[own] = np.isin(signed(low[own].copy()), values[ends[d - 1] if d else 0 : ends[d]])
                 if not live.any():
                     continue
-                doc, common = doc[live], np.isin(low[live], hot)
+                doc = doc[live]
                 levels = [run_hashes(w, window, n)[1][live] for n in sizes]
                 order = np.lexsort((levels[-1], doc))
                 h, d = levels[-1][order], doc[order]
                 order = order[np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])]
                 for k in range(0, len(order), 100_000):
                     at = order[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc[at])), *[pa.array(signed(x[at])) for x in levels], pa.array(common[at])], ["id", *names, "hot"])
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc[at])), *[pa.array(signed(x[at])) for x in levels]], ["id", *names])
 
     rows = _packed(texts).join(wanted, ["id", "body"]).dropDuplicates(["id", "body"])
-    return rows.mapInArrow(extend, f"id {kind}, {', '.join(n + ' bigint' for n in names)}, hot boolean")
+    return rows.mapInArrow(extend, f"id {kind}, {', '.join(n + ' bigint' for n in names)}")
 
 
 def repeated_windows(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -212,16 +212,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     copies = lookup(ids, ["body", "body2"], first).where("id > first").groupBy("id").agg(F.collect_set("body").alias("copies"))
     hot = hot_runs(texts, window, run)
     wanted = survivors(texts, window, run, hot).join(first.select("body", F.col("first").alias("id")), "body").select("id", "body", "runs")
-    rows = live_windows(texts, wanted, window, run, hot)
-    names = [c for c in rows.columns if c not in ("id", "hot")]
-    if len(hot):
-        rows = cut(rows)
-        common = rows.where("hot").select("id", *names)
-        owner = cut(common.groupBy(*names).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(*names, "low"))
-        of_common = lookup(common, names, owner).where("id > low").select("id", F.col(names[-1]).alias("h"))
-        gone = repeated_windows(rows.where("not hot"), names).unionByName(of_common)
-    else:
-        gone = repeated_windows(rows, names)
+    rows = live_windows(texts, wanted, window, run)
+    gone = repeated_windows(rows, [c for c in rows.columns if c != "id"])
     gone = gone.groupBy("id").agg(F.collect_list("h").alias("windows"))
     return copies.join(gone, "id", "full")
 
