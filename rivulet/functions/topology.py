@@ -19,20 +19,27 @@ def _chunk_lcp(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0)).when(differ == 0, n).otherwise(n - F.length(F.bin(differ)))
 
 
-def lcp(a: Column, b: Column, longest: int = CHUNK) -> Column:
-    """Length of the longest common prefix of two keys of at most `longest` digits."""
+def lcp(a: Column, b: Column, longest: int | None = None) -> Column:
+    """Length of the longest common prefix of two keys of any length.
+
+    Keys of up to CHUNK digits, or `longest` where the caller knows it, are compared by integer arithmetic; longer ones by the
+    back reference of a regular expression, which is slower and has no limit.
+    """
+    known = CHUNK if longest is None else longest
     out = F.lit(0)
-    for i in reversed(range(-(-longest // CHUNK))):
+    for i in reversed(range(-(-known // CHUNK))):
         here = _chunk_lcp(F.substring(a, CHUNK * i + 1, CHUNK), F.substring(b, CHUNK * i + 1, CHUNK))
-        out = here if i * CHUNK + CHUNK >= longest else here + F.when(here == CHUNK, out).otherwise(F.lit(0))
-    return out
+        out = here if i * CHUNK + CHUNK >= known else here + F.when(here == CHUNK, out).otherwise(F.lit(0))
+    if longest is not None:
+        return out
+    return F.when(F.least(F.length(a), F.length(b)) > CHUNK, F.length(F.regexp_extract(F.concat(a, F.lit("\n"), b), r"^(.*).*\n\1", 1))).otherwise(out)
 
 
-def flow_connected(a: Column, b: Column, longest: int = CHUNK) -> Column:
+def flow_connected(a: Column, b: Column, longest: int | None = None) -> Column:
     return lcp(a, b, longest) == F.least(F.length(a), F.length(b))
 
 
-def prefix_code(a: Column, b: Column, longest: int = CHUNK) -> Column:
+def prefix_code(a: Column, b: Column, longest: int | None = None) -> Column:
     """The shorter length, negated, if one key is a prefix of the other; else the length of what they share."""
     n = lcp(a, b, longest)
     return F.when(n == F.least(F.length(a), F.length(b)), -n).otherwise(n)

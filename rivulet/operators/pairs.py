@@ -23,7 +23,7 @@ def _side(df: DataFrame, side: str, more: tuple[str, ...] = ()) -> DataFrame:
     return df.select("netID", *[F.col(c).alias(f"{c}_{side}") for c in ("locID", "rid", "binaryID", "upDist", "afv", "x", "y", *more)])
 
 
-def features(met: DataFrame, edges: DataFrame, longest: int = topology.CHUNK) -> DataFrame:
+def features(met: DataFrame, edges: DataFrame, longest: int | None = None) -> DataFrame:
     """Adds lcp, fc, d_ij (i flows to j), d_ji, a, b, h, w and e to rows with sites i and j of one network."""
     n = topology.lcp(F.col("binaryID_i"), F.col("binaryID_j"), longest)
     met = met.withColumn("lcp", n).withColumn("fc", F.col("lcp") == F.least(F.length("binaryID_i"), F.length("binaryID_j")))
@@ -49,7 +49,7 @@ def locations(sites: DataFrame) -> DataFrame:
 PAIR = ("fc", "d_ij", "d_ji", "a", "b", "h", "w", "e")
 
 
-def self_pairs(sites: DataFrame, edges: DataFrame, longest: int = topology.CHUNK) -> DataFrame:
+def self_pairs(sites: DataFrame, edges: DataFrame, longest: int | None = None) -> DataFrame:
     """All unordered pairs of measurements of a network, pid_i <= pid_j, with their features."""
     loc = locations(sites)
     met = _side(loc, "i").join(_side(loc, "j"), "netID").where("locID_i <= locID_j")
@@ -61,7 +61,7 @@ def self_pairs(sites: DataFrame, edges: DataFrame, longest: int = topology.CHUNK
     return wide.select("netID", F.least("pid_i", "pid_j").alias("pid_i"), F.greatest("pid_i", "pid_j").alias("pid_j"), "fc", F.when(flip, F.col("d_ji")).otherwise(F.col("d_ij")).alias("d_ij"), F.when(flip, F.col("d_ij")).otherwise(F.col("d_ji")).alias("d_ji"), "a", "b", "h", "w", "e")
 
 
-def cross_pairs(rows: DataFrame, cols: DataFrame, edges: DataFrame, longest: int = topology.CHUNK) -> DataFrame:
+def cross_pairs(rows: DataFrame, cols: DataFrame, edges: DataFrame, longest: int | None = None) -> DataFrame:
     """All pairs (pid_i of rows, pid_j of cols) of a network, with their features, both directions in one row."""
     met = _side(locations(rows), "i").join(_side(locations(cols), "j"), "netID")
     at = features(met, edges, longest).select("netID", "locID_i", "locID_j", *PAIR)

@@ -79,12 +79,13 @@ def _(n):
     return i.join(j, "netID").select("pid_i", "pid_j", topology.prefix_code(F.col("k_i"), F.col("k_j")).alias("code"))
 
 
-@query("prefix_code_long", """SELECT a.rid AS rid_a, b.rid AS rid_b, CASE WHEN starts_with(x, y) OR starts_with(y, x) THEN -least(length(x), length(y)) ELSE list_max(list_transform(range(0, least(length(x), length(y)) + 1), lambda i: CASE WHEN x[1:i] = y[1:i] THEN i ELSE 0 END)) END AS code
- FROM (SELECT rid, repeat("binaryID", 12) AS x FROM v_edges WHERE "netID" = 1 AND rid < 40) a, (SELECT rid, repeat("binaryID", 12) AS y FROM v_edges WHERE "netID" = 1 AND rid < 40) b""")
+@query("prefix_code_long", """SELECT net, rid_a, rid_b, CASE WHEN starts_with(x, y) OR starts_with(y, x) THEN -least(length(x), length(y)) ELSE list_max(list_transform(range(0, least(length(x), length(y)) + 1), lambda i: CASE WHEN x[1:i] = y[1:i] THEN i ELSE 0 END)) END AS code
+ FROM (SELECT "netID" AS net, rid AS rid_a, repeat("binaryID", 24) AS x FROM v_edges) a JOIN (SELECT "netID" AS net, rid AS rid_b, repeat("binaryID", 24) AS y FROM v_edges) b USING (net) WHERE rid_b = rid_a >> 1 OR rid_b = rid_a""")
 def _(n):
-    e = n.edges.where("netID = 1 and rid < 40").select("rid", F.repeat("binaryID", F.lit(12)).alias("k"))  # keys of up to 72 digits
-    a, b = e.select(F.col("rid").alias("rid_a"), F.col("k").alias("x")), e.select(F.col("rid").alias("rid_b"), F.col("k").alias("y"))
-    return a.crossJoin(b).select("rid_a", "rid_b", topology.prefix_code(F.col("x"), F.col("y"), 200).alias("code"))
+    e = n.edges.select(F.col("netID").alias("net"), "rid", F.repeat("binaryID", F.lit(24)).alias("k"))  # keys of 24 to over 120 digits
+    a, b = e.select("net", F.col("rid").alias("rid_a"), F.col("k").alias("x")), e.select("net", F.col("rid").alias("rid_b"), F.col("k").alias("y"))
+    near = a.withColumn("rid_b", F.explode(F.array_distinct(F.array(F.shiftright("rid_a", 1), F.col("rid_a")))))  # each edge with itself and the one below it
+    return near.join(b, ["net", "rid_b"]).select("net", "rid_a", "rid_b", topology.prefix_code(F.col("x"), F.col("y")).alias("code"))
 
 
 @query("topology_lookup", 'SELECT pid, "netID", rid, "binaryID" FROM v_obs')
@@ -116,9 +117,9 @@ def _(n):
     return _rounded(P.cross_pairs(n.preds, n.obs, n.edges))
 
 
-@query("pred_pairs_one_network", f'SELECT "netID", pid_i, pid_j, fc, {_FEATURES} FROM v_pp', pairs_sql("v_pp", '(SELECT * FROM v_preds WHERE pid < 400)', '(SELECT * FROM v_preds WHERE pid < 400)', 'i.pid <= j.pid'))
+@query("pred_pairs", f'SELECT "netID", pid_i, pid_j, fc, {_FEATURES} FROM v_pp', pairs_sql("v_pp", 'v_preds', 'v_preds', 'i.pid <= j.pid'))
 def _(n):
-    return _rounded(P.self_pairs(n.preds.where("pid < 400"), n.edges))  # a prediction set of its own
+    return _rounded(P.self_pairs(n.preds, n.edges))
 
 
 @query("distance_matrix_long", 'SELECT "netID", pid_i AS pid_from, pid_j AS pid_to, round(d_ij, 6) AS d_down FROM v_pairs', OBS_PAIRS)

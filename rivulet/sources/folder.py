@@ -112,7 +112,7 @@ def read_network(spark: SparkSession, path: str, preds: list[str] = (), include_
     return StreamNetwork(spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/topo"), obs, {k: spark.read.parquet(f"{path}/preds/set={k}") for k in preds}, path)
 
 
-def write_distances(net: StreamNetwork, path: str, preds: str | None = None, among_preds: bool = False, overwrite: bool = False, longest: int = topology.CHUNK) -> None:
+def write_distances(net: StreamNetwork, path: str, preds: str | None = None, among_preds: bool = False, overwrite: bool = False, longest: int | None = None) -> None:
     """The pair relation, partitioned by the two sets and the network, so that a scan of one network's pairs reads nothing else."""
     mode = "overwrite" if overwrite else "errorifexists"
     edges = pairs.attach_keys(net.edges.drop("binaryID"), net.topo)

@@ -33,6 +33,19 @@ def test_prefix_code_of_long_keys_matches_a_loop(spark):
     assert found == [plain(a, b) for a, b in pairs]
 
 
+def test_keys_have_no_longest_length(spark):
+    rng = random.Random(6)
+    pairs = []
+    for n in (59, 60, 61, 119, 120, 121, 500, 3000):
+        a = "1" + "".join(rng.choice("01") for _ in range(n - 1))
+        turned = a[:-1] + ("0" if a[-1] == "1" else "1")
+        pairs += [(a, a), (a, turned), (a, a[: n // 2]), (a[: n // 2] + turned[-1] * 5, a), (a + "01", turned), (a, "0"), ("", a)]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    found = rows.select(topology.prefix_code(F.col("a"), F.col("b")), topology.flow_connected(F.col("a"), F.col("b")), topology.prefix_code(F.col("a"), F.col("b"), 3100)).collect()
+    assert [r[0] for r in found] == [r[2] for r in found] == [plain(a, b) for a, b in pairs]
+    assert [r[1] for r in found] == [a.startswith(b) or b.startswith(a) for a, b in pairs]
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 2**40), st.integers(1, 2**40)), min_size=1, max_size=20))
 def test_prefix_code_of_numbers(spark, numbers):
