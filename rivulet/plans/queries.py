@@ -627,10 +627,12 @@ def _(n):
 
 
 def queries() -> dict:
-    from . import model_queries
+    from . import closed_forms, model_queries  # noqa: F401
 
     return QUERIES | model_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import closed_forms  # noqa: F401
+
     return dict(SQL)
