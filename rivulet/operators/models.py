@@ -73,29 +73,49 @@ def gather(sites: pd.DataFrame, design: np.ndarray, y: np.ndarray, offset: np.nd
     return Group(sites["pid"].to_numpy(), sites["netID"].to_numpy(), design, y, offset, size, sites[["x", "y"]].to_numpy(float), sites["upDist"].to_numpy(float), sites["afv"].astype(float).to_numpy(), sites["binaryID"].tolist(), sites, junctions)
 
 
+def _digits(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The digits of keys as a matrix, 0 beyond their ends, and their lengths."""
+    size = np.array([len(k) for k in keys])
+    wide = np.array(keys, dtype=f"S{max(int(size.max()), 1)}")
+    return wide.view(np.uint8).reshape(len(keys), -1), size
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of all rows of a and all rows of b; ends don't match."""
+    out = np.zeros((len(a), len(b)), np.int32)
+    alive = np.ones(out.shape, bool)
+    for k in range(min(a.shape[1], b.shape[1])):
+        alive &= (a[:, k, None] == b[None, :, k]) & (a[:, k, None] > 0)
+        if not alive.any():
+            break
+        out += alive
+    return out
+
+
 def pair_features(i: Group, j: Group) -> kernels.Pair:
-    """Features of all pairs of rows of i and rows of j; junctions maps (network, key) to the distance of the edge's upper node."""
+    """Features of all pairs of rows of i and rows of j; junctions maps (network, key) to the distance of the edge's upper node.
+
+    Prefixes are compared once for each pair of distinct keys of a network, digit by digit over all of them.
+    """
     same = i.net[:, None] == j.net[None, :]
     d_ij, d_ji = np.zeros(same.shape), np.zeros(same.shape)
-    by_key: dict[tuple, list[int]] = {}
-    for k, key in enumerate(zip(j.net.tolist(), j.keys, strict=True)):
-        by_key.setdefault(key, []).append(k)
-    for (net, key), cols in by_key.items():
-        cols = np.array(cols)
-        for r in np.flatnonzero(i.net == net):
-            own = i.keys[r]
-            n = 0
-            for a, b in zip(own, key, strict=False):
-                if a != b:
-                    break
-                n += 1
-            if n == min(len(own), len(key)):
-                d_ij[r, cols] = np.maximum(i.up[r] - j.up[cols], 0)
-                d_ji[r, cols] = np.maximum(j.up[cols] - i.up[r], 0)
-            else:
-                at = i.junctions[net, own[:n]]
-                d_ij[r, cols] = np.maximum(i.up[r] - at, 0)
-                d_ji[r, cols] = np.maximum(j.up[cols] - at, 0)
+    own, other = np.array(i.keys, dtype=object), np.array(j.keys, dtype=object)
+    for net in np.intersect1d(i.net, j.net).tolist():
+        rows, cols = np.flatnonzero(i.net == net), np.flatnonzero(j.net == net)
+        keys, row_key = np.unique(own[rows], return_inverse=True)
+        ends, col_key = np.unique(other[cols], return_inverse=True)
+        (a, a_size), (b, b_size) = _digits(keys.tolist()), _digits(ends.tolist())
+        n = _common(a, b)
+        apart = n < np.minimum(a_size[:, None], b_size[None, :])
+        at = np.full(n.shape, -np.inf)  # upper node of the junction, where neither key is a prefix of the other
+        k, _ = np.nonzero(apart)
+        needed, place = np.unique(k * (a.shape[1] + 1) + n[apart], return_inverse=True)
+        found = [i.junctions[net, keys[x // (a.shape[1] + 1)][: x % (a.shape[1] + 1)]] for x in needed.tolist()]
+        at[apart] = np.array(found, float)[place]
+        at = at[np.ix_(row_key, col_key)]
+        up, down = i.up[rows][:, None], j.up[cols][None, :]
+        d_ij[np.ix_(rows, cols)] = np.maximum(up - np.where(at == -np.inf, down, at), 0)
+        d_ji[np.ix_(rows, cols)] = np.maximum(down - np.where(at == -np.inf, up, at), 0)
     a, b = np.maximum(d_ij, d_ji), np.minimum(d_ij, d_ji)
     high = np.maximum(i.afv[:, None], j.afv[None, :])
     w = np.sqrt(np.minimum(i.afv[:, None], j.afv[None, :]) / np.where(high > 0, high, 1)) * ((b == 0) & same)
@@ -140,9 +160,9 @@ def sigma(spec: Spec, theta: dict[str, float], g: Group, pair: kernels.Pair | No
 
 
 def sigma_between(spec: Spec, theta: dict[str, float], i: Group, j: Group) -> np.ndarray:
-    found = parts(spec, theta, i, j, pair_features(i, j))
     if not any(spec.types.get(c, "none") != "none" for c in search.COMPONENTS):
         return np.zeros((len(i.pid), len(j.pid)))
+    found = parts(spec, theta, i, j, pair_features(i, j))
     return _partitioned(spec, sum(found.values(), np.zeros((len(i.pid), len(j.pid)))), i, j)
 
 
@@ -546,17 +566,18 @@ def adjusted_vcov(m: Model, c: np.ndarray, mode: str) -> np.ndarray:
 ROW_SCHEMA = "pid bigint, y double, fitted double, response double, deviance double, pearson double, standardized double, hat double, cooksd double, tailup double, taildown double, euclid double, nugget double"
 
 
-def _rows_of(spec: Spec, theta: dict[str, float], beta: np.ndarray, vcov: np.ndarray, g: Group) -> pd.DataFrame:
+def _rows_of(spec: Spec, theta: dict[str, float], beta: np.ndarray, vcov: np.ndarray, g: Group, pair: kernels.Pair | None = None) -> pd.DataFrame:
     """Residuals whitened by the symmetric root of the covariance, hat values, distances and the parts of each fitted value."""
-    s = sigma(spec, theta, g)
+    pair = pair or pair_features(g, g)
+    s = sigma(spec, theta, g, pair)
     values, vectors = np.linalg.eigh(s)
     root = vectors @ ((vectors / np.sqrt(values)).T)
     r = g.y - g.offset - g.X @ beta
     pearson, wx = root @ r, root @ g.X
-    hat = np.einsum("ij,jk,ik->i", wx, vcov, wx)
+    hat = ((wx @ vcov) * wx).sum(axis=1)
     std = pearson / np.sqrt(np.maximum(1 - hat, 1e-12))
     cook = pearson**2 * hat / (len(beta) * np.maximum(1 - hat, 1e-12))
-    found = parts(spec, theta, g, g, pair_features(g, g))
+    found = parts(spec, theta, g, g, pair)
     sr = np.linalg.solve(s, r)
     comp = {c: found[c] @ sr if c in found else np.zeros(len(r)) for c in search.COMPONENTS}
     return pd.DataFrame({"pid": g.pid, "y": g.y, "fitted": g.X @ beta + g.offset, "response": r, "deviance": pearson, "pearson": pearson, "standardized": std, "hat": hat, "cooksd": cook, **comp, "nugget": theta.get("nugget", 0.0) * sr})
@@ -571,7 +592,7 @@ def _glm_rows(m: Model) -> pd.DataFrame:
         var = np.maximum(fam.unit_variance(spec.family, mu, g.size, phi), 1e-12)
         root = np.linalg.cholesky(i).T
         wx = root @ g.X
-        hat = np.einsum("ij,jk,ik->i", wx, st["C"], wx)
+        hat = ((wx @ st["C"]) * wx).sum(axis=1)
         if hat.max(initial=0.0) > 0.999:
             hat = hat * 0.999 / hat.max()
         pearson = (g.y - mu) / np.sqrt(var)
@@ -591,7 +612,7 @@ def row_statistics(m: Model) -> DataFrame:
         return spark.createDataFrame(_glm_rows(m), ROW_SCHEMA)
     spec, theta, beta, vcov = m.spec, m.theta, m.beta, m.vcov_uncorrected if m.vcov_uncorrected is not None else m.vcov
     if m.data.grouped is None:
-        return spark.createDataFrame(pd.concat([_rows_of(spec, theta, beta, vcov, g) for g in m.data.groups], ignore_index=True), ROW_SCHEMA)
+        return spark.createDataFrame(pd.concat([_rows_of(spec, theta, beta, vcov, g, p) for g, p in zip(m.data.groups, _pairs(m.data), strict=True)], ignore_index=True), ROW_SCHEMA)
 
     def run(batches):
         for pdf in batches:
@@ -605,10 +626,19 @@ def deviance(m: Model) -> float:
     return float(row_statistics(m).agg(F.sum(F.col("deviance") * F.col("deviance"))).first()[0])
 
 
+def _null_deviance(m: Model) -> float:
+    """The deviance of the model with an intercept alone and no offset, from the gathered rows of an exact fit."""
+    total = add([gaussian_partial(m.spec, m.theta, replace(g, X=np.ones((len(g.y), 1)), offset=np.zeros(len(g.y))), p) for g, p in zip(m.data.groups, _pairs(m.data), strict=True)])
+    return float(total["yy"] - total["xy"] @ np.linalg.solve(total["xx"], total["xy"]))
+
+
 def pseudo_r2(m: Model, adjusted: bool = False) -> float:
     """1 - deviance / deviance of the model with an intercept alone and the same covariance; at least 0."""
     if not m.data.bound.terms:
         return 0.0
+    if m.data.grouped is None and m.spec.family == "gaussian":  # the same rows and covariance, a column of ones
+        r2 = max(0.0, 1 - deviance(m) / _null_deviance(m))
+        return 1 - (1 - r2) * (m.n - 1) / (m.n - len(m.beta)) if adjusted else r2
     null = replace(m.spec, formula=f"{fm.Formula.parse(m.spec.formula).response} ~ 1")
     index = next((c for c in m.data.columns if c == "local_index"), None)
     base = fit(null, m.obs, m.edges, known=m.theta, index=index)

@@ -61,6 +61,28 @@ def _new_rows(m: models.Model, new: DataFrame) -> DataFrame:
     return models._frame(new, spec, f, bound, more)
 
 
+#: Cells of a block of covariances between new and observed rows that a task holds at once.
+CELLS = 1 << 21
+
+
+def _cut(batches, width: int):
+    """Batches in slices of at most CELLS / width rows."""
+    rows = max(1, CELLS // max(width, 1))
+    for pdf in batches:
+        for k in range(0, len(pdf), rows):
+            yield pdf.iloc[k : k + rows]
+
+
+def _quadratic(rows: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """r' inner r for each row r, by one matrix product."""
+    return ((rows @ inner) * rows).sum(axis=1)
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out evenly: a row of a prediction costs as much as the square of the observed rows, whatever its few bytes say."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pid")
+
+
 def _junctions(m: models.Model) -> dict:
     return {(r[0], r[1]): r[2] for r in m.edges.select("netID", "binaryID", "upDist").collect()}
 
@@ -73,7 +95,7 @@ def neighbourhood(m: models.Model, new: DataFrame, k: int = NEIGHBOURS) -> np.nd
 
     def sums(batches):
         total, n = np.zeros(len(g.pid)), 0
-        for pdf in batches:
+        for pdf in _cut(batches, len(g.pid)):
             if len(pdf):
                 total += models.sigma_between(spec, theta, models.to_group(pdf, table), g).sum(axis=0)
                 n += len(pdf)
@@ -106,27 +128,25 @@ def predict(m: models.Model, new: DataFrame, *, interval: str = "none", level: f
     z = (t_ppf(0.5 + level / 2, df) if math.isfinite(df) else norm_ppf(0.5 + level / 2)) if scale else norm_ppf(0.5 + level / 2)
 
     def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in _cut(batches, len(g.pid)):
             new_g = models.to_group(pdf, table)
             c0 = models.sigma_between(spec, theta, new_g, g)
             mean = new_g.X @ beta
             h = new_g.X - c0 @ st["sx"]
             fit = mean + c0 @ st["weights"] + (new_g.offset if spec.family != "gaussian" else 0.0)
-            var = st["total"] - np.einsum("ij,jk,ik->i", c0, st["inverse"], c0) + np.einsum("ij,jk,ik->i", h, vcov, h)
+            var = st["total"] - _quadratic(c0, st["inverse"]) + _quadratic(h, vcov)
             if fix is not None:
                 wts = c0 @ st["inverse"] + h @ vcov @ st["sx"].T
-                var = var + np.einsum("ij,jk,ik->i", wts, fix, wts)
+                var = var + _quadratic(wts, fix)
             if interval == "confidence":
-                fit, var = mean + (new_g.offset if spec.family != "gaussian" else 0.0), np.einsum("ij,jk,ik->i", new_g.X, vcov, new_g.X)
+                fit, var = mean + (new_g.offset if spec.family != "gaussian" else 0.0), _quadratic(new_g.X, vcov)
             se = np.sqrt(np.maximum(var, 0.0)) * (scale or 1.0)
             low, high = (fit - z * se, fit + z * se) if interval != "none" else (np.full(len(fit), np.nan), np.full(len(fit), np.nan))
             if spec.family != "gaussian" and type == "response":
                 fit, low, high = (fam.inverse_link(spec.family, v, new_g.size) for v in (fit, low, high))
             yield pd.DataFrame({"pid": new_g.pid, "fit": fit, "se": se, "lower": low, "upper": high})
 
-    return _new_rows(m, new).mapInPandas(run, SCHEMA).select("pid", "fit", "se", *[F.nanvl(c, F.lit(None)).alias(c) for c in ("lower", "upper")])
+    return _spread(_new_rows(m, new)).mapInPandas(run, SCHEMA).select("pid", "fit", "se", *[F.nanvl(c, F.lit(None)).alias(c) for c in ("lower", "upper")])
 
 
 def _latent_covariance(m: models.Model, g: models.Group) -> np.ndarray:
@@ -148,7 +168,7 @@ def predict_block(m: models.Model, new: DataFrame, *, level: float = 0.95) -> Da
     blocks = max(1, -(-n // 1000))
 
     def sums(batches):
-        for pdf in batches:
+        for pdf in _cut(batches, len(g.pid)):
             if len(pdf):
                 a = models.to_group(pdf, table)
                 yield pd.DataFrame({"x": [a.X.sum(axis=0).tolist()], "c": [models.sigma_between(spec, theta, a, g).sum(axis=0).tolist()]})
@@ -241,7 +261,7 @@ def covmatrix(m: models.Model, new: DataFrame | None = None, kind: str = "obs.ob
         return m.obs.sparkSession.createDataFrame(long(own, own, models.sigma(spec, theta, own)), schema)
 
     def run(batches):
-        for pdf in batches:
+        for pdf in _cut(batches, len(g.pid)):
             if len(pdf):
                 own = models.to_group(pdf, table)
                 cov = models.sigma_between(spec, theta, own, g)
