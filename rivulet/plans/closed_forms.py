@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import models, predict
 from ..operators.infer import loocv_statistics
 from .network import Network
-from .queries import query
+from .queries import CROSS_PAIRS, OBS_PAIRS, query
 
 NUGGET, INTERCEPT = 4e6, 1e6
 TYPES = {"tailup": "none", "taildown": "none", "euclid": "none", "nugget": "nugget"}
@@ -170,3 +170,26 @@ def _(n):
 @query("closed_predict_terms", "SELECT pid, round((elev - e) * b1, 6) AS elev, round(b0 + b1 * e, 6) AS constant FROM v_preds, v_b, (SELECT avg(elev) AS e FROM v_obs WHERE y_resp IS NOT NULL) m", PLAIN)
 def _(n):
     return rounded(predict.predict_terms(fitted(n), n.preds), 6, "elev", "constant")
+
+
+def _spatial(n: Network) -> models.Model:
+    known = {"tailup_de": 2.5, "tailup_range": 700.0, "taildown_de": 1.5, "taildown_range": 900.0, "nugget": 0.3}
+    return models.fit(models.Spec("y_resp ~ elev", TYPES | {"tailup": "exponential", "taildown": "exponential"}), n.obs, n.edges, known=known)
+
+
+_FLOW = "coalesce(exp(-h / 7e2) * w * 2.5e0 + exp(-h / 9e2) * 1.5e0, 0)"
+
+
+@query("closed_covmatrix_spatial", f"SELECT i.pid AS pid_i, j.pid AS pid_j, round({_FLOW} + CASE WHEN i.pid = j.pid THEN 0.3e0 ELSE 0 END, 9) AS cov FROM v_obs i JOIN v_obs j ON i.y_resp IS NOT NULL AND j.y_resp IS NOT NULL LEFT JOIN v_pairs p ON p.pid_i = i.pid AND p.pid_j = j.pid", OBS_PAIRS)
+def _(n):
+    return rounded(predict.covmatrix(_spatial(n)), 9, "cov")
+
+
+@query("closed_covmatrix_pred_obs", f"SELECT i.pid AS pid_i, j.pid AS pid_j, round({_FLOW}, 9) AS cov FROM v_preds i JOIN v_obs j ON j.y_resp IS NOT NULL LEFT JOIN v_cross p ON p.pid_i = i.pid AND p.pid_j = j.pid", CROSS_PAIRS)
+def _(n):
+    return rounded(predict.covmatrix(_spatial(n), n.preds, "pred.obs"), 9, "cov")
+
+
+@query("closed_covmatrix_obs_pred", f"SELECT j.pid AS pid_i, i.pid AS pid_j, round({_FLOW}, 9) AS cov FROM v_preds i JOIN v_obs j ON j.y_resp IS NOT NULL LEFT JOIN v_cross p ON p.pid_i = i.pid AND p.pid_j = j.pid", CROSS_PAIRS)
+def _(n):
+    return rounded(predict.covmatrix(_spatial(n), n.preds, "obs.pred"), 9, "cov")

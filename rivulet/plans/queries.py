@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import families, kernels, topology
 from ..operators import pairs as P
@@ -32,6 +32,12 @@ def query(name: str, sql: str | None = None, ctes: str = ""):
     return add
 
 
+def _net(n: Network):
+    from ..sources import folder
+
+    return folder, folder.StreamNetwork(folder.with_netgeom(n.edges, False), n.edges.select("netID", "rid", "binaryID"), folder.with_netgeom(n.obs, True), {"preds": folder.with_netgeom(n.preds, True)})
+
+
 def obs_pairs(n: Network) -> DataFrame:
     return P.both_ways(P.self_pairs(n.obs, n.edges))
 
@@ -162,8 +168,7 @@ def _(n):
 
 @query("bbox_summary", "SELECT count(*) AS n_obs, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax, (SELECT count(*) FROM v_preds) AS n_preds FROM v_obs")
 def _(n):
-    box = n.obs.agg(F.count("*").alias("n_obs"), F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))
-    return box.crossJoin(n.preds.agg(F.count("*").alias("n_preds")))
+    return _net(n)[1].summary().drop("n_vars").withColumn("n_preds", F.col("n_preds").cast("bigint"))
 
 
 # --- subsets and splits ----------------------------------------------------------------------------------------------
@@ -171,44 +176,53 @@ def _(n):
 
 @query("subset_obs", 'SELECT pid FROM v_obs WHERE coalesce("upDist" > 900 AND y_resp > 0, FALSE)')
 def _(n):
-    return n.obs.where(F.coalesce(F.expr("upDist > 900 and y_resp > 0"), F.lit(False))).select("pid")
+    folder, net = _net(n)
+    return folder.subset(net, "upDist > 900 and y_resp > 0").obs.select("pid")
 
 
 @query("subset_clip_edges", 'SELECT "netID", rid FROM v_edges WHERE coalesce("netID" = 2 AND "upDist" < 2000, FALSE)')
 def _(n):
-    return n.edges.where("netID = 2 and upDist < 2000").select("netID", "rid")
+    folder, net = _net(n)
+    return folder.subset(net, "netID = 2 and upDist < 2000", clip=True).edges.select("netID", "rid")
 
 
 @query("subset_drop_empty_sets", 'SELECT "netID", count(*) AS n_left FROM v_preds WHERE "upDist" > 1500 GROUP BY 1 HAVING count(*) > 0')
 def _(n):
-    return n.preds.where("upDist > 1500").groupBy("netID").agg(F.count("*").alias("n_left")).where("n_left > 0")
+    folder, net = _net(n)
+    return folder.subset(net, "upDist > 1500", clip=True).preds["preds"].groupBy("netID").agg(F.count("*").alias("n_left"))
 
 
 @query("split_by_size", "SELECT pid, 'preds-' || ((row_number() OVER (ORDER BY pid) - 1) // 40 + 1) AS set_name FROM v_preds")
 def _(n):
-    nth = F.row_number().over(Window.orderBy("pid")) - 1
-    return n.preds.select("pid", F.concat(F.lit("preds-"), (F.floor(nth / 40) + 1).cast("string")).alias("set_name"))
+    folder, _ = _net(n)
+    return folder.named_pieces(n.preds, "preds", size=40).select("pid", "set_name")
 
 
 @query("split_by_column", "SELECT pid, 'preds-grp-' || grp AS set_name FROM v_preds")
 def _(n):
-    return n.preds.select("pid", F.concat(F.lit("preds-grp-"), "grp").alias("set_name"))
+    folder, _ = _net(n)
+    return folder.named_pieces(n.preds, "preds", by="grp").select("pid", "set_name")
 
 
 @query("split_by_predicate", "SELECT pid, elev > 300 AS in_set FROM v_preds")
 def _(n):
-    return n.preds.select("pid", (F.col("elev") > 300).alias("in_set"))
+    folder, net = _net(n)
+    taken = folder.split_preds(replace(net, obs=None), "preds", predicate="elev > 300", new_name="high", keep=False).preds["high"]
+    return n.preds.select("pid").join(taken.select("pid", F.lit(True).alias("in_set")), "pid", "left").select("pid", F.coalesce("in_set", F.lit(False)).alias("in_set"))
 
 
-@query("split_new_pids", "SELECT pid + (SELECT max(pid) FROM v_preds) + 1 AS new_pid, pid FROM v_preds WHERE grp = 'g1'")
+@query("split_keep_pids", "SELECT pid + (SELECT max(pid) FROM v_preds) AS pid, 'SNETWORK (' || \"netID\" || ' ' || rid || ' ' || CAST(round(\"upDist\" * 1000) AS BIGINT) || ' ' || CAST(round(ratio * 100) AS BIGINT) || ' ' || (pid + (SELECT max(pid) FROM v_preds)) || ' ' || \"locID\" || ')' AS netgeom FROM v_preds WHERE grp = 'g1'")
 def _(n):
-    top = n.preds.agg(F.max("pid").alias("top"))
-    return n.preds.where("grp = 'g1'").crossJoin(F.broadcast(top)).select((F.col("pid") + F.col("top") + 1).alias("new_pid"), "pid")
+    folder, net = _net(n)
+    whole = net.preds["preds"].withColumns({"upDist": F.round(F.col("upDist") * 1000).cast("bigint"), "ratio": F.round(F.col("ratio") * 100).cast("bigint")})
+    return folder.split_preds(replace(net, obs=None, preds={"preds": whole}), "preds", predicate="grp = 'g1'", new_name="g1").preds["g1"].select("pid", "netgeom")
 
 
 @query("missing_split", "SELECT pid, CASE WHEN y_resp IS NULL THEN '.missing' ELSE 'obs' END AS set_name FROM v_obs")
 def _(n):
-    return n.obs.where("y_resp is null").select("pid", F.lit(".missing").alias("set_name")).unionByName(n.obs.where("y_resp is not null").select("pid", F.lit("obs").alias("set_name")))
+    folder, net = _net(n)
+    cut = folder.split_missing(net, "y_resp")
+    return cut.get(".missing").select("pid", F.lit(".missing").alias("set_name")).unionByName(cut.get().select("pid", F.lit("obs").alias("set_name")))
 
 
 @query("duplicate_pids", "SELECT pid, count(*) AS n FROM (SELECT pid FROM v_obs UNION ALL SELECT pid FROM v_preds) GROUP BY pid HAVING count(*) > 1")
@@ -231,27 +245,22 @@ def _(n):
     return n.obs.agg(F.count("*").alias("n"), F.count_if(F.col("elev").isNull() | F.col("grp").isNull()).alias("bad_x"), F.count_if(F.col("y_resp").isNull()).alias("missing_y"), F.round(F.var_samp("y_resp"), 6).alias("var_y"))
 
 
-@query("attribute_enrichment", "SELECT o.pid, n.n_name FROM v_obs o JOIN nation n ON n.n_nationkey = o.pid % 25")
-def _(n):
-    raise NotImplementedError
-
-
 def _enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     return network(spark, sf_dir).obs.withColumn("n_nationkey", (F.col("pid") % 25).cast("int")).join(nation, "n_nationkey").select("pid", "n_name")
 
 
 QUERIES["attribute_enrichment"] = _enrich
+SQL["attribute_enrichment"] = f"WITH {VIEWS} SELECT o.pid, n.n_name FROM v_obs o JOIN nation n ON n.n_nationkey = o.pid % 25"
 
 
 # --- folders: written to a shared folder and read again -----------------------------------------------------------------
 
 
 def _folder(n: Network):
-    from ..sources import folder, shared
+    from ..sources import shared
 
-    net = folder.StreamNetwork(folder.with_netgeom(n.edges, False), n.edges.select("netID", "rid", "binaryID"), folder.with_netgeom(n.obs, True), {"preds": folder.with_netgeom(n.preds, True)})
-    return folder, net, shared.folder(n.obs.sparkSession, "network")
+    return *_net(n), shared.folder(n.obs.sparkSession, "network")
 
 
 @query("folder_roundtrip_obs", "SELECT * FROM v_obs")
@@ -612,20 +621,6 @@ def _(n):
     return g.select(F.col("g").alias("g1")).join(g.select(F.col("g").alias("g2")), F.col("g2") > F.col("g1"))
 
 
-@query("tidy_merge", "SELECT term, estimate, conf_low FROM (VALUES ('(Intercept)', 1.5e0), ('elev', 0.25e0)) a(term, estimate) JOIN (VALUES ('elev', 0.1e0), ('(Intercept)', 1e0)) b(term, conf_low) USING (term)")
-def _(n):
-    s = n.obs.sparkSession
-    a = s.createDataFrame([("(Intercept)", 1.5), ("elev", 0.25)], "term string, estimate double")
-    return a.join(s.createDataFrame([("elev", 0.1), ("(Intercept)", 1.0)], "term string, conf_low double"), "term").orderBy("term")
-
-
-@query("model_ranking", "SELECT model, aicc FROM (VALUES ('a', 87.96e0), ('b', 84.93e0), ('c', 97.58e0)) t(model, aicc) ORDER BY aicc")
-def _(n):
-    return n.obs.sparkSession.createDataFrame([("a", 87.96), ("b", 84.93), ("c", 97.58)], "model string, aicc double").orderBy("aicc")
-
-
-
-
 def queries() -> dict:
     from . import closed_forms, model_queries  # noqa: F401
 

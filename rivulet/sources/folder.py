@@ -157,6 +157,26 @@ def subset(net: StreamNetwork, predicate: str, clip: bool = False) -> StreamNetw
     return replace(net, obs=obs, edges=edges, topo=topo, preds={k: v for k, v in sets.items() if not v.isEmpty()})
 
 
+def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
+    """df with the place of each row in the order of a numeric key, from 1. Rows are ranked within ranges of the key, whose bounds are
+    approximate quantiles, and the counts of the ranges before are added; no task sorts the whole table."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)] or [0.5], 10_000).alias("__bounds"))
+    dealt = df.crossJoin(F.broadcast(bounds)).withColumn("__range", F.size(F.filter("__bounds", lambda b: b < F.col(key)))).drop("__bounds")
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", before.alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(key)) + F.col("__before")
+    return dealt.join(F.broadcast(counts), "__range").withColumn(out, nth).drop("__range", "__before")
+
+
+def named_pieces(df: DataFrame, name: str, *, size: int | None = None, by: str | None = None, out: str = "set_name") -> DataFrame:
+    """Rows of a prediction set with the names of the pieces they go to: chunks of `size` rows by pid, or the values of a column."""
+    if by is not None:
+        return df.withColumn(out, F.concat(F.lit(f"{name}-{by}-"), F.col(by).cast("string")))
+    nth = F.floor((F.col("__place") - 1) / size) + 1
+    return numbered(df, "pid", "__place").withColumn(out, F.concat(F.lit(f"{name}-"), nth.cast("string"))).drop("__place")
+
+
 def split_preds(net: StreamNetwork, name: str, *, size: int | None = None, by: str | None = None, predicate: str | None = None, new_name: str | None = None, keep: bool = True) -> StreamNetwork:
     """Cuts a prediction set into chunks of `size` rows, into one set for each value of a column, or takes rows by a predicate.
 
@@ -177,9 +197,8 @@ def split_preds(net: StreamNetwork, name: str, *, size: int | None = None, by: s
         n = -(-df.count() // size)
         if n > 1000:
             raise ValueError(f"that makes {n} sets; at most 1000 are made")
-        nth = F.floor((F.row_number().over(Window.orderBy("pid")) - 1) / size) + 1
-        numbered = df.withColumn("__nth", nth)
-        pieces = {f"{name}-{k}": numbered.where(F.col("__nth") == k).drop("__nth") for k in range(1, n + 1)}
+        named = named_pieces(df, name, size=size, out="__set")
+        pieces = {f"{name}-{k}": named.where(F.col("__set") == f"{name}-{k}").drop("__set") for k in range(1, n + 1)}
     elif by is not None:
         if dict(df.dtypes)[by] not in ("int", "bigint", "string", "boolean"):
             raise ValueError("sets are made by whole numbers, texts or booleans")

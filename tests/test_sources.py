@@ -71,3 +71,13 @@ def test_running_bins_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("bins").collect())) == [(1, 1.0, 2.0, 1), (2, 9.0, 4.0, 1)]
+
+
+def test_rows_are_numbered_as_by_one_sort(spark):
+    rows = [(p * p % 997 - 40,) for p in range(500)]
+    df = spark.createDataFrame(sorted(set(rows)), "pid bigint")
+    got = [tuple(r) for r in folder.numbered(df, "pid", "nth").orderBy("pid").collect()]
+    assert got == [(p, k + 1) for k, (p,) in enumerate(sorted(set(rows)))]
+    assert folder.numbered(df.limit(0), "pid", "nth").count() == 0
+    named = folder.named_pieces(df, "preds", size=100).groupBy("set_name").count().collect()
+    assert max(r["count"] for r in named) == 100 and len(named) == -(-df.count() // 100)
