@@ -134,6 +134,13 @@ class RandomTerm:
             out *= np.outer(df[self.slope].to_numpy(float), other[self.slope].to_numpy(float))
         return out
 
+    def by_level(self, df, values):
+        """The sums of the values, times the slope, of each level's rows; df is a pandas frame."""
+        import pandas as pd
+
+        level = df[list(self.group)].astype(str).agg("|".join, axis=1)
+        return pd.Series(values * df[self.slope].to_numpy(float) if self.slope else values, index=df.index).groupby(level).sum()
+
 
 def random_terms(text: str | None) -> list[RandomTerm]:
     """`~ g`, `~ (1 | g)`, `~ (x | g)` (with its intercept), `~ (x - 1 | g)`, `a/b` for a and a:b."""

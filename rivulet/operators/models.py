@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import warnings
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -206,26 +207,33 @@ def laplace(spec: Spec, theta: dict[str, float], groups: list[Group], pairs: lis
     xx = sum(g.X.T @ s for g, s in zip(groups, sx, strict=True))
     c = np.linalg.inv(xx)
     w = [fam.start(spec.family, g.y) for g in groups]
-    last = math.inf
-    for _ in range(50):
+
+    def gradient(w):
         xw = sum(s.T @ (wi - g.offset) for s, wi, g in zip(sx, w, groups, strict=True))
-        grad, hess = [], []
-        for g, i, s, wi in zip(groups, inverse, sx, w, strict=True):
-            pw = i @ (wi - g.offset) - s @ (c @ xw)
-            grad.append(fam.score(spec.family, wi, g.y, g.size, phi) - pw)
-            hess.append(i - np.diag(fam.curvature(spec.family, wi, g.y, g.size, phi)))  # S^-1 - D
-        if not all(np.isfinite(x).all() for x in grad):
+        return [fam.score(spec.family, wi, g.y, g.size, phi) - i @ (wi - g.offset) + s @ (c @ xw) for g, i, s, wi in zip(groups, inverse, sx, w, strict=True)]
+
+    def largest(parts):
+        top = max(float(np.abs(x).max()) for x in parts)
+        return top if math.isfinite(top) else math.inf
+
+    grad, converged = gradient(w), False
+    for _ in range(50):
+        if largest(grad) == math.inf:
             raise np.linalg.LinAlgError("the scores are not finite")
+        hess = [i - np.diag(fam.curvature(spec.family, wi, g.y, g.size, phi)) for i, wi, g in zip(inverse, w, groups, strict=True)]  # S^-1 - D
         hx = [np.linalg.solve(h, np.column_stack([s, gr])) for h, s, gr in zip(hess, sx, grad, strict=True)]
         inner = xx - sum(s.T @ h[:, :-1] for s, h in zip(sx, hx, strict=True))  # of -H = S^-1 - D - SX C XS
         right = sum(s.T @ h[:, -1] for s, h in zip(sx, hx, strict=True))
         fix = np.linalg.solve(inner, right)
         step = [h[:, -1] + h[:, :-1] @ fix for h in hx]
-        largest = max(float(np.abs(x).max()) for x in grad)
-        pace = 0.1 if largest > last else 1.0
-        w = [wi + pace * s for wi, s in zip(w, step, strict=True)]
-        last = largest
-        if max(float(np.abs(s).max()) for s in step) < 1e-4:
+        converged = largest(step) < 1e-4
+        for pace in (1.0, 0.1, 0.01, 0.001):  # a step that overshoots is shortened
+            trial = [wi + pace * s for wi, s in zip(w, step, strict=True)]
+            after = gradient(trial)
+            if largest(after) <= largest(grad) or converged:
+                break
+        w, grad = trial, after
+        if converged:
             break
     hess = [i - np.diag(fam.curvature(spec.family, wi, g.y, g.size, phi)) for i, wi, g in zip(inverse, w, groups, strict=True)]
     hx = [np.linalg.solve(h, s) for h, s in zip(hess, sx, strict=True)]
@@ -238,7 +246,7 @@ def laplace(spec: Spec, theta: dict[str, float], groups: list[Group], pairs: lis
     n, p = sum(len(g.y) for g in groups), len(beta)
     reml = spec.estmethod == "reml"
     value = -2 * density + hdet + logdet + quad + (np.linalg.slogdet(xx)[1] if reml else 0.0) + (n - (p if reml else 0)) * math.log(2 * math.pi)
-    return {"value": value, "beta": beta, "C": c, "w": w, "inverse": inverse, "hess": hess, "hx": hx, "inner": inner, "sx": sx, "xx": xx, "resid": resid}
+    return {"value": value, "beta": beta, "C": c, "w": w, "inverse": inverse, "hess": hess, "hx": hx, "inner": inner, "sx": sx, "xx": xx, "resid": resid, "converged": converged}
 
 
 # --- fits -------------------------------------------------------------------------------------------------------------
@@ -253,6 +261,7 @@ class Data:
     groups: list[Group] | None = None  # of exact and driver-side fits
     grouped: DataFrame | None = None  # (index, blob) of local fits
     n: int = 0
+    index: str | None = None  # the column of local groups
 
 
 def _frame(rows: DataFrame, spec: Spec, f: fm.Formula, bound: fm.Bound, more: list[str]) -> DataFrame:
@@ -285,7 +294,7 @@ def prepare(spec: Spec, obs: DataFrame, edges: DataFrame, index: str | None = No
     if spec.types.get("tailup", "none") != "none" and "afv" not in obs.columns:
         raise ValueError("a tail-up model needs an additive column")
     junctions = {(r[0], r[1]): r[2] for r in edges.join(F.broadcast(seen.select("netID").distinct()), "netID", "left_semi").select("netID", "binaryID", "upDist").collect()} if index is None else {}
-    data = Data(spec, bound, more, junctions, n=bad["n"])
+    data = Data(spec, bound, more, junctions, n=bad["n"], index=index)
     if index is None:
         data.groups = [to_group(frame.toPandas(), junctions)]
         if spec.family != "gaussian":
@@ -470,6 +479,16 @@ class Model:
         return {k: (b - z * s, b + z * s) for k, b, s in zip(self.names, self.beta.tolist(), se.tolist(), strict=True)}
 
 
+def turns(spec: Spec, known: dict[str, float]) -> bool:
+    """Whether Euclidean distance is turned and scaled: never without a Euclidean component; if asked for, unless rotation 0 and
+    scale 1 are both given; if not asked for, when another rotation or scale is given."""
+    if spec.types.get("euclid", "none") == "none":
+        return False
+    plain = {"rotate": 0.0, "scale": 1.0}
+    given = {k: known[k] for k in plain if k in known}
+    return given != plain if spec.anisotropy else any(v != plain[k] for k, v in given.items())
+
+
 def fit(spec: Spec, obs: DataFrame, edges: DataFrame, *, known: dict[str, float] | None = None, index: str | None = None, var_adjust: str | None = None) -> Model:
     """Fits a model. known: parameters that are given; if all are, this is one evaluation. index: a column of local groups."""
     if spec.estmethod not in ("reml", "ml"):
@@ -479,7 +498,10 @@ def fit(spec: Spec, obs: DataFrame, edges: DataFrame, *, known: dict[str, float]
             raise ValueError(f"{c} has no type {kind}; it has {', '.join(kernels.TYPES[c])}")
     if spec.family == "gaussian" and all(spec.types.get(c, "none") == "none" for c in (*search.COMPONENTS, "nugget")) and "nugget" in spec.types:
         raise ValueError("a model needs at least one component")
+    spec = replace(spec, anisotropy=turns(spec, known or {}))
     data = prepare(spec, obs, edges, index)
+    if spec.family != "gaussian" and index is not None:
+        fam.check_response(spec.family, *(np.concatenate(x) for x in zip(*((g.y, g.size) for g in groups_of(data)), strict=True)))
     start, free = _start(data, known or {})
     theta, value, calls = search.minimise(lambda t: evaluate(data, t), start, free)
     if spec.anisotropy and "rotate" in free:
@@ -495,6 +517,8 @@ def fit(spec: Spec, obs: DataFrame, edges: DataFrame, *, known: dict[str, float]
             model.vcov_uncorrected, model.vcov = c, adjusted_vcov(model, c, mode)
         return model
     state = laplace(spec, theta, groups_of(data), _pairs(data))
+    if not state["converged"]:
+        warnings.warn("the latent values did not settle within 50 steps", stacklevel=2)
     c, b = state["C"], np.hstack([state["C"] @ s.T for s in state["sx"]])
     model = Model(spec, data, theta, free, value, state["beta"], c, obs, edges, c, {"calls": calls, "state": state})
     model.vcov = c + b @ _minus_h_inverse(state) @ b.T
@@ -622,6 +646,42 @@ def row_statistics(m: Model) -> DataFrame:
     return m.data.grouped.mapInPandas(run, ROW_SCHEMA)
 
 
+def _effects_of(spec: Spec, theta: dict[str, float], g: Group, sr: np.ndarray) -> pd.DataFrame:
+    """What the rows of a group say about its random effects, from S^-1 times their residuals."""
+    out = [t.by_level(g.frame, sr).mul(theta[f"random:{t.name}"]).rename("blup").rename_axis("level").reset_index().assign(term=t.name) for t in fm.random_terms(spec.random)]
+    return pd.concat(out, ignore_index=True)[["term", "level", "blup"]]
+
+
+def random_effects(m: Model) -> DataFrame:
+    """(term, level, blup): the best predictions of the random effects. A level that stands in several local groups gets the mean of
+    what they say, zeros aside."""
+    kind, spec, theta, beta = "term string, level string, blup double", m.spec, m.theta, m.beta
+    spark = m.obs.sparkSession
+    if not fm.random_terms(spec.random):
+        return spark.createDataFrame([], kind)
+
+    def solved(g, pair=None):
+        return np.linalg.solve(sigma(spec, theta, g, pair), g.y - g.offset - g.X @ beta)
+
+    if spec.family != "gaussian":
+        st = m.extra["state"]
+        found = [_effects_of(spec, theta, g, i @ r) for g, i, r in zip(groups_of(m.data), st["inverse"], st["resid"], strict=True)]
+        said = spark.createDataFrame(pd.concat(found, ignore_index=True), kind)
+    elif m.data.grouped is None:
+        found = [_effects_of(spec, theta, g, solved(g, p)) for g, p in zip(m.data.groups, _pairs(m.data), strict=True)]
+        said = spark.createDataFrame(pd.concat(found, ignore_index=True), kind)
+    else:
+
+        def run(batches):
+            for pdf in batches:
+                for b in pdf["blob"]:
+                    g = load(b)
+                    yield _effects_of(spec, theta, g, solved(g))
+
+        said = m.data.grouped.mapInPandas(run, kind)
+    return said.groupBy("term", "level").agg(F.coalesce(F.avg(F.when(F.col("blup") != 0, F.col("blup"))), F.lit(0.0)).alias("blup"))
+
+
 def deviance(m: Model) -> float:
     return float(row_statistics(m).agg(F.sum(F.col("deviance") * F.col("deviance"))).first()[0])
 
@@ -640,8 +700,7 @@ def pseudo_r2(m: Model, adjusted: bool = False) -> float:
         r2 = max(0.0, 1 - deviance(m) / _null_deviance(m))
         return 1 - (1 - r2) * (m.n - 1) / (m.n - len(m.beta)) if adjusted else r2
     null = replace(m.spec, formula=f"{fm.Formula.parse(m.spec.formula).response} ~ 1")
-    index = next((c for c in m.data.columns if c == "local_index"), None)
-    base = fit(null, m.obs, m.edges, known=m.theta, index=index)
+    base = fit(null, m.obs, m.edges, known=m.theta, index=m.data.index, var_adjust="none")
     r2 = max(0.0, 1 - deviance(m) / deviance(base))
     return 1 - (1 - r2) * (m.n - 1) / (m.n - len(m.beta)) if adjusted else r2
 

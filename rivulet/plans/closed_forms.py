@@ -109,6 +109,19 @@ def _(n):
     return rounded(models.varcomp(fitted(n, random=True)), 9, "proportion")
 
 
+_BLUPS = f"SELECT '1 | grp' AS term, grp AS level, round({INTERCEPT:.0f}e0 * (g.y - g.n * b0 - b1 * g.x) / ({NUGGET:.0f}e0 + {INTERCEPT:.0f}e0 * g.n), 6) AS blup FROM v_s g, v_b"
+
+
+@query("blup_by_level", _BLUPS, RANDOM)
+def _(n):
+    return rounded(models.random_effects(fitted(n, random=True)), 6, "blup")
+
+
+@query("blup_by_level_local", _BLUPS, RANDOM)
+def _(n):
+    return rounded(models.random_effects(fitted(n, random=True, index="grp", var_adjust="none")), 6, "blup")
+
+
 @query("closed_covmatrix", f"SELECT i.pid AS pid_i, j.pid AS pid_j, CASE WHEN i.grp = j.grp THEN {INTERCEPT:.0f}e0 ELSE 0e0 END + CASE WHEN i.pid = j.pid THEN {NUGGET:.0f}e0 ELSE 0e0 END AS cov FROM v_obs i, v_obs j WHERE i.y_resp IS NOT NULL AND j.y_resp IS NOT NULL")
 def _(n):
     return predict.covmatrix(fitted(n, random=True))

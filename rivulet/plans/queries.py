@@ -570,12 +570,6 @@ def _(n):
     return r.agg(F.percentile("resid", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q")).select(*[F.round(F.col("q")[i], 5).alias(c) for i, c in enumerate(("q0", "q25", "q50", "q75", "q100"))])
 
 
-@query("blup_by_level", 'SELECT grp, round(avg(CASE WHEN v <> 0 THEN v END), 6) AS blup FROM (SELECT grp, CASE WHEN pid % 5 = 0 THEN 0 ELSE elev - 100 END AS v FROM v_obs) GROUP BY grp')
-def _(n):
-    v = F.when(F.col("pid") % 5 == 0, F.lit(0.0)).otherwise(F.col("elev") - 100)
-    return n.obs.groupBy("grp").agg(F.round(F.avg(F.when(v != 0, v)), 6).alias("blup"))
-
-
 @query("design_matrix", "SELECT pid, 1e0 AS c0, elev AS c1, CAST(grp = 'g1' AS DOUBLE) AS c2, CAST(grp = 'g2' AS DOUBLE) AS c3, elev * CAST(grp = 'g1' AS DOUBLE) AS c4, elev * CAST(grp = 'g2' AS DOUBLE) AS c5 FROM v_obs")
 def _(n):
     from ..operators.formula import Formula

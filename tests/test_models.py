@@ -111,6 +111,47 @@ def test_laplace_of_groups_equals_laplace_of_all(net):
     assert models.laplace(spec, theta, by_net)["value"] == pytest.approx(m.value, rel=1e-5)
 
 
+def test_newton_steps_that_overshoot_are_shortened(monkeypatch):
+    one, zero = np.ones(1), np.zeros(1)
+    g = models.Group(one, one, np.ones((1, 1)), np.array([3.0]), zero, one, np.zeros((1, 2)), zero, one, ["1"], None, {})
+    many = [models.replace(g, X=np.ones((1, 1)), y=np.array([y])) for y in (0.0, 3.0, 1.0, 40.0)]
+    spec, theta = models.Spec("y ~ 1", {"nugget": "nugget"}, family="poisson"), {"nugget": 2.0, "dispersion": 1.0}
+    pairs = [models.kernels.Pair(*[np.zeros((1, 1))] * 6)] * 4
+    near = models.laplace(spec, theta, many, pairs)
+    monkeypatch.setattr(fam, "start", lambda family, y: np.full(len(y), -6.0))  # a whole step from here goes up by hundreds
+    far = models.laplace(spec, theta, many, pairs)
+    assert near["converged"] and far["converged"] and far["value"] == pytest.approx(near["value"], rel=1e-6)
+
+
+def test_local_fits_check_their_response(net):
+    spec = models.Spec("y_resp ~ 1", {"nugget": "nugget"}, family="poisson")
+    with pytest.raises(ValueError, match="whole numbers"):
+        models.fit(spec, net.obs, net.edges, known={"nugget": 1.0}, index="grp")
+
+
+def test_pseudo_r2_of_a_local_fit_keeps_its_groups(net):
+    found = [models.pseudo_r2(models.fit(models.Spec("y_resp ~ elev", TYPES), net.obs.withColumn(c, F.col("netID") % 2), net.edges, known=THETA, index=c, var_adjust="none")) for c in ("local_index", "part")]
+    assert found[0] == pytest.approx(found[1])
+
+
+def test_random_effects(net):
+    spec, known = models.Spec("y_resp ~ elev", TYPES, random="~ (elev | grp)"), THETA | {"random:1 | grp": 1e6, "random:elev | grp": 30.0}
+    m = models.fit(spec, net.obs, net.edges, known=known)
+    (g,) = m.data.groups
+    sr = np.linalg.solve(models.sigma(spec, known, g), g.y - g.X @ m.beta)
+    levels, elev = g.frame["grp"].to_numpy(), g.frame["elev"].to_numpy(float)
+    plain = {("1 | grp", k): 1e6 * sr[levels == k].sum() for k in set(levels)} | {("elev | grp", k): 30.0 * (elev * sr)[levels == k].sum() for k in set(levels)}
+    assert {(r["term"], r["level"]): r["blup"] for r in models.random_effects(m).collect()} == pytest.approx(plain)
+    assert models.random_effects(models.fit(models.Spec("y_resp ~ elev", TYPES), net.obs, net.edges, known=THETA)).count() == 0
+
+
+def test_when_distances_are_turned():
+    plain, types = {"rotate": 0.0, "scale": 1.0}, {"euclid": "exponential"}
+    assert not models.turns(models.Spec("y ~ 1", {"euclid": "none"}, anisotropy=True), {"rotate": 1.0})
+    assert models.turns(models.Spec("y ~ 1", types, anisotropy=True), {"rotate": 0.0}) and not models.turns(models.Spec("y ~ 1", types, anisotropy=True), plain)
+    assert models.turns(models.Spec("y ~ 1", types), {"scale": 0.5}) and not models.turns(models.Spec("y ~ 1", types), plain)
+
+
 def test_formula():
     f = formula.Formula.parse("y ~ x*g + I(x^2) + offset(z) - 1")
     assert f.terms == (("x",), ("g",), ("I(x^2)",), ("x", "g")) and not f.intercept and f.offset == "z"

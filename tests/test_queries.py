@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["edges_updist_afv", "obs_pairs", "obs_pred_pairs", "kernel_tailup_epa", "kernel_taildown_mariah", "cov_with_euclid", "torgegram_flowuncon", "torgegram_robust", "auroc", "design_matrix", "folder_distances", "avg_cov_topk", "closed_tidy_local_adjusted", "closed_glance", "closed_varcomp", "closed_loocv", "closed_predict_block"]
+NAMES = ["edges_updist_afv", "obs_pairs", "obs_pred_pairs", "kernel_tailup_epa", "kernel_taildown_mariah", "cov_with_euclid", "torgegram_flowuncon", "torgegram_robust", "auroc", "design_matrix", "folder_distances", "avg_cov_topk", "closed_tidy_local_adjusted", "closed_glance", "closed_varcomp", "closed_loocv", "closed_predict_block", "blup_by_level", "blup_by_level_local"]
 
 
 @pytest.fixture(scope="module")
