@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -173,6 +174,30 @@ def slices(batch: pa.RecordBatch, column: int | str, most_bytes: int = 1 << 20,
         k = stop
 
 
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives freed memory back to the system after each batch and at its end: workers outlive their tasks, and an executor
+    counts what the idle ones hold."""
+
+    def fed(batches):
+        for b in batches:
+            yield b
+            del b
+            _release()
+
+    def tidy(batches):
+        yield from run(fed(batches))
+        _release()
+
+    return tidy
+
+
 def with_made(df: DataFrame, uses: str, make: Callable[[pa.Array], list[pa.Array]], fields: list[tuple[str, str]], *, keep_used: bool = True) -> DataFrame:
     """df without the columns of the names in fields (and `uses`, if it isn't kept), and with those that `make` gives for slices of
     the column `uses`.
@@ -190,7 +215,7 @@ def with_made(df: DataFrame, uses: str, make: Callable[[pa.Array], list[pa.Array
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in through], *make(part.column(at))], [*through, *made])
 
     kinds = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema.fields, strict=True) if n in through]
-    out = df.toDF(*names).mapInArrow(run, ", ".join([*kinds, *[f"{m} {kind}" for m, (_, kind) in zip(made, fields, strict=True)]]))
+    out = df.toDF(*names).mapInArrow(tidied(run), ", ".join([*kinds, *[f"{m} {kind}" for m, (_, kind) in zip(made, fields, strict=True)]]))
     taken = {name for name, _ in fields}
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True) if n in through and c not in taken], *[F.col(m).alias(name) for m, (name, _) in zip(made, fields, strict=True)])
 

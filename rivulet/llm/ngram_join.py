@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, cut, grams, lists, mix, signed, slices
+from .common import U64, Words, cut, grams, lists, mix, signed, slices, tidied
 from .graph import components
 
 LIGHT_PARTS, LARGEST_BOUNDARY, CLASS_RATIO = 3, 40, 1.4
@@ -243,7 +243,7 @@ def sizes_and_digests(texts: DataFrame, k: int, lim: Limits) -> DataFrame:
                 low = (h < U64(1 << 60)) & (counts >= shown)[owner]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("body"), pa.array(counts), pa.array(signed(hi)), pa.array(signed(lo)), lists(signed(h[low]), np.bincount(owner[low], minlength=part.num_rows), pa.int64())], ["id", "body", "n", "hi", "lo", "low"])
 
-    return texts.select("id", "body", "text").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, body bigint, n bigint, hi bigint, lo bigint, low array<bigint>")
+    return texts.select("id", "body", "text").mapInArrow(tidied(run), f"id {dict(texts.dtypes)['id']}, body bigint, n bigint, hi bigint, lo bigint, low array<bigint>")
 
 
 def screen(nodes: DataFrame, lim: Limits) -> DataFrame:
@@ -280,9 +280,9 @@ def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 h, counts = shingle_sets(texts_, k)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts), lists(signed(h), counts, pa.int64())], ["node", "n", "sh"])
 
-    packed = texts.select("id", "body", "text").mapInArrow(pack, f"id {kind}, body bigint, z binary")
+    packed = texts.select("id", "body", "text").mapInArrow(tidied(pack), f"id {kind}, body bigint, z binary")
     ids = wanted.select(F.col("node").alias("id"), "body")
-    return packed.join(_small(ids), ["id", "body"], "left_semi").dropDuplicates(["id", "body"]).mapInArrow(run, f"node {kind}, n bigint, sh array<bigint>")
+    return packed.join(_small(ids), ["id", "body"], "left_semi").dropDuplicates(["id", "body"]).mapInArrow(tidied(run), f"node {kind}, n bigint, sh array<bigint>")
 
 
 def _keys(sets: DataFrame, lim: Limits, x: int) -> DataFrame:
@@ -298,7 +298,7 @@ def _keys(sets: DataFrame, lim: Limits, x: int) -> DataFrame:
                 bits = signed(sketches(h, counts))
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n"), *[pa.array(bits[:, k].copy()) for k in range(SKETCH_WORDS)], lists(signed(key), each, pa.int64()), lists(cls, each, pa.int32())], ["node", "n", *words, "keys", "classes"])
 
-    return sets.mapInArrow(run, f"node {kind}, n bigint, {', '.join(w + ' bigint' for w in words)}, keys array<bigint>, classes array<int>")
+    return sets.mapInArrow(tidied(run), f"node {kind}, n bigint, {', '.join(w + ' bigint' for w in words)}, keys array<bigint>, classes array<int>")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, lim: Limits) -> DataFrame:
@@ -321,7 +321,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, lim: Limits) -> DataFrame:
     # the side with fewer distinct sets is met last, so that the others move only once
     left = sets.join(_small(pairs), F.col("node") == F.col("a")).select("a", "b", F.col("sh").alias("sa"))
     right = sets.join(_small(pairs.select("b").distinct()), F.col("node") == F.col("b"), "left_semi").select(F.col("node").alias("b"), F.col("sh").alias("sb"))
-    return left.join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return left.join(right, "b").select("a", "b", "sa", "sb").mapInArrow(tidied(run), f"a {kind}, b {kind}")
 
 
 def node_links(texts: DataFrame, nodes: DataFrame, k: int, lim: Limits) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, cut, join_pairs, mix, slices, uniform, with_made
+from .common import U64, Words, cut, join_pairs, mix, slices, tidied, uniform, with_made
 
 BITS = 21
 SAMPLE, FOLDS, FIT_PARTS = 20_000, 4, 3
@@ -148,7 +148,7 @@ def target_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str
         yield from _blocks(["bucket", "good", "n"], [at, good.flush()[at], sums[at]])
 
     own = docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(sample.where("fit")), "doc").select("text", "good")
-    sums = cut(own.mapInArrow(count, "bucket bigint, good bigint, n bigint").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("n").alias("n")))
+    sums = cut(own.mapInArrow(tidied(count), "bucket bigint, good bigint, n bigint").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("n").alias("n")))
     total = sums.agg(F.sum("good")).first()[0] or 0
     seen = sums.where(F.col("n") >= SEEN).select("bucket", "good").toArrow().sort_by("bucket")
     return seen["bucket"].to_numpy(), seen["good"].to_numpy(), int(total)
@@ -168,7 +168,7 @@ def raw_counts(docs: DataFrame, buckets: np.ndarray, text_col: str) -> tuple[np.
         at = np.flatnonzero(found)
         yield from _blocks(["at", "n"], [np.append(at, len(buckets)), np.append(found[at], total)])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(tidied(count), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(buckets) + 1, np.int64)
     out[rows["at"].to_numpy()] = rows["n"].to_numpy()
     return out[:-1], int(out[-1])
