@@ -38,7 +38,7 @@ UNKNOWN_TEXT = " \u2047 "
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct words whose ids a worker remembers, and how long they are at most; beyond it the memory starts anew.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+REMEMBERED, REMEMBERED_CHARS = 50_000, 64
 #: Words up to which merges are found round by round for all words at once; longer ones go by a heap.
 ROUNDS_CHARS = 48
 _CHAR = U64(0x2545F4914F6CDD1D)
