@@ -2,12 +2,16 @@
 
 Sites: netID, pid, locID, rid, binaryID, upDist, afv, x, y. Hydrologic pairs meet by an equi-join on netID, one row for each
 unordered pair of locations with both directions in it, fanned out to measurements afterwards. Euclidean pairs also cross networks.
+
+Only sites are moved, never pairs: a site brings the distances along its own path, where every junction lies, and the measurements of
+its location, so all that follows the join is computed in place.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import topology
 
@@ -19,17 +23,42 @@ def attach_keys(sites: DataFrame, topo: DataFrame) -> DataFrame:
     return sites.join(topo.select("netID", "rid", "binaryID"), ["netID", "rid"], "left")
 
 
-def _side(df: DataFrame, side: str, more: tuple[str, ...] = ()) -> DataFrame:
-    return df.select("netID", *[F.col(c).alias(f"{c}_{side}") for c in ("locID", "rid", "binaryID", "upDist", "afv", "x", "y", *more)])
+#: Parts of a network that its pairs are dealt into, and measurements of a location that travel in one row.
+BLOCKS, MEASUREMENTS = 32, 64
+
+
+def _side(sites: DataFrame, side: str) -> DataFrame:
+    """One row for each location and at most MEASUREMENTS of its measurements, `pids`."""
+    nth = F.row_number().over(Window.partitionBy("netID", "locID").orderBy("pid"))
+    part = F.floor((nth - 1) / MEASUREMENTS).alias("part")
+    pids = sites.select("netID", "locID", "pid", part).groupBy("netID", "locID", "part").agg(F.collect_list("pid").alias("pids"))
+    whole = locations(sites).select("netID", "locID", "binaryID", "upDist", "afv", "x", "y").join(pids.drop("part"), ["netID", "locID"])
+    return whole.select("netID", *[F.col(c).alias(f"{c}_{side}") for c in whole.columns if c != "netID"])
+
+
+def _path(sites: DataFrame, edges: DataFrame) -> DataFrame:
+    """(netID, binaryID_i, path): the upper nodes' distances of the edges from the outlet to that of a site, null where one is unknown."""
+    keys = sites.select("netID", "binaryID_i").distinct()
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("binaryID_i"), F.lit(1))), lambda k: F.substr(F.col("binaryID_i"), F.lit(1), k))
+    steps = keys.select("netID", "binaryID_i", F.posexplode(prefixes).alias("at", "junction"))
+    at = edges.select("netID", F.col("binaryID").alias("junction"), F.col("upDist").alias("up"))
+    found = steps.join(at, ["netID", "junction"], "left").groupBy("netID", "binaryID_i").agg(F.sort_array(F.collect_list(F.struct("at", "up"))).alias("steps"))
+    return found.select("netID", "binaryID_i", F.transform("steps", lambda s: s["up"]).alias("path"))
+
+
+def _met(i: DataFrame, j: DataFrame, edges: DataFrame) -> DataFrame:
+    """All pairs of rows of two sides within a network, dealt evenly over the tasks: each row of i meets all of j in one block."""
+    n = int(i.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    i = i.join(_path(i, edges), ["netID", "binaryID_i"], "left").withColumn("block", F.pmod(F.xxhash64("locID_i", "pids_i"), F.lit(BLOCKS)).cast("int"))
+    j = j.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    return i.repartition(n, "netID", "block").join(j.repartition(n, "netID", "block").hint("merge"), ["netID", "block"])
 
 
-def features(met: DataFrame, edges: DataFrame, longest: int | None = None) -> DataFrame:
-    """Adds lcp, fc, d_ij (i flows to j), d_ji, a, b, h, w and e to rows with sites i and j of one network."""
+def features(met: DataFrame, longest: int | None = None) -> DataFrame:
+    """Adds lcp, fc, d_ij (i flows to j), d_ji, a, b, h, w and e to rows with sites i and j of one network and i's path."""
     n = topology.lcp(F.col("binaryID_i"), F.col("binaryID_j"), longest)
     met = met.withColumn("lcp", n).withColumn("fc", F.col("lcp") == F.least(F.length("binaryID_i"), F.length("binaryID_j")))
-    met = met.withColumn("junction", F.substr(F.col("binaryID_i"), F.lit(1), F.col("lcp")))
-    at = edges.select("netID", F.col("binaryID").alias("junction"), F.col("upDist").alias("junction_up"))
-    met = met.join(at, ["netID", "junction"], "left")
+    met = met.withColumn("junction_up", F.get("path", F.col("lcp") - 1))
     up_i, up_j, up = F.col("upDist_i"), F.col("upDist_j"), F.col("junction_up")
     met = met.withColumn("d_ij", topology.down_distance(F.col("fc"), up_i, up_j, up)).withColumn("d_ji", topology.down_distance(F.col("fc"), up_j, up_i, up))
     met = met.withColumn("a", F.greatest("d_ij", "d_ji")).withColumn("b", F.least("d_ij", "d_ji")).withColumn("h", F.col("d_ij") + F.col("d_ji"))
@@ -51,22 +80,18 @@ PAIR = ("fc", "d_ij", "d_ji", "a", "b", "h", "w", "e")
 
 def self_pairs(sites: DataFrame, edges: DataFrame, longest: int | None = None) -> DataFrame:
     """All unordered pairs of measurements of a network, pid_i <= pid_j, with their features."""
-    loc = locations(sites)
-    met = _side(loc, "i").join(_side(loc, "j"), "netID").where("locID_i <= locID_j")
-    at = features(met, edges, longest).select("netID", "locID_i", "locID_j", *PAIR)
-    p = sites.select("netID", "pid", "locID")
-    i, j = (p.select("netID", F.col("pid").alias(f"pid_{s}"), F.col("locID").alias(f"locID_{s}")) for s in "ij")
-    wide = at.join(i, ["netID", "locID_i"]).join(j, ["netID", "locID_j"]).where("locID_i < locID_j or pid_i <= pid_j")
+    met = _met(_side(sites, "i"), _side(sites, "j"), edges).where("locID_i <= locID_j")
+    at = features(met, longest).select("netID", "locID_i", "locID_j", "pids_i", "pids_j", *PAIR)
+    wide = at.withColumn("pid_i", F.explode("pids_i")).withColumn("pid_j", F.explode("pids_j")).where("locID_i < locID_j or pid_i <= pid_j")
     flip = F.col("pid_i") > F.col("pid_j")
     return wide.select("netID", F.least("pid_i", "pid_j").alias("pid_i"), F.greatest("pid_i", "pid_j").alias("pid_j"), "fc", F.when(flip, F.col("d_ji")).otherwise(F.col("d_ij")).alias("d_ij"), F.when(flip, F.col("d_ij")).otherwise(F.col("d_ji")).alias("d_ji"), "a", "b", "h", "w", "e")
 
 
 def cross_pairs(rows: DataFrame, cols: DataFrame, edges: DataFrame, longest: int | None = None) -> DataFrame:
     """All pairs (pid_i of rows, pid_j of cols) of a network, with their features, both directions in one row."""
-    met = _side(locations(rows), "i").join(_side(locations(cols), "j"), "netID")
-    at = features(met, edges, longest).select("netID", "locID_i", "locID_j", *PAIR)
-    i, j = (df.select("netID", F.col("pid").alias(f"pid_{s}"), F.col("locID").alias(f"locID_{s}")) for df, s in ((rows, "i"), (cols, "j")))
-    return at.join(i, ["netID", "locID_i"]).join(j, ["netID", "locID_j"]).select("netID", "pid_i", "pid_j", *PAIR)
+    met = _met(_side(rows, "i"), _side(cols, "j"), edges)
+    at = features(met, longest).select("netID", "pids_i", "pids_j", *PAIR)
+    return at.withColumn("pid_i", F.explode("pids_i")).withColumn("pid_j", F.explode("pids_j")).select("netID", "pid_i", "pid_j", *PAIR)
 
 
 def euclid_pairs(rows: DataFrame, cols: DataFrame) -> DataFrame:
@@ -78,5 +103,6 @@ def euclid_pairs(rows: DataFrame, cols: DataFrame) -> DataFrame:
 
 def both_ways(pairs: DataFrame) -> DataFrame:
     """Ordered pairs from unordered ones."""
-    turned = pairs.where("pid_i <> pid_j").select("netID", F.col("pid_j").alias("pid_i"), F.col("pid_i").alias("pid_j"), "fc", F.col("d_ji").alias("d_ij"), F.col("d_ij").alias("d_ji"), "a", "b", "h", "w", "e")
-    return pairs.select(*turned.columns).unionByName(turned)
+    both = pairs.withColumn("turned", F.explode(F.array(F.lit(False), F.lit(True)))).where("not turned or pid_i <> pid_j")
+    swapped = [F.when(F.col("turned"), F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("pid_i", "pid_j"), ("pid_j", "pid_i"), ("d_ij", "d_ji"), ("d_ji", "d_ij"))]
+    return both.select("netID", *swapped[:2], "fc", *swapped[2:], "a", "b", "h", "w", "e")
