@@ -25,6 +25,8 @@ def attach_keys(sites: DataFrame, topo: DataFrame) -> DataFrame:
 
 #: Parts of a network that its pairs are dealt into, and measurements of a location that travel in one row.
 BLOCKS, MEASUREMENTS = 32, 64
+#: Parts of each side of the Euclidean relation; every part of one side meets every part of the other.
+CELLS = 16
 
 
 def _side(sites: DataFrame, side: str) -> DataFrame:
@@ -94,11 +96,28 @@ def cross_pairs(rows: DataFrame, cols: DataFrame, edges: DataFrame, longest: int
     return at.withColumn("pid_i", F.explode("pids_i")).withColumn("pid_j", F.explode("pids_j")).select("netID", "pid_i", "pid_j", *PAIR)
 
 
-def euclid_pairs(rows: DataFrame, cols: DataFrame) -> DataFrame:
-    """All pairs of two sets of sites, across networks too: (pid_i, pid_j, mask, e)."""
-    i, j = (df.select(F.col("netID").alias(f"net_{s}"), F.col("pid").alias(f"pid_{s}"), F.col("x").alias(f"x_{s}"), F.col("y").alias(f"y_{s}")) for df, s in ((rows, "i"), (cols, "j")))
-    met = i.crossJoin(j)  # every site has a Euclidean distance to every other; that is the relation itself
-    return met.select("pid_i", "pid_j", (F.col("net_i") == F.col("net_j")).cast("double").alias("mask"), euclid(F.col("x_i"), F.col("y_i"), F.col("x_j"), F.col("y_j")).alias("e"))
+def _points(sites: DataFrame, side: str) -> DataFrame:
+    """One row for each place of a network and at most MEASUREMENTS of its measurements, `pids`, whatever their location is called."""
+    at = ["netID", "x", "y"]
+    nth = F.row_number().over(Window.partitionBy(*at).orderBy("pid"))
+    rows = sites.select(*at, "pid", F.floor((nth - 1) / MEASUREMENTS).alias("part")).groupBy(*at, "part").agg(F.collect_list(F.struct("pid")).alias("pids"))
+    return rows.select(*[F.col(c).alias(f"{c}_{side}") for c in (*at, "pids")], F.pmod(F.xxhash64(*at, "pids"), F.lit(CELLS)).cast("int").alias(f"cell_{side}"))
+
+
+def euclid_pairs(rows: DataFrame, cols: DataFrame, made: dict[str, Column] | None = None) -> DataFrame:
+    """All pairs of two sets of sites, across networks too: (pid_i, pid_j, mask, e), and columns made of mask and e.
+
+    Every site has a Euclidean distance to every other; that is the relation itself. Its places meet in CELLS x CELLS cells, so the
+    number of tasks doesn't grow with the square of the partitions; distances and made columns are computed once for two places.
+    """
+    made = made or {}
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1)))
+    i, j = _points(rows, "i").withColumn("cell_j", every), _points(cols, "j").withColumn("cell_i", every)
+    met = i.repartition(n, "cell_i", "cell_j").join(j.repartition(n, "cell_i", "cell_j").hint("merge"), ["cell_i", "cell_j"])
+    at = met.select("pids_i", "pids_j", (F.col("netID_i") == F.col("netID_j")).cast("double").alias("mask"), euclid(F.col("x_i"), F.col("y_i"), F.col("x_j"), F.col("y_j")).alias("e")).withColumns(made)
+    wide = at.withColumn("at_i", F.explode("pids_i")).withColumn("at_j", F.explode("pids_j"))
+    return wide.select(F.col("at_i.pid").alias("pid_i"), F.col("at_j.pid").alias("pid_j"), "mask", "e", *[c for c in made if c not in ("mask", "e")])
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

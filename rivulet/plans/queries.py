@@ -135,7 +135,7 @@ def _(n):
 
 @query("euclid_pairs", 'SELECT i.pid AS pid_i, j.pid AS pid_j, CAST(i."netID" = j."netID" AS DOUBLE) AS mask, round(sqrt((i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y)), 9) AS e FROM v_obs i, v_obs j')
 def _(n):
-    return P.euclid_pairs(n.obs, n.obs).withColumn("e", F.round("e", 9))
+    return P.euclid_pairs(n.obs, n.obs, {"e": F.round("e", 9)})
 
 
 @query("location_dedup", 'SELECT "netID", "locID", count(*) AS sites, min(pid) AS first_pid FROM v_obs GROUP BY 1, 2')
@@ -353,9 +353,9 @@ def _pair() -> kernels.Pair:
 
 def _kernel(component: str, kind: str):
     def f(n: Network) -> DataFrame:
-        at = P.euclid_pairs(n.obs, n.obs) if component == "euclid" else obs_pairs(n)
-        r = 0.01 if kind == "jbessel" else R
-        return at.select("pid_i", "pid_j", (F.round(kernels.covariance(component, kind, _pair(), DE, r), 9) + 0.0).alias("cov"))
+        cov = F.round(kernels.covariance(component, kind, _pair(), DE, 0.01 if kind == "jbessel" else R), 9) + 0.0
+        at = P.euclid_pairs(n.obs, n.obs, {"cov": cov}) if component == "euclid" else obs_pairs(n).withColumn("cov", cov)
+        return at.select("pid_i", "pid_j", "cov")
 
     body = KERNEL_SQL[component, kind]
     sql = None if body is None else f"SELECT pid_i, pid_j, round(2.5e0 * ({body}), 9) + 0e0 AS cov FROM {'v_euclid' if component == 'euclid' else 'v_pairs'}"
@@ -389,7 +389,7 @@ def _(n):
  FROM v_euclid u LEFT JOIN v_pairs p ON p.pid_i = u.pid_i AND p.pid_j = u.pid_j""", f"{OBS_PAIRS}, {_EUCLID_PAIRS}")
 def _(n):
     flow = obs_pairs(n).select("pid_i", "pid_j", _composite(None).alias("flow"))
-    far = P.euclid_pairs(n.obs, n.obs).withColumn("far", kernels.covariance("euclid", "exponential", _pair(), 0.8, 300.0))
+    far = P.euclid_pairs(n.obs, n.obs, {"far": kernels.covariance("euclid", "exponential", _pair(), 0.8, 300.0)})
     return far.join(flow, ["pid_i", "pid_j"], "left").select("pid_i", "pid_j", F.round(F.coalesce("flow", F.lit(0.0)) + F.col("far"), 9).alias("cov"))
 
 
