@@ -8,7 +8,7 @@ its own encoding merges the best pair of neighbours, leftmost first, until none
 on the same probes, for short words all at once and for long ones by a heap. What no piece covers falls back to bytes.
 
 Texts are taken in slices of about a megabyte, whatever the sizes of their batches; the ids of words up to REMEMBERED_CHARS
-characters are remembered, for at most REMEMBERED words.
+characters are remembered, for at most REMEMBERED words or those of a slice.
 
 Defined results: a null or empty text has no ids; repeated rows give repeated results; decode(encode(text)) is the text, byte by
 byte, for models with byte fallback and an identity normaliser, but for the space mark U+2581 itself, which becomes a blank; a model
@@ -37,12 +37,13 @@ UNKNOWN_TEXT = " \u2047 "
 #: Fixed numbers of the model format: piece kinds and model kinds.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Distinct words whose ids a worker remembers, and how long they are at most; beyond it the memory starts anew.
-REMEMBERED, REMEMBERED_CHARS = 50_000, 64
+#: Distinct words whose ids a worker remembers (and where little else is in memory), and how long they are at most. Beyond it those
+#: of the last slice stay.
+REMEMBERED, REMEMBERED_ALONE, REMEMBERED_CHARS = 50_000, 200_000, 64
 #: Words up to which merges are found round by round for all words at once; longer ones go by a heap.
 ROUNDS_CHARS = 48
 _CHAR = U64(0x2545F4914F6CDD1D)
-_FILTER_SHIFT = U64(44)
+_SLOT_SHIFT = U64(44)
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -84,7 +85,9 @@ class Model:
     byte_ids: np.ndarray | None = None
     keys: np.ndarray = field(init=False)
     key_ids: np.ndarray = field(init=False)
-    filter: np.ndarray = field(init=False)
+    slots: np.ndarray = field(init=False)
+    crowd: int = field(init=False)
+    ranked: np.ndarray = field(init=False, repr=False)
     longest: int = field(init=False)
     seen: dict = field(init=False, default_factory=dict)
     _raw: list | None = field(init=False, default=None, repr=False)
@@ -100,8 +103,10 @@ class Model:
         self.keys, self.key_ids = hashes[order], np.array(usable, np.int64)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
-        self.filter = np.zeros(1 << 20, bool)  # leading bits of the keys: most substrings are no pieces and stop here
-        self.filter[(self.keys >> _FILTER_SHIFT).astype(np.int64)] = True
+        slot, first, shared = np.unique(self.keys >> _SLOT_SHIFT, return_index=True, return_counts=True)
+        self.slots = np.full(1 << 20, -1, np.int32)  # the first key of each value of the leading bits: most substrings are no pieces and stop here
+        self.slots[slot.astype(np.int64)], self.crowd = first, int(shared.max(initial=0))
+        self.ranked = np.append(np.asarray(self.scores, float), -np.inf)  # at -1, of no piece
         by_name = {p: i for i, p in enumerate(self.pieces)}
         if all(f"<0x{b:02X}>" in by_name for b in range(256)):
             self.byte_ids = np.array([by_name[f"<0x{b:02X}>"] for b in range(256)], np.int64)
@@ -110,98 +115,104 @@ class Model:
 
     def probe(self, hashes: np.ndarray) -> np.ndarray:
         """Piece ids by hash, -1 where there is none."""
-        out = np.full(hashes.shape, -1, np.int64)
-        maybe = self.filter[(hashes >> _FILTER_SHIFT).astype(np.int64)]
-        few = hashes[maybe]
-        at = np.minimum(np.searchsorted(self.keys, few), len(self.keys) - 1)
-        out[maybe] = np.where(self.keys[at] == few, self.key_ids[at], -1)
+        out = np.full(hashes.shape, -1, np.int32)
+        at = self.slots[(hashes >> _SLOT_SHIFT).astype(np.int64)]
+        maybe = np.flatnonzero(at >= 0)
+        few, at = hashes.ravel()[maybe], at.ravel()[maybe]
+        for _ in range(self.crowd):  # keys that share a slot follow each other
+            found = self.keys[at] == few
+            out.ravel()[maybe[found]] = self.key_ids[at[found]]
+            at = np.minimum(at + 1, len(self.keys) - 1)
         return out
 
-    def encode_words(self, words: list[str], algorithms: tuple[int, ...]) -> list[tuple[bytes, ...]]:
+    def encode_words(self, words: list[str], algorithms: tuple[int, ...]) -> dict[str, tuple[bytes, ...]]:
         """The ids of distinct words by each algorithm, as 32-bit numbers in bytes; words of equal length are done together."""
-        out: list = [(b"",) * len(algorithms)] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
+        out: dict[str, tuple[bytes, ...]] = {}
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
         for n, own in by_length.items():
-            most = max(1, (1 << 20) // max(n * min(n, self.longest), 1))
-            for k in range(0, len(own) if n else 0, most):
+            if not n:
+                out[""] = (b"",) * len(algorithms)
+                continue
+            most = max(1, (1 << 20) // (n * min(n, self.longest)))
+            for k in range(0, len(own), most):
                 part = own[k : k + most]
-                chars = np.frombuffer("".join([words[i] for i in part]).encode("utf-32-le"), np.uint32).reshape(len(part), n)
+                chars = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), n)
                 table = self._table(chars)
                 done = [self._viterbi(chars, table) if a == UNIGRAM else self._merges(chars, table) if n <= ROUNDS_CHARS else self._heap_merges(chars, table) for a in algorithms]
-                for i, ids in zip(part, zip(*done, strict=True), strict=True):
-                    out[i] = ids
+                out.update(zip(part, zip(*done, strict=True), strict=True))
         return out
 
     def _table(self, chars: np.ndarray) -> np.ndarray:
-        """The piece at [word, start, length - 1], -1 where the substring is none or ends outside the word."""
+        """The piece at [length - 1, start, word], -1 where the substring is none or ends outside the word."""
         rows, n = chars.shape
-        sums, down = _prefix(chars), _down(n)
-        out = np.full((rows, n, min(n, self.longest)), -1, np.int32)
-        for size in range(1, out.shape[2] + 1):
-            h = (sums[:, size:] - sums[:, : n + 1 - size]) * down[None, : n + 1 - size]
-            out[:, : n + 1 - size, size - 1] = self.probe(mix(h ^ (U64(size) << U64(40))))
+        sums, down = np.ascontiguousarray(_prefix(chars).T), _down(n)
+        out = np.full((min(n, self.longest), n, rows), -1, np.int32)
+        for size in range(1, out.shape[0] + 1):
+            h = (sums[size:] - sums[: n + 1 - size]) * down[: n + 1 - size, None]
+            out[size - 1, : n + 1 - size] = self.probe(mix(h ^ (U64(size) << U64(40))))
         return out
 
     def _bytes_of(self, char: int) -> list[int]:
         return [self.unknown] if self.byte_ids is None else self.byte_ids[list(chr(char).encode("utf-8", "surrogatepass"))].tolist()
 
     def _viterbi(self, chars: np.ndarray, table: np.ndarray) -> list[bytes]:
-        """best[:, e] is the best sum of scores of the first e characters; from_[:, e] is where its last piece starts."""
+        """best[e] is the best sum of scores of the first e characters; size[e] is the length of its last piece."""
         rows, n = chars.shape
         low = float(self.scores.min()) - 10.0  # of a character that no piece covers
-        best = np.full((rows, n + 1), -np.inf)
-        best[:, 0] = 0
-        from_ = np.zeros((rows, n + 1), np.int64)
-        piece = np.full((rows, n + 1), -1, np.int64)
-        every = np.arange(rows)
+        scores, some = self.ranked[table], (table >= 0).any(axis=2)
+        best, size, every = np.zeros((n + 1, rows)), np.zeros((n + 1, rows), np.int64), np.arange(rows)
         for e in range(1, n + 1):
-            starts = np.arange(max(0, e - table.shape[2]), e)
-            ids = table[:, starts, e - starts - 1]
-            here = np.where(ids >= 0, self.scores[ids], -np.inf)
-            here[:, -1] = np.where(ids[:, -1] >= 0, here[:, -1], low)
-            total = best[:, starts] + here
-            top = total.argmax(axis=1)
-            best[:, e], from_[:, e], piece[:, e] = total[every, top], starts[top], ids[every, top]
-        ids = np.full((rows, n), -2, np.int64)  # filled from the end, -1 where a character goes by bytes
+            best[e], size[e] = -np.inf, 1
+            for k in range(min(e, len(table)), 0, -1):  # of equal sums the longest last piece
+                if k > 1 and not some[k - 1, e - k]:
+                    continue
+                here = scores[k - 1, e - k]
+                total = best[e - k] + (np.where(table[0, e - 1] >= 0, here, low) if k == 1 else here)
+                more = total > best[e]
+                np.copyto(best[e], total, where=more)
+                np.copyto(size[e], k, where=more)
+        ids = np.full((n, rows), -2, np.int32)  # filled from the end, -1 where a character goes by bytes
+        starts = np.zeros((n, rows), np.int64)
         end = np.full(rows, n)
         for k in range(n - 1, -1, -1):
-            ids[:, k] = np.where(end > 0, piece[every, end], -2)
-            end = np.where(end > 0, from_[every, end], 0)
+            last = size[end, every]
+            starts[k] = end - last
+            ids[k] = np.where(end > 0, table[np.maximum(last, 1) - 1, starts[k], every], -2)
+            end = starts[k]
             if not end.any():
                 break
-        starts = np.zeros((rows, n), np.int64)
-        lengths = np.where(ids >= -1, 1, 0)
-        if (ids == -1).any():  # their positions are needed only then
-            end = np.full(rows, n)
-            for k in range(n - 1, -1, -1):
-                end = np.where(end > 0, from_[every, end], 0)
-                starts[:, k] = end
-        return self._flat(chars, ids, lengths > 0, starts)
+        return self._flat(chars, ids.T, ids.T >= -1, starts.T)
 
     def _merges(self, chars: np.ndarray, table: np.ndarray) -> list[bytes]:
-        """start[:, k] is where symbol k starts; each round merges the best neighbours of each word that has any."""
+        """start[:, k] is where symbol k starts; each round merges the best neighbours of each word that has any, so that all words
+        that are left have the same number of symbols. s and score are those of the words left and of their neighbours."""
         rows, n = chars.shape
-        longest = table.shape[2]
+        longest = len(table)
 
         def ids_of(row, a, b):
             size = b - a
             fits = (a < n) & (size > 0) & (size <= longest)
-            return np.where(fits, table[row, np.minimum(a, n - 1), np.clip(size, 1, longest) - 1], -1)
+            return np.where(fits, table[np.clip(size, 1, longest) - 1, np.minimum(a, n - 1), row], -1)
 
         start = np.tile(np.arange(n + 1), (rows, 1))  # n beyond the last symbol
         live, s = np.arange(rows), start
-        while len(live) and s.shape[1] > 2:
-            ids = np.where(s[:, 1:-1] < n, ids_of(live[:, None], s[:, :-2], s[:, 2:]), -1)
-            score = np.where(ids >= 0, self.scores[ids], -np.inf)
+        score = self.ranked[table[1, : n - 1].T] if longest > 1 else np.zeros((rows, 0))
+        while len(live) and score.shape[1]:
+            at = np.arange(len(live))
             top = score.argmax(axis=1)
-            can = ids[np.arange(len(live)), top] >= 0
+            can = score[at, top] > -np.inf
             start[live[~can], : s.shape[1]] = s[~can]
             start[live[~can], s.shape[1] :] = n
-            live, top, s = live[can], top[can], s[can]
-            cols = np.arange(s.shape[1] - 1)
-            s = np.take_along_axis(s, cols + (cols[None, :] >= (top + 1)[:, None]), axis=1)
+            live, top, at, m = live[can], top[can], at[: np.count_nonzero(can)], score.shape[1]
+            kept = np.ones((len(live), m + 2), bool)
+            kept[at, top + 1] = False
+            s = s[can][kept].reshape(len(live), m + 1)
+            score = score[can][kept[:, 1:-1] if m > 1 else kept[:, :0]].reshape(len(live), m - 1)
+            for on, k in ((top < m - 1, top), (top > 0, top - 1)):  # the merged symbol and its neighbours
+                r, k = at[on], k[on]
+                score[r, k] = self.ranked[ids_of(live[r], s[r, k], s[r, k + 2])]
         if len(live):
             start[live, : s.shape[1]] = s
             start[live, s.shape[1] :] = n
@@ -211,9 +222,9 @@ class Model:
     def _heap_merges(self, chars: np.ndarray, table: np.ndarray) -> list[bytes]:
         """The same merges, word by word: a heap of neighbours by score and place, n log n in the length."""
         rows, n = chars.shape
-        longest, out = table.shape[2], np.full((rows, n + 1), n)
+        longest, out = len(table), np.full((rows, n + 1), n)
         for r in range(rows):
-            own = table[r]
+            own = np.ascontiguousarray(table[:, :, r].T)
             after, before = list(range(1, n + 2)), list(range(-1, n))  # starts of the symbols next to each
             end = list(range(1, n + 1))
             heap: list[tuple[float, int, int, int]] = []
@@ -240,14 +251,22 @@ class Model:
             out[r, : len(kept)] = kept
         ends = np.minimum(np.concatenate([out[:, 1:], np.full((rows, 1), n)], axis=1), n)
         size = ends - out
-        ids = np.where((out < n) & (size > 0) & (size <= longest), table[np.arange(rows)[:, None], np.minimum(out, n - 1), np.clip(size, 1, longest) - 1], -1)
+        ids = np.where((out < n) & (size > 0) & (size <= longest), table[np.clip(size, 1, longest) - 1, np.minimum(out, n - 1), np.arange(rows)[:, None]], -1)
         return self._flat(chars, ids, out < n, out)
 
     def _flat(self, chars: np.ndarray, ids: np.ndarray, real: np.ndarray, starts: np.ndarray) -> list[bytes]:
         """The real ids of each row, those below 0 as the bytes of the character at their start."""
+        gone = real & (ids < 0)
+        if gone.any():  # a character of one byte is one id as well
+            r, k = np.nonzero(gone)
+            char = chars[r, starts[r, k]]
+            one = char < 128
+            ids, gone = np.array(ids), gone.copy()
+            ids[r[one], k[one]] = self.unknown if self.byte_ids is None else self.byte_ids[char[one]]
+            gone[r[one], k[one]] = False
         raw, ends = ids[real].astype("<i4").tobytes(), (4 * np.cumsum(real.sum(axis=1))).tolist()
         out = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        for r in np.flatnonzero((real & (ids < 0)).any(axis=1)).tolist():
+        for r in np.flatnonzero(gone.any(axis=1)).tolist():
             flat: list[int] = []
             for i, k in zip(ids[r][real[r]].tolist(), starts[r][real[r]].tolist(), strict=True):
                 flat += [i] if i >= 0 else self._bytes_of(int(chars[r, k]))
@@ -266,17 +285,22 @@ class Model:
         (out,) = self.encode_cut([self.words(t or "") for t in texts], (algorithm,))
         return out
 
-    def encode_cut(self, cut_up: list[list[str]], algorithms: tuple[int, ...]) -> list[list[np.ndarray]]:
+    def encode_cut(self, cut_up: list[list[str]], algorithms: tuple[int, ...], remembered: int | None = None) -> list[list[np.ndarray]]:
         """The ids of texts that are cut into words, by each of the algorithms."""
-        seen = self.seen.setdefault(algorithms, {})
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        new = list(set().union(*cut_up).difference(seen))
-        ids = dict(zip(new, self.encode_words(new, algorithms), strict=True))
-        long = {w: x for w, x in ids.items() if len(w) > REMEMBERED_CHARS}
-        seen.update((w, x) for w, x in ids.items() if w not in long)
-        found = [[long[w] if w in long else seen[w] for w in ws] for ws in cut_up] if long else [[seen[w] for w in ws] for ws in cut_up]
-        return [[np.frombuffer(b"".join([f[k] for f in fs]), "<i4") for fs in found] for k in range(len(algorithms))]
+        seen, words = self.seen.setdefault(algorithms, {}), set().union(*cut_up)
+        new = words.difference(seen)
+        if len(seen) + len(new) > (remembered or REMEMBERED):  # words that come again stay
+            seen = self.seen[algorithms] = {w: seen[w] for w in words.intersection(seen)}
+        seen.update(self.encode_words(list(new), algorithms))
+        out: list[list[np.ndarray]] = [[] for _ in algorithms]
+        for ws in cut_up:
+            found = zip(*map(seen.__getitem__, ws), strict=True) if ws else [()] * len(algorithms)
+            for ids, parts in zip(out, found, strict=True):
+                ids.append(np.frombuffer(b"".join(parts), "<i4"))
+        for w in new:
+            if len(w) > REMEMBERED_CHARS:
+                del seen[w]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         if self._raw is None:
@@ -403,7 +427,7 @@ def summary(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
             for part in slices(b, "text", most_rows=500):
                 texts = part.column("text").to_pylist()
                 words = [model.words(t or "") for t in texts]
-                best, merged = model.encode_cut(words, (UNIGRAM, BPE))
+                best, merged = model.encode_cut(words, (UNIGRAM, BPE), REMEMBERED_ALONE)
                 same = [model.decode(x) == (t or "") == model.decode(y) for t, x, y in zip(texts, best, merged, strict=True)]
                 cols = [part.column("id"), pa.array([len(x) for x in best], pa.int64()), pa.array([digest(x) for x in best], pa.string()), pa.array([len(x) for x in merged], pa.int64()), pa.array([digest(x) for x in merged], pa.string()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_ids", "ids_sha256", "n_merged", "merged_sha256", "same"])

@@ -142,6 +142,25 @@ def test_viterbi_is_the_best_sum(model):
         assert total == pytest.approx(best[-1])
 
 
+def test_words_that_come_again_are_not_encoded_again(monkeypatch):
+    model = sentencepieces.read_model(open(MODEL, "rb").read())
+    asked, plain = [], model.encode_words
+    monkeypatch.setattr(model, "encode_words", lambda words, algorithms: asked.extend(words) or plain(words, algorithms))
+    monkeypatch.setattr(sentencepieces, "REMEMBERED", 4)
+    slices = [["▁the", f"▁w{k}", f"▁x{k}", "▁long" * 20] for k in range(6)]
+    got = [model.encode_cut([ws], (sentencepieces.UNIGRAM, sentencepieces.BPE)) for ws in slices]
+    assert asked.count("▁the") == 1 and all(len(x) <= 4 for x in model.seen.values())
+    fresh = sentencepieces.read_model(open(MODEL, "rb").read())
+    assert [[x[0].tolist() for x in g] for g in got] == [[fresh.encode_cut([ws], (a,))[0][0].tolist() for a in (sentencepieces.UNIGRAM, sentencepieces.BPE)] for ws in slices]
+
+
+def test_pieces_that_share_a_slot_are_found(model):
+    slots = model.keys >> sentencepieces._SLOT_SHIFT
+    assert model.crowd == max(np.unique(slots, return_counts=True)[1]) > 1
+    assert model.probe(model.keys[None, :])[0].tolist() == model.key_ids.tolist()
+    assert model.probe(model.keys ^ np.uint64(1)).max() == -1
+
+
 def test_token_columns(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*TEXTS, None])], "doc_id long, text string, row int")
     out = sentencepieces.decode(sentencepieces.encode(df, MODEL), MODEL).collect()
