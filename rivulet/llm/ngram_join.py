@@ -222,9 +222,13 @@ def _parts(batch: pa.RecordBatch, n: int):
         yield batch.slice(k, n)
 
 
+def _few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df, as a broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if _few(df) else df
 
 
 def sizes_and_digests(texts: DataFrame, k: int, lim: Limits) -> DataFrame:
@@ -319,8 +323,13 @@ def _compare(pairs: DataFrame, sets: DataFrame, lim: Limits) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(hit), part.column("b").filter(hit)], ["a", "b"])
 
     # the side with fewer distinct sets is met last, so that the others move only once
-    left = sets.join(_small(pairs), F.col("node") == F.col("a")).select("a", "b", F.col("sh").alias("sa"))
-    right = sets.join(_small(pairs.select("b").distinct()), F.col("node") == F.col("b"), "left_semi").select(F.col("node").alias("b"), F.col("sh").alias("sb"))
+    seconds = pairs.select("b").distinct()
+    if _few(pairs):  # then of the second ones there are few as well
+        pairs, seconds = F.broadcast(pairs), F.broadcast(seconds)
+    else:
+        seconds = _small(seconds)
+    left = sets.join(pairs, F.col("node") == F.col("a")).select("a", "b", F.col("sh").alias("sa"))
+    right = sets.join(seconds, F.col("node") == F.col("b"), "left_semi").select(F.col("node").alias("b"), F.col("sh").alias("sb"))
     return left.join(right, "b").select("a", "b", "sa", "sb").mapInArrow(tidied(run), f"a {kind}, b {kind}")
 
 

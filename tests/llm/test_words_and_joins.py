@@ -248,3 +248,35 @@ def test_hot_keys_are_looked_up_by_broadcast(spark, monkeypatch):
     links = [(1, 100 + k) for k in range(40)] + [(50, 100 + k) for k in range(30, 60)] + [(2000 + k, 2001 + k) for k in range(9)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {n: (1 if n < 2000 else 2000) for p in links for n in p}
+
+
+def test_hot_keys_of_tables_over_one_task(spark, monkeypatch):
+    from rivulet.llm import graph
+
+    links = [(1, 100 + k) for k in range(40)] + [(50, 100 + k) for k in range(30, 60)] + [(2000 + k, 2001 + k) for k in range(9)] + [(3000, 3000)]
+    df = spark.createDataFrame([(str(a), str(b)) for a, b in links], "a string, b string")
+    together = sorted(map(tuple, components(df).collect()))
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    monkeypatch.setattr(graph, "HOT_ROWS", 5)
+    assert together == sorted(map(tuple, components(df).collect()))
+    assert dict(together) == {str(n): ("1" if n < 2000 else "2000") for p in links[:-1] for n in p}
+
+
+def test_rounds_of_small_link_tables_make_few_tasks(spark):
+    """What the driver keeps grows with tasks: at 97 partitions, no round may shuffle."""
+    held, sc = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+        sc.setJobGroup("rounds", "")
+        got = components(links).collect()
+        jobs = sc.statusTracker().getJobIdsForGroup("rounds")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stages = {s for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := sc.statusTracker().getStageInfo(s)) is not None)
+    assert len(got) == 301 and {r["component"] for r in got} == {0}
+    assert tasks < 8 * 97, tasks
