@@ -33,6 +33,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_off(df: DataFrame) -> DataFrame:
+    """cut, before which the disk of earlier steps' shuffles and checkpoints that nothing refers to any more is given back. Spark gives
+    it back when the driver's heap is next collected, which doesn't depend on how much a step writes: with large tables all stay."""
+    sc, own = df.sparkSession.sparkContext, df.select("*")  # the plan that is run refers to its shuffles, so it is one of its own
+    sc._jvm.System.gc()
+    out = cut(own)
+    sc._gateway.detach(own._jdf)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

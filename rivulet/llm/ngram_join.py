@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, cut, grams, lists, mix, signed, slices, tidied
+from .common import U64, Words, cut_off, grams, lists, mix, signed, slices, tidied
 from .graph import components
 
 LIGHT_PARTS, LARGEST_BOUNDARY, CLASS_RATIO = 3, 40, 1.4
@@ -308,7 +308,7 @@ def _keys(sets: DataFrame, lim: Limits, x: int) -> DataFrame:
 def _compare(pairs: DataFrame, sets: DataFrame, lim: Limits) -> DataFrame:
     """Those of pairs (a, b) that link."""
     kind = dict(sets.dtypes)["node"]
-    pairs = cut(pairs)
+    pairs = cut_off(pairs)
 
     def run(batches):
         for batch in batches:
@@ -335,13 +335,13 @@ def _compare(pairs: DataFrame, sets: DataFrame, lim: Limits) -> DataFrame:
 
 def node_links(texts: DataFrame, nodes: DataFrame, k: int, lim: Limits) -> DataFrame:
     """Links (a, b) that connect the nodes which links connect."""
-    wanted = cut(screen(nodes, lim))
+    wanted = cut_off(screen(nodes, lim))
     sizes = {int(r[0]): r[1] for r in wanted.where(F.col("n") <= LARGEST_BOUNDARY).groupBy("n").count().collect()}
-    sets = cut(_sets(texts, wanted, k))
-    made = cut(_keys(sets, lim, boundary(sizes, lim)))
+    sets = cut_off(_sets(texts, wanted, k))
+    made = cut_off(_keys(sets, lim, boundary(sizes, lim)))
     rows = made.select("node", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("classes").alias("cls"))).alias("k")).select("node", "k.key", "k.cls")
     shared = rows.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key")
-    listed = cut(rows.join(shared, "key").select("key", "node", "cls"))
+    listed = cut_off(rows.join(shared, "key").select("key", "node", "cls"))
     weight = listed.groupBy("node").agg(F.count("*").alias("weight"))
     pivot = listed.select("key", "node").join(weight, "node").groupBy("key").agg(F.min(F.struct(F.negative("weight").alias("weight"), "node")).alias("top")).select("key", F.col("top.node").alias("pivot"))
     met = listed.join(pivot, "key").where("node <> pivot")
@@ -356,43 +356,49 @@ def node_links(texts: DataFrame, nodes: DataFrame, k: int, lim: Limits) -> DataF
         enough = (F.col("cls") < 0) | (F.col("k") >= F.greatest(F.element_at("filled_a", F.col("cls")), F.element_at("filled_b", F.col("cls"))) - apart)
         return both.where(_alike(lim) & enough).groupBy("a", "b").agg(F.sum("k").alias("k"))
 
-    common = cut(likely(met.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b"), "cls").agg(F.count("*").alias("k"))))
+    common = cut_off(likely(met.groupBy(F.col("node").alias("a"), F.col("pivot").alias("b"), "cls").agg(F.count("*").alias("k"))))
     best = common.groupBy("a").agg(F.min(F.struct(F.negative("k").alias("k"), "b")).alias("top")).select("a", F.col("top.b").alias("b"))
-    links = cut(_compare(best, sets, lim))
+    links = cut_off(_compare(best, sets, lim))
 
-    named = cut(components(links)).withColumnsRenamed({"component": "group"})
+    named = cut_off(components(links)).withColumnsRenamed({"component": "group"})
 
     def grouped(df, column, out):
         return df.join(named.select(F.col("node").alias(column), F.col("group").alias(out)), column, "left").withColumn(out, F.coalesce(out, F.col(column)))
 
     others = grouped(grouped(common.select("a", "b"), "a", "ga"), "b", "gb").where("ga <> gb").select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = cut(_compare(others, sets, lim))
+    more = cut_off(_compare(others, sets, lim))
     links = links.unionByName(more)
     if not more.isEmpty():
-        named = cut(components(links)).withColumnsRenamed({"component": "group"})
+        named = cut_off(components(links)).withColumnsRenamed({"component": "group"})
     held = grouped(listed, "node", "group")
-    mixed = held.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    slim = facts.drop("filled")
-    left = cut(_dealt(held.join(mixed, "key")).join(slim, "node"))
+    mixed = held.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("members")).where("low < high").select("key", "members")
+    left = _dealt(cut_off(held.join(mixed, "key").join(facts.drop("filled"), "node")))
     meet = ("key", "i", "j")
-    a, b = (left.select(*[F.col(f).alias(f"{f}_{c}") for f in meet], *([F.col("cls")] if c == "a" else []), *[F.col(f).alias(c if f == "node" else f"{f}_{c}") for f in left.columns if f not in (*meet, "cls")]) for c in "ab")
+    # both sides have the same columns, so that the members are shuffled once
+    a, b = (left.select(*[F.col(f).alias(c if f == "node" else f"{f}_{c}") for f in left.columns]) for c in "ab")
     once = (F.col("i_a") == F.col("j_a")) | (F.col("own_a") != F.col("own_b"))
     same = [F.col(f"{f}_a") == F.col(f"{f}_b") for f in meet]
-    across = a.join(b, same[0] & same[1] & same[2] & once & (F.col("group_a") < F.col("group_b")) & _alike(lim)).groupBy("a", "b", "cls").agg(F.count("*").alias("k"))
+    across = a.join(b, same[0] & same[1] & same[2] & once & (F.col("group_a") < F.col("group_b")) & _alike(lim)).groupBy("a", "b", F.col("cls_a").alias("cls")).agg(F.count("*").alias("k"))
     tried = common.select("a", "b").unionByName(common.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return links.unionByName(_compare(likely(across).select("a", "b").join(tried, ["a", "b"], "left_anti"), sets, lim))
 
 
-#: Members of a list that meet in one task.
+#: Members of a list that meet in one task; of lists over that, as many as the root of BLOCK times their length.
 BLOCK = 512
 
 
 def _dealt(members: DataFrame) -> DataFrame:
-    """The members of lists (key, node, ...) dealt into blocks of about BLOCK, once for each pair (i, j) of blocks that theirs, `own`, is in."""
-    blocks = members.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """The members of lists (key, node, ...; the length as `members`, if it is known) dealt into blocks, once for each pair (i, j) of blocks that theirs, `own`, is in.
+
+    A list has the root of its length over BLOCK as blocks: a member is copied once for each block, so with blocks of a fixed size
+    the copies, which are shuffled, would grow with the square of a list. So they grow with the power 1.5, and a pair of blocks in proportion.
+    """
+    if "members" not in members.columns:
+        members = members.join(members.groupBy("key").agg(F.count("*").alias("members")), "key")
+    blocks = F.ceil(F.sqrt(F.col("members") / BLOCK)).cast("int")
+    own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    return own.withColumn("pair", F.explode(pairs)).select(*members.columns, "own", "pair.i", "pair.j")
+    return own.withColumn("pair", F.explode(pairs)).select(*[c for c in members.columns if c != "members"], "own", "pair.i", "pair.j")
 
 
 def _alike(lim: Limits):
@@ -412,9 +418,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, body, n, component) for each row of docs: size of its shingle set and the smallest id that links reach."""
     lim = Limits(*threshold)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.col(text_col).alias("text"))
-    base = cut(sizes_and_digests(texts, shingle, lim))
+    base = cut_off(sizes_and_digests(texts, shingle, lim))
     some = base.where("n > 0 and id is not null")
-    nodes = cut(some.groupBy("hi", "lo").agg(F.min(F.struct("id", "body", "n", "low")).alias("s")).select("hi", "lo", F.col("s.id").alias("node"), "s.body", "s.n", "s.low"))
+    nodes = cut_off(some.groupBy("hi", "lo").agg(F.min(F.struct("id", "body", "n", "low")).alias("s")).select("hi", "lo", F.col("s.id").alias("node"), "s.body", "s.n", "s.low"))
     groups = components(node_links(texts.where("id is not null"), nodes, shingle, lim))
     named = nodes.select("hi", "lo", "node").join(groups, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
     out = base.select("id", "body", "n", "hi", "lo").join(named, ["hi", "lo"], "left")
@@ -425,7 +431,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that are the first of their component."""
     found = jaccard_components(docs, id_col, text_col, **how)
-    gone = cut(found.where("id <> component").select("id", "body").distinct())
+    gone = cut_off(found.where("id <> component").select("id", "body").distinct())
     names = [f"c{i}" for i in range(len(docs.columns))]  # so that no name of docs can clash
     ident, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))

@@ -280,3 +280,28 @@ def test_rounds_of_small_link_tables_make_few_tasks(spark):
     tasks = sum(i.numCompletedTasks for s in stages if (i := sc.statusTracker().getStageInfo(s)) is not None)
     assert len(got) == 301 and {r["component"] for r in got} == {0}
     assert tasks < 8 * 97, tasks
+
+
+def test_copies_of_long_lists_do_not_grow_with_their_square(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    members = spark.range(400).selectExpr("id % 1 as key", "id as node", "400L as members")
+    met = ngram_join._dealt(members)
+    assert met.columns == ["key", "node", "own", "i", "j"] and met.count() == 400 * 10  # 100 blocks of 4 would make 40,000
+    assert met.where("i = j").count() == 400
+
+
+def test_shuffles_of_a_step_leave_the_disk(spark):
+    import time
+
+    def files():
+        return sum(str(f.getName()).startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+
+    common.cut_off(spark.range(1))
+    time.sleep(3)
+    held, made = files(), [common.cut_off(spark.range(1000).repartition(5, "id").groupBy("id").count()) for _ in range(3)]
+    time.sleep(1)
+    common.cut_off(spark.range(1))
+    until = time.time() + 20
+    while files() > held and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= held and all(m.count() == 1000 for m in made)
