@@ -84,11 +84,34 @@ def self_pairs(sites: DataFrame, edges: DataFrame, longest: int | None = None) -
     """All unordered pairs of measurements of a network, pid_i <= pid_j, with their features."""
     met = _met(_side(sites, "i"), _side(sites, "j"), edges).where("locID_i <= locID_j")
     at = features(met, longest).select("netID", "locID_i", "locID_j", "pids_i", "pids_j", *PAIR)
-    wide = at.withColumn("pid_i", F.explode("pids_i")).withColumn("pid_j", F.explode("pids_j")).where("locID_i < locID_j or pid_i <= pid_j")
+    return _measured(at)
+
+
+def _measured(at: DataFrame) -> DataFrame:
+    """Unordered pairs of measurements, pid_i <= pid_j, from pairs of locations of which each but those of a location with itself stands once."""
+    wide = at.withColumn("pid_i", F.explode("pids_i")).withColumn("pid_j", F.explode("pids_j")).where("locID_i <> locID_j or pid_i <= pid_j")
     flip = F.col("pid_i") > F.col("pid_j")
     return wide.select("netID", F.least("pid_i", "pid_j").alias("pid_i"), F.greatest("pid_i", "pid_j").alias("pid_j"), "fc", F.when(flip, F.col("d_ji")).otherwise(F.col("d_ij")).alias("d_ij"), F.when(flip, F.col("d_ij")).otherwise(F.col("d_ji")).alias("d_ji"), "a", "b", "h", "w", "e")
 
 
+def touching_pairs(sites: DataFrame, edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """The pairs of self_pairs with b = 0, without those of a network that have none. Sites have keys here.
+
+    A site of such a pair lies at the edge where the paths join: its own edge, or one below it whose upper node isn't below the site.
+    Sites meet others at these edges alone, where the paths of the others pass.
+    """
+    i, j = _side(sites, "i"), _side(sites, "j")
+    i = i.join(_path(i, edges), ["netID", "binaryID_i"], "left")
+    steps = F.transform("path", lambda up, k: F.struct((k + 1).alias("at"), up.alias("up")))
+    here = F.filter(steps, lambda s: (s["at"] == F.length("binaryID_i")) | F.coalesce(s["up"] >= F.col("upDist_i"), F.lit(True)))
+    i = i.withColumn("step", F.explode(here)).withColumn("at", F.col("step.at")).withColumn("junction", F.expr("substr(binaryID_i, 1, at)")).drop("step")
+    passed = F.transform(F.sequence(F.lit(1), F.greatest(F.length("binaryID_j"), F.lit(1))), lambda k: F.substr(F.col("binaryID_j"), F.lit(1), k))
+    met = features(i.join(j.withColumn("junction", F.explode(passed)).hint("merge"), ["netID", "junction"]), longest).where("lcp = at and b = 0")
+    # a pair of which both lie there is found from both sides
+    both = (F.col("lcp") == F.length("binaryID_j")) | F.coalesce(F.col("junction_up") >= F.col("upDist_j"), F.lit(True))
+    return _measured(met.where((F.col("locID_i") <= F.col("locID_j")) | ~both).select("netID", "locID_i", "locID_j", "pids_i", "pids_j", *PAIR))
+
+
 def cross_pairs(rows: DataFrame, cols: DataFrame, edges: DataFrame, longest: int | None = None) -> DataFrame:
     """All pairs (pid_i of rows, pid_j of cols) of a network, with their features, both directions in one row."""
     met = _met(_side(rows, "i"), _side(cols, "j"), edges)

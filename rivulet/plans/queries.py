@@ -158,7 +158,7 @@ def _(n):
 
 @query("afv_weight", "SELECT pid_i, pid_j, round(w, 9) AS w FROM v_pairs WHERE b = 0", OBS_PAIRS)
 def _(n):
-    return obs_pairs(n).where("b = 0").select("pid_i", "pid_j", F.round("w", 9).alias("w"))
+    return P.both_ways(P.touching_pairs(n.obs, n.edges)).select("pid_i", "pid_j", F.round("w", 9).alias("w"))
 
 
 @query("network_summary", 'SELECT "netID", count(*) AS n_edges, max(length("binaryID")) AS depth, round(max("upDist"), 6) AS farthest FROM v_edges GROUP BY 1')

@@ -72,3 +72,21 @@ def test_fits_without_spatial_components_make_no_matrix_of_rows(spark, monkeypat
     got = models.glance(models.fit(spec, n.obs, n.edges, known=theta)).first()
     assert plain.beta == pytest.approx(beta) and plain.vcov == pytest.approx(c)
     assert (got["value"], got["deviance"]) == pytest.approx((value, r @ i @ r))
+
+
+def test_pairs_that_touch_are_found_at_their_edges(spark):
+    from pyspark.sql import functions as F
+    from rivulet.operators import pairs as P
+    from rivulet.plans.queries import QUERIES
+
+    n = network(spark, SF, obs="customer")
+    edge = n.edges.select("netID", "rid", F.col("upDist").alias("top"), "length")
+    # more sites at the lower ends of edges, where two that aren't connected touch, and several measurements of a place
+    low = n.obs.join(edge, ["netID", "rid"]).withColumn("upDist", F.when(F.col("locID") % 3 == 0, F.col("top") - F.col("length")).otherwise(F.col("upDist"))).drop("top", "length")
+    sites = low.localCheckpoint()
+    want = P.self_pairs(sites, n.edges).where("b = 0").drop("e")
+    got = P.touching_pairs(sites, n.edges).drop("e")
+    want, got = sorted(map(tuple, want.collect())), sorted(map(tuple, got.collect()))
+    assert got == want and any(not r[3] for r in got) and any(r[3] and r[1] != r[2] for r in got)
+    plan = QUERIES["afv_weight"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "junction" in plan and "block" not in plan  # not all pairs of a network
